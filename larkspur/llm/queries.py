@@ -7,8 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, token_store
+from pyspark.sql import functions as F
+
+from larkspur.llm import bpe, dedup, mixing, token_store
 from larkspur.llm.common import materialise, scratch_path, table
+from larkspur.llm.sharding import Store
+from larkspur.session import ship
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +25,40 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.starts(materialise(token_store.index(spark, store), "token-index"))
 
 
+def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in eight lots, by the remainder of their id; the rows are read back from the newest manifest."""
+    store = Store(spark, scratch_path(spark, "shards"))
+    store.append(table(spark, sf_dir, "documents"), F.coalesce(F.pmod("doc_id", F.lit(8)), F.lit(0)))
+    store.vacuum()
+    stored = store.read()
+    return stored.select("doc_id", F.col("__arrival").alias("arrival"), F.col("__tier").alias("tier"), F.col("__run").alias("run"), F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_token_store": op2_token_store,
-    "op8_byte_bpe": op8_byte_bpe,
-}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _registered(*functions) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in functions}
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _registered(
+    op1_near_dedup,
+    op2_token_store,
+    op7_compaction,
+    op8_byte_bpe,
+    op9_mixing,
+)
+
+ORACLE_SQL: dict[str, str] = {
+    # Eight lots of similar size make two merges of four.
+    "op7_compaction": """
+        SELECT doc_id, CAST(doc_id % 8 AS INTEGER) AS arrival, 1 AS tier, 'L1-' || (doc_id % 8) // 4 AS run,
+               CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
+        FROM documents
+    """,
+}
