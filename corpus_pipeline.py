@@ -1,11 +1,73 @@
-"""The corpus pipeline: placeholder until its stages are in place."""
+"""The corpus pipeline: documents to token ids in five stages.
 
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
+kept; all but the last return the columns of ``docs``. run() writes what a stage
+returns and reads it back as the next one's input.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import bpe, dedup, mixing, quality, substrings
+from larkspur.llm.common import hinted, materialise, table, without_ids
+from larkspur.session import ship
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    ship(spark)
+    stats = materialise(quality.vectors(docs), "statistics")
+    scored = quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels")), threshold=0.7)
+    return without_ids(docs, materialise(scored.filter("predicted = 0").select("doc_id"), "rejected"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id stays."""
+    ship(spark)
+    found = dedup.near_duplicates(docs, percent=85, words=5)
+    return without_ids(docs, materialise(found.filter("not kept").select("doc_id"), "near-copies"))
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that stand earlier go. Changed texts have their words joined by one space; others stay as they are."""
+    ship(spark)
+    changed = substrings.remove_repeats(docs, keep_text=True).filter("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
+    changed = materialise(changed, "changed").dropDuplicates(["__id"])
+    touched = hinted(changed.select(F.col("__id").alias("__touched")))
+    same = docs.join(touched, F.col("doc_id") == F.col("__touched"), "left_anti")
+    other = docs.join(touched, F.col("doc_id") == F.col("__touched"), "left_semi").join(changed, F.col("doc_id") == F.col("__id"))
+    other = other.withColumns({"text": F.col("__kept"), "n_chars": F.length("__kept").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    return same.unionByName(other)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.apply(docs, mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of what they decode to."""
+    ship(spark)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=True)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", keep_one_of_near_copies),
+    ("substring dedup", remove_repeated_passages),
+    ("mixing", mix_sources),
+    ("byte-level BPE", tokenize),
+]
+
+#: The classifier, shingle sets and tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, dedup, mixing, token_store
+from larkspur.llm import audio, bpe, dedup, mixing, neighbours, quality, substrings, token_store, toxicity
 from larkspur.llm.common import materialise, scratch_path, table
 from larkspur.llm.sharding import Store
 from larkspur.session import ship
@@ -25,6 +25,25 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.starts(materialise(token_store.index(spark, store), "token-index"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialise(audio.encode(table(spark, sf_dir, "documents")), "media")
+    return audio.describe(stored).drop("frame_offsets")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialise(quality.vectors(table(spark, sf_dir, "documents")), "statistics")
+    return quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in eight lots, by the remainder of their id; the rows are read back from the newest manifest."""
     store = Store(spark, scratch_path(spark, "shards"))
@@ -42,6 +61,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
 def _registered(*functions) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in functions}
 
@@ -49,9 +72,14 @@ def _registered(*functions) -> dict[str, Callable[[SparkSession, str], DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _registered(
     op1_near_dedup,
     op2_token_store,
+    op3_neighbours,
+    op4_toxicity,
+    op5_audio,
+    op6_quality,
     op7_compaction,
     op8_byte_bpe,
     op9_mixing,
+    op10_substrings,
 )
 
 ORACLE_SQL: dict[str, str] = {
