@@ -10,9 +10,12 @@ from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
 
+#: Rows that go to a Python worker at once: few, as one text may be very long.
+BATCH_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add this package's modules to the session's Python files once, so that workers find them on any cluster."""
+    """Add this package's modules to the session's Python files once, so that workers find them on any cluster, and keep its Arrow batches small."""
     context = spark.sparkContext
     if context.applicationId not in _sent:
         top = os.path.dirname(os.path.abspath(__file__))
@@ -25,4 +28,6 @@ def ship(spark: SparkSession) -> SparkSession:
                         out.write(path, os.path.relpath(path, os.path.dirname(top)))
         context.addPyFile(target)
         _sent.add(context.applicationId)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
