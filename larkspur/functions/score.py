@@ -44,13 +44,18 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def _clip(own: Column, other: Column):
+    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+    return lambda s, g: s + F.least(count(own, g), count(other, g))
+
+
 def bleu(reference: Column, candidate: Column) -> Column:
     """BLEU of up to four-grams against one reference; an order without a match counts 0.1. Empty texts give 0."""
     r, c = tokens(reference), tokens(candidate)
     logs = F.lit(0.0)
     for n in range(1, 5):
         own, other = _grams(c, n), _grams(r, n)
-        clipped = F.aggregate(F.array_distinct(own), F.lit(0), lambda s, g, own=own, other=other: s + F.least(F.size(F.filter(own, lambda x: x == g)), F.size(F.filter(other, lambda x: x == g))))
+        clipped = F.aggregate(F.array_distinct(own), F.lit(0), _clip(own, other))
         total = F.greatest(F.size(own), F.lit(1))
         logs = logs + F.log(F.when(clipped > 0, clipped.cast("double")).otherwise(0.1) / total) / 4
     brevity = F.when(F.size(c) > F.size(r), 1.0).otherwise(F.exp(1 - F.size(r) / F.size(c)))

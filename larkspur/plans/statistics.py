@@ -1 +1,191 @@
-"""Queries."""
+"""Statistics (inventory ST and information criteria)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from larkspur.operators import models as M
+from larkspur.operators import statistics as S
+from larkspur.operators.aggregates import rate_where, wilson
+from larkspur.registry import query
+
+R = lambda c: F.round(c, 6)
+MOMENTS = "WITH m AS (SELECT model_id, count(*) n, avg(CAST(is_correct AS INTEGER)) a, var_samp(CAST(is_correct AS INTEGER)) v FROM levels GROUP BY model_id), "
+
+
+def model_moments(v):
+    return S.moments(v.levels, "model_id", F.col("is_correct").cast("double"))
+
+
+def model_pairs(v):
+    m = model_moments(v)
+    a, b = (m.select(*[F.col(c).alias(c + s) for c in m.columns]) for s in ("_a", "_b"))
+    return S.welch(a.join(b, F.col("model_id_a") < F.col("model_id_b")))
+
+
+@query("st1_welch", MOMENTS + """p AS (SELECT x.model_id a, y.model_id b, x.a - y.a d, sqrt(x.v / x.n + y.v / y.n) se FROM m x JOIN m y ON x.model_id < y.model_id)
+SELECT a, b, round(d, 6) difference, round(d / nullif(se, 0), 5) t, round(d - 1.96 * se, 6) low, round(d + 1.96 * se, 6) high FROM p""")
+def welch(v):
+    return model_pairs(v).select(F.col("model_id_a").alias("a"), F.col("model_id_b").alias("b"), R("difference").alias("difference"), F.round("t", 5).alias("t"), R("low").alias("low"), R("high").alias("high"))
+
+
+@query("st2_cohens_d", MOMENTS + "p AS (SELECT x.model_id a, y.model_id b, (x.a - y.a) / nullif(sqrt(((x.n - 1) * x.v + (y.n - 1) * y.v) / (x.n + y.n - 2)), 0) d FROM m x JOIN m y ON x.model_id < y.model_id) SELECT a, b, round(d, 6) d FROM p")
+def cohens_d(v):
+    return model_pairs(v).select(F.col("model_id_a").alias("a"), F.col("model_id_b").alias("b"), R("d").alias("d"))
+
+
+@query("st3_wilson", "SELECT experiment_id, model_id, intensity, ci_low, ci_high FROM metrics")
+def wilson_interval(v):
+    low, high = wilson(F.avg(F.col("is_correct").cast("double")), F.count(F.lit(1)))
+    return v.levels.groupBy("experiment_id", "model_id", "intensity").agg(R(low).alias("ci_low"), R(high).alias("ci_high"))
+
+
+@query("st5_ab_test", """SELECT model_id, round(avg(CASE WHEN run_id = 'run_a' THEN CAST(is_correct AS INTEGER) END), 6) control, round(avg(CASE WHEN run_id = 'run_b' THEN CAST(is_correct AS INTEGER) END), 6) treatment,
+ round(avg(CASE WHEN run_id = 'run_b' THEN CAST(is_correct AS INTEGER) END) / nullif(avg(CASE WHEN run_id = 'run_a' THEN CAST(is_correct AS INTEGER) END), 0) - 1, 6) lift FROM evals GROUP BY model_id""")
+def ab_test(v):
+    a, b = rate_where("run_id = 'run_a'"), rate_where("run_id = 'run_b'")
+    return v.evals.groupBy("model_id").agg(R(a).alias("control"), R(b).alias("treatment"), R(F.try_divide(b, a) - 1).alias("lift"))
+
+
+@query("st7_level_spearman", """WITH l AS (SELECT model_id, intensity, avg(CAST(is_correct AS INTEGER)) acc FROM levels GROUP BY ALL),
+r AS (SELECT model_id, rank() OVER (PARTITION BY model_id ORDER BY intensity) + (count(*) OVER (PARTITION BY model_id, intensity) - 1) / 2.0 x, rank() OVER (PARTITION BY model_id ORDER BY acc) + (count(*) OVER (PARTITION BY model_id, acc) - 1) / 2.0 y FROM l)
+SELECT model_id, count(*) n, round(corr(x, y), 6) rho FROM r GROUP BY model_id""")
+def level_spearman(v):
+    means = v.levels.groupBy("model_id", "intensity").agg(F.avg(F.col("is_correct").cast("double")).alias("acc"))
+    return S.spearman(means, ["model_id"], "intensity", "acc").select("model_id", "n", R("rho").alias("rho"))
+
+
+@query("st8_thresholds", "SELECT * FROM thresholds")
+def thresholds(v):
+    return v.thresholds
+
+
+@query("st9_paired_t", """WITH s AS (SELECT model_id, item_id, avg(CAST(is_correct AS INTEGER)) v FROM evals GROUP BY ALL), d AS (SELECT a.model_id a, b.model_id b, a.v - b.v d FROM s a JOIN s b ON a.item_id = b.item_id AND a.model_id <> b.model_id)
+SELECT a, b, count(*) n, round(avg(d) / nullif(stddev_samp(d), 0), 6) effect, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 5) t FROM d GROUP BY a, b HAVING count(*) > 2""")
+def paired_t(v):
+    from larkspur.operators.joins import aligned_pairs
+
+    s = v.evals.groupBy("model_id", "item_id").agg(F.avg(F.col("is_correct").cast("double")).alias("v"))
+    d = aligned_pairs(s, "model_id", "item_id", "v").withColumn("d", F.col("value_a") - F.col("value_b"))
+    g = d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("sd")).filter("n > 2")
+    return g.select("a", "b", "n", R(F.try_divide("m", "sd")).alias("effect"), F.round(F.try_divide(F.col("m"), F.col("sd") / F.sqrt("n")), 5).alias("t"))
+
+
+P_VALUES = "WITH p AS (SELECT DISTINCT k, (k + 1) / 500.0 p FROM evals), n AS (SELECT k, p, row_number() OVER (ORDER BY p, k) i, count(*) OVER () m FROM p) "
+
+
+def p_values(v):
+    return v.evals.select("k").distinct().withColumn("p", (F.col("k") + 1) / 500.0)
+
+
+@query("st18_bonferroni", P_VALUES + "SELECT k, round(least(1, p * m), 6) adjusted FROM n")
+def bonferroni(v):
+    return S.corrected(p_values(v), "p", "bonferroni", "k").select("k", R("adjusted").alias("adjusted"))
+
+
+@query("st18_holm", P_VALUES + "SELECT k, round(least(1, max(p * (m - i + 1)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)), 6) adjusted FROM n")
+def holm(v):
+    return S.corrected(p_values(v), "p", "holm", "k").select("k", R("adjusted").alias("adjusted"))
+
+
+@query("st18_benjamini_hochberg", P_VALUES + "SELECT k, round(least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) adjusted FROM n")
+def benjamini_hochberg(v):
+    return S.corrected(p_values(v), "p", "bh", "k").select("k", R("adjusted").alias("adjusted"))
+
+
+@query("st11_permutation", None)
+def permutation(v):
+    groups = v.evals.filter("model_family in ('alpha', 'gamma')").select(F.col("model_family").alias("g"), F.col("is_correct").cast("double").alias("x"), F.col("eval_id").alias("id"))
+    return M.permutation_test(groups, "alpha", "gamma", 200)
+
+
+@query("st12_bootstrap", None)
+def bootstrap(v):
+    return M.bootstrap_mean(v.evals.select("model_family", F.col("is_correct").cast("double").alias("x"), F.col("eval_id").alias("id")), "model_family", 200)
+
+
+@query("st13_percentile_interval", "SELECT model_id, quantile_cont(k, 0.025) low, quantile_cont(k, 0.975) high FROM evals GROUP BY model_id")
+def percentile_interval(v):
+    return v.evals.groupBy("model_id").agg(F.percentile("k", 0.025).alias("low"), F.percentile("k", 0.975).alias("high"))
+
+
+@query("st19_logistic", None)
+def logistic(v):
+    return M.logistic_by_family(v.evals.select("model_family", F.log10("n_params").alias("x"), F.col("is_correct").cast("double").alias("y")), "model_family")
+
+
+@query("st22_segmented", None)
+def segmented(v):
+    return M.segmented_by_family(v.evals.select("model_family", F.log10("n_params").alias("x"), F.col("is_correct").cast("double").alias("y")), "model_family")
+
+
+FITS = "SELECT * FROM VALUES ('linear', 120D, 125D, -58D, 3), ('segmented', 115D, 123D, -55D, 5), ('gam', 118D, 128D, -56D, 6) AS t(name, aic, bic, log_likelihood, parameters)"
+FITS_SQL = "WITH fits AS (SELECT * FROM (VALUES ('linear', 120.0::DOUBLE, 125.0::DOUBLE, -58.0::DOUBLE, 3), ('segmented', 115, 123, -55, 5), ('gam', 118, 128, -56, 6)) t(name, aic, bic, log_likelihood, parameters)) "
+
+
+def weights_sql(c):
+    return FITS_SQL + f""", w AS (SELECT name, {c} - min({c}) OVER () delta FROM fits), x AS (SELECT name, delta, exp(-0.5 * delta) / sum(exp(-0.5 * delta)) OVER () weight FROM w)
+SELECT name, delta, round(weight, 6) weight, row_number() OVER (ORDER BY weight DESC, name) AS rank, round(sum(weight) OVER (ORDER BY weight DESC, name ROWS UNBOUNDED PRECEDING), 6) running, round(max(weight) OVER () / weight, 6) evidence FROM x"""
+
+
+def weights(v, c):
+    return S.information_weights(v.spark.sql(FITS), c).select("name", "delta", R("weight").alias("weight"), F.col("rank").cast("bigint").alias("rank"), R("running").alias("running"), R("evidence").alias("evidence"))
+
+
+@query("st24_aic_weights", weights_sql("aic"))
+def aic_weights(v):
+    return weights(v, "aic")
+
+
+@query("st24_bic_weights", weights_sql("bic"))
+def bic_weights(v):
+    return weights(v, "bic")
+
+
+@query("st23_likelihood_ratio", FITS_SQL + "SELECT a.name simple, b.name complex, 2 * (b.log_likelihood - a.log_likelihood) lr, b.parameters - a.parameters df FROM fits a JOIN fits b ON a.parameters < b.parameters")
+def likelihood_ratio(v):
+    f = v.spark.sql(FITS)
+    return f.alias("a").join(f.alias("b"), F.col("a.parameters") < F.col("b.parameters")).select(F.col("a.name").alias("simple"), F.col("b.name").alias("complex"), (2 * (F.col("b.log_likelihood") - F.col("a.log_likelihood"))).alias("lr"), (F.col("b.parameters") - F.col("a.parameters")).alias("df"))
+
+
+@query("st25_best_model", FITS_SQL + "SELECT name, aic_rank + bic_rank composite, CASE WHEN aic_rank = 1 AND bic_rank = 1 THEN 'agreed' WHEN aic_rank = 1 OR bic_rank = 1 THEN 'split' ELSE 'no' END best FROM (SELECT name, rank() OVER (ORDER BY aic) aic_rank, rank() OVER (ORDER BY bic) bic_rank FROM fits)")
+def best_model(v):
+    f = v.spark.sql(FITS).select("name", *[F.rank().over(Window.orderBy(c)).cast("bigint").alias(c[0]) for c in ("aic", "bic")])
+    return f.select("name", (F.col("a") + F.col("b")).alias("composite"), F.when((F.col("a") == 1) & (F.col("b") == 1), "agreed").when((F.col("a") == 1) | (F.col("b") == 1), "split").otherwise("no").alias("best"))
+
+
+@query("st26_model_averaging", FITS_SQL + ", w AS (SELECT parameters y, exp(-0.5 * (aic - min(aic) OVER ())) e FROM fits) SELECT round(sum(e * y) / sum(e), 6) mean, round(sum(e * y * y) / sum(e) - pow(sum(e * y) / sum(e), 2), 6) AS variance FROM w")
+def model_averaging(v):
+    w = S.information_weights(v.spark.sql(FITS), "aic")
+    mean = F.sum(F.col("weight") * F.col("parameters"))
+    return w.agg(R(mean).alias("mean"), R(F.sum(F.col("weight") * F.col("parameters") * F.col("parameters")) - mean * mean).alias("variance"))
+
+
+@query("st27_contamination_slopes", """WITH d AS (SELECT model_id, log10(n_params) x, avg(CASE WHEN transform = 'original' THEN CAST(is_correct AS INTEGER) END) - avg(CASE WHEN transform = 'scramble' THEN CAST(is_correct AS INTEGER) END) y FROM evals GROUP BY ALL)
+SELECT round(regr_slope(y, x), 6) slope, round(regr_intercept(y, x), 6) intercept, round(regr_r2(y, x), 6) r2 FROM d""")
+def contamination_slopes(v):
+    d = v.evals.groupBy("model_id", F.log10("n_params").alias("x")).agg((rate_where("transform = 'original'") - rate_where("transform = 'scramble'")).alias("y"))
+    return d.agg(R(F.regr_slope("y", "x")).alias("slope"), R(F.regr_intercept("y", "x")).alias("intercept"), R(F.regr_r2("y", "x")).alias("r2"))
+
+
+@query("st29_linear_fit", "SELECT transform, round(regr_slope(latency_ms, k), 6) slope, round(regr_intercept(latency_ms, k), 5) intercept, round(regr_r2(latency_ms, k), 6) r2 FROM evals GROUP BY transform")
+def linear_fit(v):
+    return v.evals.groupBy("transform").agg(R(F.regr_slope("latency_ms", "k")).alias("slope"), F.round(F.regr_intercept("latency_ms", "k"), 5).alias("intercept"), R(F.regr_r2("latency_ms", "k")).alias("r2"))
+
+
+@query("st31_ldc_interval", "SELECT m.experiment_id, m.model_id, m.intensity, round(greatest(0, 1 - m.ci_high / b.accuracy), 5) low, round(least(1, 1 - m.ci_low / b.accuracy), 5) high FROM metrics m JOIN metrics b ON m.experiment_id = b.experiment_id AND m.model_id = b.model_id AND b.intensity = 0 AND m.intensity > 0 AND b.accuracy > 0")
+def ldc_interval(v):
+    base = F.max(F.when(F.col("intensity") == 0, F.col("accuracy"))).over(Window.partitionBy("experiment_id", "model_id"))
+    m = v.metrics.withColumn("base", base).filter("intensity > 0 and base > 0")
+    return m.select("experiment_id", "model_id", "intensity", F.round(F.greatest(F.lit(0.0), 1 - F.col("ci_high") / F.col("base")), 5).alias("low"), F.round(F.least(F.lit(1.0), 1 - F.col("ci_low") / F.col("base")), 5).alias("high"))
+
+
+@query("st34_robustness_curve", """WITH a AS (SELECT model_id, intensity x, avg(CAST(is_correct AS INTEGER)) y FROM levels GROUP BY ALL), s AS (SELECT model_id, (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 part, first_value(y) OVER w y0, max(x) OVER (PARTITION BY model_id) - min(x) OVER (PARTITION BY model_id) span FROM a WINDOW w AS (PARTITION BY model_id ORDER BY x))
+SELECT model_id, round(1 - sum(part) / nullif(max(y0 * span), 0), 6) crs FROM s GROUP BY model_id""")
+def robustness_curve(v):
+    w = Window.partitionBy("model_id").orderBy("x")
+    a = v.levels.groupBy("model_id", F.col("intensity").alias("x")).agg(F.avg(F.col("is_correct").cast("double")).alias("y"))
+    whole = Window.partitionBy("model_id")
+    s = a.select("model_id", ((F.col("x") - F.lag("x").over(w)) * (F.col("y") + F.lag("y").over(w)) / 2).alias("part"), F.first("y").over(w).alias("y0"), (F.max("x").over(whole) - F.min("x").over(whole)).alias("span"))
+    return s.groupBy("model_id").agg(R(1 - F.try_divide(F.sum("part"), F.max(F.col("y0") * F.col("span")))).alias("crs"))
