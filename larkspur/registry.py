@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module of plans that registers queries."""
-    from larkspur.plans import aggregates, relational, scalars, statistics, storage, transforms  # noqa: F401
+    from larkspur.plans import aggregates, relational, reports, scalars, statistics, storage, transforms  # noqa: F401
 
 
 load()
