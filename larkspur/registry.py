@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.plans import bridge
+from larkspur.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -16,7 +17,7 @@ def query(name: str, sql: str | None = None):
     """Register a plan over the study's views. The SQL may use the views of bridge.SQL by name; without one the query is checked by tests alone."""
 
     def add(plan: Callable[[bridge.Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: plan(bridge.views(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: plan(bridge.views(ship(spark), sf_dir))
         if sql:
             body = sql.strip()
             ORACLE_SQL[name] = bridge.SQL + (", " + body[5:] if body[:5].upper() == "WITH " else body)
@@ -27,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module of plans that registers queries."""
-    from larkspur.plans import aggregates, relational, reports, scalars, statistics, storage, transforms  # noqa: F401
+    from larkspur.plans import aggregates, languages, relational, reports, scalars, statistics, storage, transforms  # noqa: F401
 
 
 load()
