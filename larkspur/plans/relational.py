@@ -76,10 +76,10 @@ def scrambling_category(v):
     return v.levels.groupBy(F.when(i == 0, "baseline").when(i <= 20, "low").when(i <= 40, "medium").when(i <= 60, "high").otherwise("extreme").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pf11_quality_score", CANDIDATES + "SELECT vec_id, round(CASE WHEN cos_sim <> 0 AND edit_ratio <> 0 THEN 0.7 * cos_sim + 0.3 * (1 - edit_ratio) END, 6) quality, cos_sim >= 0.85 AND edit_ratio >= 0.25 AS meets FROM candidates")
+@query("pf11_quality_score", CANDIDATES + "SELECT vec_id, round(CASE WHEN cos_sim <> 0 AND edit_ratio <> 0 THEN 0.7 * cos_sim + 0.3 * (1 - edit_ratio) END, 8) quality, cos_sim >= 0.85 AND edit_ratio >= 0.25 AS meets FROM candidates")
 def quality_score(v):
     score = F.when((F.col("cos_sim") != 0) & (F.col("edit_ratio") != 0), 0.7 * F.col("cos_sim") + 0.3 * (1 - F.col("edit_ratio")))
-    return candidates(v).select("vec_id", R(score).alias("quality"), ((F.col("cos_sim") >= 0.85) & (F.col("edit_ratio") >= 0.25)).alias("meets"))
+    return candidates(v).select("vec_id", F.round(score, 8).alias("quality"), ((F.col("cos_sim") >= 0.85) & (F.col("edit_ratio") >= 0.25)).alias("meets"))
 
 
 @query("pf12_derived", "SELECT eval_id, round(CASE WHEN k <> 0 AND latency_ms <> 0 THEN k * 1000.0 / latency_ms END, 6) tokens_per_second, round(100.0 * k / 200, 6) progress FROM evals")
