@@ -251,7 +251,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id
     sent = materialise(sent, "sent")
 
     sources = hinted(materialise(sent.select(F.col("first").alias("__first")).distinct(), "sources"))
-    texts = docs.join(sources, F.col("doc_id") == F.col("__first"), "left_semi").select(F.col("doc_id").alias("first"), "text").dropDuplicates(["first"])
+    texts = docs.join(sources, F.col("doc_id") == F.col("__first"), "left_semi").select(F.col("doc_id").alias("first"), "text")
     passages = sent.join(texts, "first").select("doc_id", "text", "windows").mapInArrow(lambda b: passage_batches(b, window), "doc_id bigint, passages array<string>")
     passages = materialise(passages.groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("passages"))).alias("passages")), "passages")
 
