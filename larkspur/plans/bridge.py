@@ -36,10 +36,12 @@ class Views:
     def evals(self) -> DataFrame:
         e = self.raw("events")
         m, kind, level = F.col("user_id") % 8, F.col("event_type"), _by(F.col("event_type"), LEVELS)
+        # Events go round all documents, whose ids count from 0; a plan that does not use item_id does not count them.
+        documents = self.raw("documents").agg(F.count(F.lit(1))).scalar()
         return e.select(
             F.concat(F.lit("e"), "event_id").alias("eval_id"),
             F.when(F.col("event_id") % 10 < 8, "run_a").otherwise("run_b").alias("run_id"),
-            F.concat(F.lit("i"), F.col("event_id") % 200).alias("item_id"),
+            F.concat(F.lit("i"), F.col("event_id") % F.nullif(documents, F.lit(0))).alias("item_id"),
             F.concat(F.lit("m"), m).alias("model_id"),
             F.when(m <= 2, "alpha").when(m <= 5, "beta").otherwise("gamma").alias("model_family"),
             (_by(m, dict(enumerate(N_PARAMS))) * F.lit(1e9)).alias("n_params"),
@@ -56,8 +58,7 @@ class Views:
 
     @cached_property
     def items(self) -> DataFrame:
-        d = self.raw("documents").filter("doc_id < 200")
-        return d.select(F.concat(F.lit("i"), "doc_id").alias("item_id"), F.col("source").alias("dataset"), F.col("lang").alias("domain"), F.col("text").alias("question"), F.substring_index("text", " ", 1).alias("answer"))
+        return self.raw("documents").select(F.concat(F.lit("i"), "doc_id").alias("item_id"), F.col("source").alias("dataset"), F.col("lang").alias("domain"), F.col("text").alias("question"), F.substring_index("text", " ", 1).alias("answer"))
 
     @cached_property
     def models(self) -> DataFrame:
@@ -130,7 +131,7 @@ def views(spark: SparkSession, sf_dir: str) -> Views:
 
 SQL = """WITH evals AS (
   SELECT 'e' || event_id AS eval_id, CASE WHEN event_id % 10 < 8 THEN 'run_a' ELSE 'run_b' END AS run_id,
-    'i' || (event_id % 200) AS item_id, 'm' || (user_id % 8) AS model_id,
+    'i' || (event_id % (SELECT count(*) FROM documents)) AS item_id, 'm' || (user_id % 8) AS model_id,
     CASE WHEN user_id % 8 <= 2 THEN 'alpha' WHEN user_id % 8 <= 5 THEN 'beta' ELSE 'gamma' END AS model_family,
     CAST(list_extract([0.27, 1, 2, 4, 9, 20, 27, 70], CAST(user_id % 8 + 1 AS INTEGER)) AS DOUBLE) * CAST(1e9 AS DOUBLE) AS n_params,
     CASE event_type WHEN 'view' THEN 'original' WHEN 'click' THEN 'paraphrase' ELSE 'scramble' END AS transform,
@@ -140,7 +141,7 @@ SQL = """WITH evals AS (
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
   FROM events),
 evals2 AS (SELECT *, coalesce(scramble_level, 0) * k / 100 AS tok_kl, 1 + coalesce(scramble_level, 0) AS tok_frag FROM evals),
-items AS (SELECT 'i' || doc_id AS item_id, source AS dataset, lang AS domain, text AS question, split_part(text, ' ', 1) AS answer FROM documents WHERE doc_id < 200),
+items AS (SELECT 'i' || doc_id AS item_id, source AS dataset, lang AS domain, text AS question, split_part(text, ' ', 1) AS answer FROM documents),
 models AS (SELECT DISTINCT model_id, 'model-' || model_id AS name, model_family AS family, n_params FROM evals),
 responses AS (
   SELECT eval_id AS response_id, 'x_' || run_id AS experiment_id, model_id,
