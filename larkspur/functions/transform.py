@@ -75,6 +75,7 @@ def synonyms(text: Column, table: dict[str, str], rate: float, seed: str) -> Col
 
 def reordered(sections: Column) -> Column:
     """Non-heading sections in reverse order in their slots; headings stay. Elements have kind and content."""
-    others = F.reverse(F.filter(sections, lambda s: s["kind"] != "heading"))
-    rank = lambda i: F.size(F.filter(F.slice(sections, F.lit(1), i + 1), lambda s: s["kind"] != "heading"))
-    return F.transform(sections, lambda s, i: F.when(s["kind"] == "heading", s).otherwise(F.get(others, rank(i) - 1)))
+    placed = F.transform(sections, lambda s, i: F.struct(i.alias("at"), s["kind"].alias("kind"), s["content"].alias("content")))
+    headings, others = F.filter(placed, lambda s: s["kind"] == "heading"), F.filter(placed, lambda s: s["kind"] != "heading")
+    moved = F.zip_with(others, F.reverse(others), lambda a, b: F.struct(a["at"].alias("at"), b["kind"].alias("kind"), b["content"].alias("content")))
+    return F.transform(F.array_sort(F.concat(headings, moved)), lambda s: F.struct(s["kind"].alias("kind"), s["content"].alias("content")))

@@ -132,11 +132,11 @@ def token_estimate(v):
     return v.raw("documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-LINES = "WITH s AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS position, trim(unnest(p)) AS content FROM (SELECT doc_id, string_split(text, chr(10)) p FROM documents WHERE doc_id < 100)) "
+LINES = "WITH s AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS position, trim(unnest(p)) AS content FROM (SELECT doc_id, string_split(text, chr(10)) p FROM documents)) "
 
 
 def lines(v):
-    return v.raw("documents").filter("doc_id < 100").select("doc_id", F.inline(T.sections(F.col("text"), "\n")))
+    return v.raw("documents").select("doc_id", F.inline(T.sections(F.col("text"), "\n")))
 
 
 @query("f27_sections", LINES + "SELECT doc_id, CAST(position AS INTEGER) AS position, md5(content) content FROM s WHERE content <> ''")

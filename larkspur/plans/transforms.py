@@ -92,12 +92,12 @@ def back_translation(v):
 @query("t15_structure")
 def structure(v):
     parts = F.transform(T.sections(F.col("text"), "\n"), lambda s: F.struct(T.section_type(s["content"]).alias("kind"), s["content"].alias("content")))
-    return v.raw("documents").filter("doc_id < 100").select("doc_id", F.array_join(F.transform(X.reordered(parts), lambda s: s["content"]), "\n\n").alias("result"))
+    return v.raw("documents").select("doc_id", F.array_join(F.transform(X.reordered(parts), lambda s: s["content"]), "\n\n").alias("result"))
 
 
-@query("t16_reconstruct", "SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10))) result FROM documents WHERE doc_id < 100")
+@query("t16_reconstruct", "SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10))) result FROM documents")
 def reconstruct(v):
-    sections = v.raw("documents").filter("doc_id < 100").select("doc_id", F.inline(T.sections(F.col("text"), "\n")))
+    sections = v.raw("documents").select("doc_id", F.inline(T.sections(F.col("text"), "\n")))
     ordered = F.array_sort(F.collect_list(F.struct("position", "content")))
     return sections.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(ordered, lambda s: s["content"]), "\n\n")).alias("result"))
 
@@ -112,9 +112,9 @@ def fan_out(v):
     return v.raw("benchmark").select("item_id", F.inline(kinds))
 
 
-@query("a67_section_stats", "WITH s AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) content FROM documents WHERE doc_id < 100) SELECT doc_id, count(*) sections, CAST(sum(length(content)) AS BIGINT) chars FROM s WHERE content <> '' GROUP BY doc_id")
+@query("a67_section_stats", "WITH s AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) content FROM documents) SELECT doc_id, count(*) sections, CAST(sum(length(content)) AS BIGINT) chars FROM s WHERE content <> '' GROUP BY doc_id")
 def section_stats(v):
-    s = v.raw("documents").filter("doc_id < 100").select("doc_id", F.inline(T.sections(F.col("text"), "\n")))
+    s = v.raw("documents").select("doc_id", F.inline(T.sections(F.col("text"), "\n")))
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).alias("chars"))
 
 

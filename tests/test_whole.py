@@ -1,5 +1,9 @@
 """Queries reach every document: tables of their own that are larger than any cut the plans once had."""
 
+import hashlib
+import random
+import re
+
 import duckdb
 import pytest
 
@@ -8,13 +12,23 @@ from larkspur.plans import bridge
 from tests.test_oracles import rows
 
 N = 300
+LINES = ["A HEADING", "# marked", "- an item", "12. numbered item", "> quoted by Ada Lovelace", "plain words", "", "  ", "Jane Doe has 3 of them " + "and so on " * 30]
+
+
+def texts():
+    """Documents of several lines; the first word names the document."""
+    rng = random.Random(5)
+    return [(k, "\n".join([f"word{k} and the rest", *(rng.choice(LINES) for _ in range(rng.randint(0, 12)))])) for k in range(N)]
+
+
+TEXTS = texts()
 
 
 @pytest.fixture(scope="module")
 def own(spark, tmp_path_factory):
     """300 documents and 600 events."""
     d = str(tmp_path_factory.mktemp("own"))
-    spark.range(N).selectExpr("id AS doc_id", "concat('word', id, ' and the rest') AS text", "element_at(array('de', 'en', 'es', 'fr'), int(id % 4) + 1) AS lang", "concat('src', id % 30) AS source", "length(text) AS n_chars").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(TEXTS, "doc_id bigint, text string").selectExpr("*", "element_at(array('de', 'en', 'es', 'fr'), int(doc_id % 4) + 1) AS lang", "concat('src', doc_id % 30) AS source", "length(text) AS n_chars").write.parquet(f"{d}/documents.parquet")
     spark.range(2 * N).selectExpr(
         "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 16 AS user_id", "element_at(array('view', 'click', 'purchase', 'signup', 'error'), int(id % 5) + 1) AS event_type", "id % 90 / 1.0D AS value", "concat('{\"k\": ', id % 100, '}') AS props"
     ).write.parquet(f"{d}/events.parquet")
@@ -49,3 +63,37 @@ def test_items_are_all_documents(spark, own):
 @pytest.mark.parametrize("name", ["a2_metrics_by_domain", "j1_evals_items", "j14_tasks", "u3_distinct", "w8_stratified_sample", "io26_csv_lines", "x2_benchmark_run", "canonical_metrics", "st8_thresholds", "j5_left_outer"])
 def test_items_against_sql(spark, duck, own, name):
     same(spark, duck, own, name)
+
+
+def kind(line):
+    if line[0] == "#" or (re.search("[^\\W\\d_]", line) and line.upper() == line and len(line) < 100):
+        return "heading"
+    if re.match("[-*•] ", line):
+        return "list"
+    if re.match("[0-9]+\\. ", line):
+        return "numbered_list"
+    return "quote" if line[0] in '>"' else "paragraph"
+
+
+def sections(text):
+    return [(i, x.strip(" ")) for i, x in enumerate(text.split("\n")) if x.strip(" ")]
+
+
+def weight(line):
+    base = {"heading": 0.8, "list": 0.6, "numbered_list": 0.6, "quote": 0.4, "paragraph": 0.5}[kind(line)]
+    return min(1, base + 0.2 * min(1, len(line.split()) / 50) + 0.1 * bool(re.search("[0-9]", line)) + 0.1 * bool(re.search("[A-Z][a-z]+ [A-Z][a-z]+", line)))
+
+
+def test_sections_of_all_documents(spark, own):
+    run = lambda name: registry.QUERIES[name](spark, own).collect()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    lines = {(k, i): x for k, t in TEXTS for i, x in sections(t)}
+    assert {(r.doc_id, r.position): r.content for r in run("f27_sections")} == {at: md5(x) for at, x in lines.items()}
+    assert {(r.doc_id, r.position): r.kind for r in run("f28_section_types")} == {at: kind(x) for at, x in lines.items()}
+    assert {(r.doc_id, r.position): round(r.importance, 9) for r in run("f29_importance")} == {at: round(weight(x), 9) for at, x in lines.items()}
+    whole = {k: [x for _, x in sections(t)] for k, t in TEXTS}
+    assert {r.doc_id: r.result for r in run("t16_reconstruct")} == {k: md5("\n\n".join(x)) for k, x in whole.items()}
+    assert {r.doc_id: (r.sections, r.chars) for r in run("a67_section_stats")} == {k: (len(x), sum(map(len, x))) for k, x in whole.items()}
+    others = {k: [x for x in own_lines if kind(x) != "heading"] for k, own_lines in whole.items()}
+    moved = {k: "\n\n".join(x if kind(x) == "heading" else others[k].pop() for x in own_lines) for k, own_lines in whole.items()}
+    assert {r.doc_id: r.result for r in run("t15_structure")} == moved
