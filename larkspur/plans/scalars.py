@@ -41,9 +41,9 @@ def stated_answer(v):
     return v.raw("benchmark").select("item_id", T.stated_answer(a).alias("answer"))
 
 
-@query("f7_normalized", r"SELECT doc_id, md5(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g')) normalized FROM documents WHERE lang = 'en'")
+@query("f7_normalized", r"SELECT doc_id, md5(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s]', '', 'g')) normalized FROM documents")
 def normalized(v):
-    return v.raw("documents").filter("lang = 'en'").select("doc_id", F.md5(T.normalized(F.col("text"))).alias("normalized"))
+    return v.raw("documents").select("doc_id", F.md5(T.normalized(F.col("text"))).alias("normalized"))
 
 
 @query("f8_first_line", r"SELECT doc_id, regexp_extract(text, '^\s*([^\n]*[^\s])', 1) line FROM documents")

@@ -97,3 +97,11 @@ def test_sections_of_all_documents(spark, own):
     others = {k: [x for x in own_lines if kind(x) != "heading"] for k, own_lines in whole.items()}
     moved = {k: "\n\n".join(x if kind(x) == "heading" else others[k].pop() for x in own_lines) for k, own_lines in whole.items()}
     assert {r.doc_id: r.result for r in run("t15_structure")} == moved
+
+
+def test_normalized_in_every_language(spark, tmp_path):
+    texts = [("de", "  Über  GRÖẞE, Maß\nund Ähre! "), ("es", "¿Qué AÑO? _Él_"), ("fr", "L'ÉTÉ à Nîmes:  Œuvre"), (None, "No Language."), ("en", "A b, C")]
+    spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    clean = lambda t: re.sub(r"[^\w\s]", "", re.sub(r"\s+", " ", t.strip().lower()))
+    got = {r.doc_id: r.normalized for r in registry.QUERIES["f7_normalized"](spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.md5(clean(t).encode()).hexdigest() for k, (_, t) in enumerate(texts)}
