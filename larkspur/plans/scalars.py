@@ -23,9 +23,9 @@ def exact_match(v):
     return v.qa_pairs.select("conv_id", "turn", S.exact_match(F.col("predicted"), F.col("question")).alias("correct"))
 
 
-@query("f2_substring_match", "SELECT conv_id, turn, contains(lower(predicted), lower(substr(question, 1, 3))) AS correct FROM qa_pairs")
+@query("f2_substring_match", r"SELECT conv_id, turn, contains(lower(regexp_replace(predicted, '^\s+|\s+$', '', 'g')), lower(regexp_replace(question, '^\s+|\s+$', '', 'g'))) AS correct FROM qa_pairs")
 def substring_match(v):
-    return v.qa_pairs.select("conv_id", "turn", F.contains(F.lower("predicted"), F.lower(F.substring("question", 1, 3))).alias("correct"))
+    return v.qa_pairs.select("conv_id", "turn", S.substring_match(F.col("predicted"), F.col("question")).alias("correct"))
 
 
 @query("f3_fuzzy_match")

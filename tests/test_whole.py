@@ -105,3 +105,11 @@ def test_normalized_in_every_language(spark, tmp_path):
     clean = lambda t: re.sub(r"[^\w\s]", "", re.sub(r"\s+", " ", t.strip().lower()))
     got = {r.doc_id: r.normalized for r in registry.QUERIES["f7_normalized"](spark, str(tmp_path)).collect()}
     assert got == {k: hashlib.md5(clean(t).encode()).hexdigest() for k, (_, t) in enumerate(texts)}
+
+
+def test_whole_text_is_looked_for(spark, tmp_path):
+    said = [("the cat", "I saw The Cat there"), ("the cat", "the dog"), (" what ", "so what?"), ("what is it", "what else")]
+    turns = [(k, t, role, text) for k, pair in enumerate(said) for t, (role, text) in enumerate(zip(("user", "assistant"), pair))]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.correct for r in registry.QUERIES["f2_substring_match"](spark, str(tmp_path)).collect()}
+    assert got == {k: a.strip().lower() in b.strip().lower() for k, (a, b) in enumerate(said)}
