@@ -1,7 +1,9 @@
-"""Resampling and fitted models. Replicates are drawn by hashes, so reruns agree; fits run per group on aggregated counts."""
+"""Resampling and fitted models. Replicates are drawn with fixed seeds, so reruns agree; both run on aggregated counts."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,27 +11,41 @@ from pyspark.sql import functions as F
 
 
 def permutation_test(df: DataFrame, first: str, second: str, rounds: int) -> DataFrame:
-    """Difference of means of two groups (columns g, x, id) and how often a relabelling is at least as far from zero. Labels keep their share in expectation: each row draws one per round."""
-    share = df.agg(F.avg((F.col("g") == first).cast("double")).alias("share"), (F.avg(F.when(F.col("g") == first, F.col("x"))) - F.avg(F.when(F.col("g") == second, F.col("x")))).alias("observed"))
-    drawn = df.crossJoin(F.broadcast(share)).select("x", "share", "observed", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"), "id")
-    label = F.pmod(F.xxhash64("id", "b"), F.lit(1 << 30)) / float(1 << 30) < F.col("share")
-    means = drawn.groupBy("b", "observed").agg((F.avg(F.when(label, F.col("x"))) - F.avg(F.when(~label, F.col("x")))).alias("d"))
-    extreme = F.count_if(F.abs("d") >= F.abs("observed"))
-    return means.groupBy("observed").agg(((extreme + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    """Difference of means of two groups (columns g, x) and how often a relabelling is at least as far from zero.
+
+    What a relabelling gives each distinct x is drawn from the counts of rows, so its cost does not grow with rows.
+    Groups keep their sizes; from 1e9 rows on, beyond numpy's draws, in expectation.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        counts = frame.pivot_table("n", "x", "g", "sum", fill_value=0, dropna=False).reindex(columns=[first, second], fill_value=0)
+        x, own, other = counts.index.to_numpy(), counts[first].to_numpy().astype("int64"), counts[second].to_numpy().astype("int64")
+        if not own.sum() or not other.sum():
+            return pd.DataFrame({"observed": [None], "p": [None]}, dtype="float64")
+        total, rng = own + other, np.random.default_rng(0)
+        distance = lambda a: (a @ x) / a.sum(-1) - ((total - a) @ x) / (total - a).sum(-1)
+        observed, extreme = distance(own), 0
+        for _ in range(rounds):
+            drawn = rng.multivariate_hypergeometric(total, own.sum(), method="marginals") if total.sum() < 10**9 else rng.binomial(total, own.sum() / total.sum())
+            extreme += abs(distance(drawn)) >= abs(observed) - 1e-12
+        return pd.DataFrame({"observed": [observed], "p": [(extreme + 1) / (rounds + 1)]})
+
+    counted = df.filter(F.col("g").isin(first, second) & F.col("x").isNotNull()).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy().applyInPandas(run, "observed double, p double")
 
 
 def bootstrap_mean(df: DataFrame, key: str, rounds: int) -> DataFrame:
-    """Percentile interval of the mean of x per key by Poisson bootstrap: each row weighs a Poisson(1) draw in each replicate."""
-    u = F.pmod(F.xxhash64("id", "b"), F.lit(1 << 30)) / float(1 << 30)
-    cuts, total, p = [], 0.0, np.exp(-1)
-    for k in range(8):
-        total += p
-        cuts.append(total)
-        p /= k + 1
-    weight = sum((u >= c).cast("int") for c in cuts)
-    drawn = df.select(key, "x", "id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b")).withColumn("w", weight)
-    means = drawn.groupBy(key, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
-    return means.groupBy(key).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    """Percentile interval of the mean of x per key. How often a replicate takes each distinct x is drawn from the counts of rows, so its cost does not grow with rows."""
+    schema = f"{key} string, mean double, low double, high double"
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        name, x, n = frame[key].iloc[0], frame["x"].to_numpy(), frame["n"].to_numpy().astype("int64")
+        rng = np.random.default_rng(zlib.crc32(str(name).encode()))
+        m = np.array([rng.multinomial(n.sum(), n / n.sum()) @ x for _ in range(rounds)]) / n.sum()
+        return pd.DataFrame([(name, m.mean(), *np.quantile(m, [0.025, 0.975]))], columns=[c.split()[0] for c in schema.split(", ")])
+
+    counted = df.filter(F.col("x").isNotNull()).groupBy(key, "x").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(key).applyInPandas(lambda f: run(f.sort_values("x")), schema)
 
 
 def _irls(x: np.ndarray, hits: np.ndarray, n: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray, float, bool]:

@@ -11,6 +11,8 @@ from larkspur.operators.aggregates import rate_where, wilson
 from larkspur.registry import query
 
 R = lambda c: F.round(c, 6)
+#: Rounds of resampling, as many as the reference takes.
+ROUNDS = 2000
 MOMENTS = "WITH m AS (SELECT model_id, count(*) n, avg(CAST(is_correct AS INTEGER)) a, var_samp(CAST(is_correct AS INTEGER)) v FROM levels GROUP BY model_id), "
 
 
@@ -96,13 +98,13 @@ def benjamini_hochberg(v):
 
 @query("st11_permutation", None)
 def permutation(v):
-    groups = v.evals.filter("model_family in ('alpha', 'gamma')").select(F.col("model_family").alias("g"), F.col("is_correct").cast("double").alias("x"), F.col("eval_id").alias("id"))
-    return M.permutation_test(groups, "alpha", "gamma", 200)
+    groups = v.evals.filter("model_family in ('alpha', 'gamma')").select(F.col("model_family").alias("g"), F.col("is_correct").cast("double").alias("x"))
+    return M.permutation_test(groups, "alpha", "gamma", ROUNDS)
 
 
 @query("st12_bootstrap", None)
 def bootstrap(v):
-    return M.bootstrap_mean(v.evals.select("model_family", F.col("is_correct").cast("double").alias("x"), F.col("eval_id").alias("id")), "model_family", 200)
+    return M.bootstrap_mean(v.evals.select("model_family", F.col("is_correct").cast("double").alias("x")), "model_family", ROUNDS)
 
 
 @query("st13_percentile_interval", "SELECT model_id, quantile_cont(k, 0.025) low, quantile_cont(k, 0.975) high FROM evals GROUP BY model_id")

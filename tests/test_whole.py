@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from larkspur import registry
+from larkspur.operators import models
 from larkspur.plans import bridge
 from tests.test_oracles import rows
 
@@ -113,3 +114,28 @@ def test_whole_text_is_looked_for(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r.correct for r in registry.QUERIES["f2_substring_match"](spark, str(tmp_path)).collect()}
     assert got == {k: a.strip().lower() in b.strip().lower() for k, (a, b) in enumerate(said)}
+
+
+def test_rounds_of_the_reference(spark, own, monkeypatch):
+    asked = {}
+    for name in ("permutation_test", "bootstrap_mean"):
+        monkeypatch.setattr(models, name, lambda df, *rest, name=name: asked.update({name: rest[-1]}) or df)
+    for name in ("st11_permutation", "st12_bootstrap"):
+        registry.QUERIES[name](spark, own)
+    assert asked == {"permutation_test": 2000, "bootstrap_mean": 2000}
+
+
+def test_resampling_against_known_figures(spark):
+    values = [("a", float(k < 400)) for k in range(1000)] + [("b", float(k < 480)) for k in range(1000)] + [("b", None), ("c", 1.0)]
+    df = spark.createDataFrame(values, "g string, x double")
+    far = models.permutation_test(df, "a", "b", 2000).first()
+    assert far.observed == pytest.approx(-0.08) and 0 < far.p < 0.004
+    assert models.permutation_test(df.filter("g = 'a' or x is null or x = 1"), "a", "b", 2000).first().p == 1 / 2001
+    few = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0)], "g string, x double")
+    assert models.permutation_test(few, "a", "b", 2000).first().p == pytest.approx(1 / 3, abs=0.05)
+    got = {r.g: r for r in models.bootstrap_mean(df, "g", 2000).collect()}
+    error = (0.4 * 0.6 / 1000) ** 0.5
+    assert got["a"].mean == pytest.approx(0.4, abs=0.002)
+    assert (got["a"].low, got["a"].high) == (pytest.approx(0.4 - 1.96 * error, abs=0.003), pytest.approx(0.4 + 1.96 * error, abs=0.003))
+    assert (got["c"].mean, got["c"].low, got["c"].high) == (1, 1, 1)
+    assert models.permutation_test(df.limit(0), "a", "b", 9).collect() == [] == models.bootstrap_mean(df.limit(0), "g", 9).collect()
