@@ -21,12 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from larkspur.llm import pretokens
-from larkspur.llm.common import text_runs, word_hashes
+from larkspur.llm.common import KEEP, text_runs, wide_view, word_hashes
 
 #: Slices longer than this are merged one at a time with a heap.
 LONG_SLICE = 64
-#: Distinct slices that a worker's cache holds before it starts anew.
-CACHE_SLICES = 500_000
+#: Distinct slices that a worker's cache holds, and bytes of them, before it starts anew; bytes of a slice that is kept.
+CACHE_SLICES, CACHE_BYTES, CACHED_BYTES = 500_000, 32 << 20, 256
 _NONE = np.int64(1 << 40)
 
 
@@ -47,7 +47,7 @@ class Ragged:
 
 
 class SliceCache:
-    """Ids of slices by their 64-bit hashes, in an open-addressing table of arrays. Bounded: when full it starts anew."""
+    """Ids of slices, found by 64-bit hashes in an open-addressing table of arrays and confirmed byte for byte. Bounded: when full it starts anew."""
 
     SHIFT = np.uint64(64 - 21)
 
@@ -58,11 +58,11 @@ class SliceCache:
     def clear(self) -> None:
         self.keys = np.zeros(1 << 21, np.uint64)
         self.places = np.zeros(1 << 21, np.int32)
-        self.ids = Ragged([], "<i4")
-        self.used, self.filled = 0, 0
-        self.ids.flat = np.empty(1 << 16, "<i4")
-        self.ids.start = np.zeros(1 << 14, np.int64)
-        self.ids.length = np.zeros(1 << 14, np.int64)
+        self.ids, self.text = Ragged([], "<i4"), Ragged([], "u1")
+        for kept, room in ((self.ids, 1 << 16), (self.text, 1 << 18)):
+            kept.flat = np.zeros(room, kept.flat.dtype)
+            kept.start, kept.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used, self.filled = [0, 0], 0
 
     def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each hash, or the empty one where its search ended; and which were found."""
@@ -77,25 +77,46 @@ class SliceCache:
             on = on[(key != 0) & (key != hashes[on])]
         return slot, found
 
-    def _add(self, hashes: np.ndarray, rows: list[bytes]) -> None:
-        new = np.frombuffer(b"".join(rows), "<i4")
-        length = np.array([len(r) // 4 for r in rows], np.int64)
-        while self.used + len(new) > len(self.ids.flat):
-            self.ids.flat = np.concatenate([self.ids.flat, np.empty_like(self.ids.flat)])
-        while self.filled + len(rows) > len(self.ids.start):
-            self.ids.start = np.concatenate([self.ids.start, np.zeros_like(self.ids.start)])
-            self.ids.length = np.concatenate([self.ids.length, np.zeros_like(self.ids.length)])
-        self.ids.flat[self.used : self.used + len(new)] = new
-        self.ids.start[self.filled : self.filled + len(rows)] = self.used + np.cumsum(length) - length
-        self.ids.length[self.filled : self.filled + len(rows)] = length
-        place = np.arange(self.filled, self.filled + len(rows), dtype=np.int32)
-        self.used, self.filled = self.used + len(new), self.filled + len(rows)
+    def _append(self, slices: list[bytes]) -> np.ndarray:
+        """Encode slices and return the places of their ids."""
+        count = len(slices)
+        for which, (kept, rows) in enumerate(((self.ids, self.encode(slices)), (self.text, slices))):
+            new = np.frombuffer(b"".join(rows), kept.flat.dtype)
+            used, length = self.used[which], np.array([len(r) for r in rows], np.int64) // kept.flat.itemsize
+            while used + len(new) + 8 > len(kept.flat):
+                kept.flat = np.concatenate([kept.flat, np.zeros_like(kept.flat)])
+            while self.filled + count > len(kept.start):
+                kept.start = np.concatenate([kept.start, np.zeros_like(kept.start)])
+                kept.length = np.concatenate([kept.length, np.zeros_like(kept.length)])
+            kept.flat[used : used + len(new)] = new
+            kept.start[self.filled : self.filled + count] = used + np.cumsum(length) - length
+            kept.length[self.filled : self.filled + count] = length
+            self.used[which] = used + len(new)
+        self.filled += count
+        return np.arange(self.filled - count, self.filled, dtype=np.int32)
+
+    def _add(self, hashes: np.ndarray, slices: list[bytes]) -> None:
+        place = self._append(slices)
         while len(hashes):
             slot, _ = self._slots(hashes)
             slot, first = np.unique(slot, return_index=True)  # of those that meet in a slot, one takes it
             self.keys[slot], self.places[slot] = hashes[first], place[first]
             hashes, place = np.delete(hashes, first), np.delete(place, first)
 
+    def _same(self, buf: np.ndarray, starts: np.ndarray, length: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which slices are byte for byte those of their places."""
+        same = self.text.length[places] == length
+        here, there = wide_view(buf), np.ndarray((len(self.text.flat) - 7,), "<u8", self.text.flat, strides=(1,))
+        on, at = np.flatnonzero(same), 0
+        a, b, rest = starts[on], self.text.start[places[on]], length[on]
+        while len(on):
+            differ = ((here[a + at] ^ there[b + at]) & KEEP[np.minimum(rest, 8)]) != 0
+            same[on[differ]] = False
+            go = ~differ & (rest > 8)
+            on, a, b, rest = on[go], a[go], b[go], rest[go] - 8
+            at += 8
+        return same
+
     def encode_run(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slices of a run of text, and where each slice's ids end."""
         if len(bounds) > self.size + 1:  # one very long document: in parts that the table can hold
@@ -105,19 +126,30 @@ class SliceCache:
         starts, ends = bounds[:-1], bounds[1:]
         hashes = word_hashes(buf, starts, ends)
         hashes[hashes == 0] = 1
+        short = ends - starts <= CACHED_BYTES
         slot, found = self._slots(hashes)
-        if not found.all():
-            missing = np.flatnonzero(~found)
+        cut = lambda which: [buf[a:b].tobytes() for a, b in zip(starts[which].tolist(), ends[which].tolist())]
+        missing = np.flatnonzero(~found & short)
+        if len(missing):
             distinct, sample = np.unique(hashes[missing], return_index=True)
-            if self.filled + len(distinct) > self.size and self.filled:
+            if (self.filled + len(distinct) > self.size or self.used[1] > CACHE_BYTES) and self.filled:
                 self.clear()
-                missing = np.arange(len(hashes))
-                distinct, sample = np.unique(hashes, return_index=True)
-            part = missing[sample]
-            slices = [buf[a:b].tobytes() for a, b in zip(starts[part].tolist(), ends[part].tolist())]
-            self._add(distinct, self.encode(slices))
+                missing = np.flatnonzero(short)
+                distinct, sample = np.unique(hashes[missing], return_index=True)
+            self._add(distinct, cut(missing[sample]))
             slot, _ = self._slots(hashes)
-        return self.ids.gather(self.places[slot])
+        places = self.places[slot]
+        # Long slices, and any whose hash is another's, are encoded by themselves and not kept.
+        apart = ~short
+        apart[short] = ~self._same(buf, starts[short], (ends - starts)[short], places[short])
+        if not apart.any():
+            return self.ids.gather(places)
+        used, filled = list(self.used), self.filled
+        which = np.flatnonzero(apart)
+        places[which] = self._append(cut(which))
+        found = self.ids.gather(places)
+        self.used, self.filled = used, filled
+        return found
 
 
 class Ranks:
@@ -239,10 +271,10 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-def encode_column(column: pa.Array, cache: SliceCache) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def encode_column(column: pa.Array, cache: SliceCache, classes: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of rows of a text column: ids (int32), where each row's ids begin (one more entry than rows), byte offsets of slices in their rows, and where each row's slices begin."""
     for _, _, buf, offsets in text_runs(column):
-        bounds, first = pretokens.split(buf, offsets)
+        bounds, first = pretokens.split(buf, offsets, classes)
         if len(bounds) < 2:
             yield np.empty(0, "<i4"), np.zeros(len(offsets), np.int64), bounds[:0], first
             continue
@@ -273,13 +305,13 @@ def slabs(batch: pa.RecordBatch, column: int = 1, most: int = 8 << 20) -> Iterat
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return the id, ``ids`` (token ids) and ``slice_starts`` (byte offset of each pre-token) of each row."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    id_type, classes = df.schema[id_col].dataType.simpleString(), pretokens.classes_of_tiktoken()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = ranks(path).cache
         for whole in batches:
             for batch in slabs(whole):
-                parts = list(encode_column(batch.column(1), cache))
+                parts = list(encode_column(batch.column(1), cache, classes))
                 columns = [batch.column(0), lists([p[:2] for p in parts], pa.int32()), lists([p[2:] for p in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "slice_starts"])
 
@@ -293,15 +325,23 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ranks(path)
         for batch in batches:
-            texts = [b"".join(map(codec.tokens.__getitem__, ids or [])) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], [id_col, "bytes"])
+            counts = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:  # about a million ids at once, or one row
+                to = max(at + 1, int(np.searchsorted(counts, (counts[at - 1] if at else 0) + (1 << 20), "right")))
+                part = batch.slice(at, to - at)
+                flat, ends = codec.bytes.gather(part.column(1).flatten().to_numpy().astype(np.int64))
+                edges = np.concatenate([[0], ends])[np.concatenate([[0], counts[at:to] - (counts[at - 1] if at else 0)])].tolist()
+                view = memoryview(flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bytes(view[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())], [id_col, "bytes"])
+                at = to
 
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {id_type}, bytes binary")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode each text, decode its ids, and return the id, ``n_tokens``, ``ids_sha256`` (of decimal ids joined by commas) and ``decoded_sha256``; ``ids`` as well if asked for."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    id_type, classes = df.schema[id_col].dataType.simpleString(), pretokens.classes_of_tiktoken()
     schema = f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +349,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for whole in batches:
             for batch in slabs(whole):
                 counts, digests, decoded, kept = [], [], [], []
-                for ids, rows, _, _ in encode_column(batch.column(1), codec.cache):
+                for ids, rows, _, _ in encode_column(batch.column(1), codec.cache, classes):
                     counts.append(np.diff(rows))
                     for table, out, cut in ((codec.decimal, digests, 1), (codec.bytes, decoded, 0)):
                         flat, ends = table.gather(ids)

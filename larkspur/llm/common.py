@@ -7,6 +7,7 @@ UTF-8 bytes of an Arrow string column, a bounded run of documents at a time.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its own and any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -141,38 +144,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-_BASE = 0x2545F4914F6CDD1D  # odd, so that it has an inverse mod 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+_GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the low n bytes of eight
+#: Spans of more bytes are hashed one by one with BLAKE2.
+LONG_SPAN = 256
+
+
+def wide_view(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def word_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of byte spans as two numbers each, the same wherever a span stands.
+
+    Eight bytes at a time enter two states that feed each other; each step is a
+    bijection with a non-linear mixer, so no structure of a text cancels, and spans
+    of up to eight bytes and one length never coincide.
+    """
+    wide, length = wide_view(buf), ends - starts
+    n = length.astype(np.uint64)
+    chunk = wide[starts] & KEEP[np.minimum(length, 8)]
+    one, two = mix(chunk ^ (n * _GOLD)), mix(chunk + n * _ODD + _GOLD)
+    on = np.flatnonzero((length > 8) & (length <= LONG_SPAN))
+    if len(on):
+        a, b, at = one[on], two[on], 8
+        start, rest = starts[on], length[on] - 8
+        while len(on):
+            chunk = wide[start + at] & KEEP[np.minimum(rest, 8)]
+            a, b = mix((a ^ chunk) + b * _ODD), mix((b + chunk * _GOLD) ^ (a >> np.uint64(7)))
+            more = rest > 8
+            if not more.all():
+                done = on[~more]
+                one[done], two[done] = a[~more], b[~more]
+                on, start, rest, a, b = on[more], start[more], rest[more], a[more], b[more]
+            rest = rest - 8
+            at += 8
+    for k in np.flatnonzero(length > LONG_SPAN).tolist():
+        digest = np.frombuffer(hashlib.blake2b(buf[starts[k] : ends[k]], digest_size=16).digest(), "<u8")
+        one[k], two[k] = digest
+    return one, two
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same wherever a span stands: prefix sums of a polynomial mod 2**64, mixed."""
-    up, down = _power(len(buf) + 1)
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTES[buf] * up[: len(buf)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _GOLD)
+    """64-bit hashes of byte spans: the first half of word_digests."""
+    return word_digests(buf, starts, ends)[0]
 
 
 _ROLL = [np.uint64(x) for x in (mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))]
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of each k consecutive words (len - k + 1 of them, none if fewer)."""
+    """Hashes of each k consecutive words (len - k + 1 of them, none if fewer), from one half of their digests."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)

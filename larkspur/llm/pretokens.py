@@ -1,7 +1,8 @@
 """Pre-tokenisation without regular expressions.
 
-Code points become class codes with the lookahead that the split rule needs, and
-token boundaries follow from a small automaton over those codes. The automaton's
+Code points become class codes with the lookahead that the split rule needs (which
+code points are letters, numbers or white space, the library whose split is to be
+met is asked once, for all of them), and token boundaries follow from a small automaton over those codes. The automaton's
 transition functions compose associatively, so a run of text is cut into blocks,
 the function of every block is found for all blocks at once, a scan over blocks
 gives the state in which each begins, and a second sweep marks the boundaries.
@@ -14,6 +15,7 @@ space, of which the last character before a word stands apart.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,19 +25,70 @@ CLASSES = 8
 #: States: fresh (a token must start), within letters, numbers, signs or white space, after a leading blank, one or two letters of a contraction left.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_WHITE, LED, ONE_LEFT, TWO_LEFT = range(8)
 STATES = 8
-#: White space as Unicode's White_Space property has it.
-WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+POINTS = 0x110000
 
 
-@lru_cache(1)
-def base_classes() -> np.ndarray:
-    """Class of each code point without lookahead, by its Unicode category."""
+ANCHORS = {OTHER: "!", LETTER: "a", NUMBER: "1"}
+#: Code points that a library is asked about at once.
+TOGETHER = 512
+
+
+def _ask(whole: Callable[[list[str]], list[bool]]) -> bytes:
+    """The class of every code point, as a library has it: where runs of one class begin, and their classes.
+
+    whole: whether the library keeps each of some strings as one slice. Behind a letter, number or sign it does so only
+    for further ones of its kind, so Python's Unicode table is put to it in strings of one kind; where one is cut, and
+    for white space, each code point is asked about by itself.
+    """
     kinds = {"L": LETTER, "N": NUMBER}
-    table = np.full(0x110000, OTHER, np.uint8)
-    assigned = 0x32400  # no letters or numbers beyond
-    table[:assigned] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(assigned)), np.uint8, assigned)
-    table[WHITE_SPACE] = WHITE
-    return table
+    guess = np.array([WHITE if chr(c).isspace() else kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(POINTS)], np.uint8)
+    table = np.full(POINTS, WHITE, np.uint8)
+    table[0xD800:0xE000] = OTHER  # a text holds no lone surrogate
+    guess[0xD800:0xE000] = CLASSES
+    members = {kind: np.flatnonzero(guess == kind) for kind in ANCHORS}
+    groups = [(kind, own[at : at + TOGETHER]) for kind, own in members.items() for at in range(0, len(own), TOGETHER)]
+    alone = [np.flatnonzero(guess == WHITE)]
+    for (kind, part), sure in zip(groups, whole([ANCHORS[kind] + "".join(map(chr, part.tolist())) for kind, part in groups])):
+        if sure:
+            table[part] = kind
+        else:
+            alone.append(part)
+    points = np.concatenate(alone)
+    for kind, anchor in ANCHORS.items():
+        table[points[np.array(whole([anchor + chr(c) for c in points.tolist()]))]] = kind
+    edges = np.flatnonzero(np.append(True, table[1:] != table[:-1]))
+    return np.stack([edges, table[edges]]).astype("<i4").tobytes()
+
+
+@lru_cache(1)
+def classes_of_tiktoken() -> bytes:
+    """Classes as tiktoken has them for public_tokenizers.PATTERN. Called on the driver; workers get the result."""
+    import public_tokenizers
+    import tiktoken
+
+    def whole(strings: list[str]) -> list[bool]:
+        # A slice that is in the vocabulary becomes one id.
+        ranks = {bytes([b]): b for b in range(256)} | {s.encode(): 256 + k for k, s in enumerate(strings)}
+        encoding = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return [len(encoding.encode_ordinary(s)) == 1 for s in strings]
+
+    return _ask(whole)
+
+
+@lru_cache(2)
+def classes_of_file(path: str) -> bytes:
+    """Classes as the tokenizers library has them for the pre-tokenizer of a file. Called on the driver; workers get the result."""
+    from tokenizers import Tokenizer
+
+    slices = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    return _ask(lambda strings: [len(slices(s)) == 1 for s in strings])
+
+
+@lru_cache(2)
+def base_classes(runs: bytes) -> np.ndarray:
+    """Class of each code point without lookahead."""
+    edges, kinds = np.frombuffer(runs, "<i4").reshape(2, -1)
+    return np.repeat(kinds.astype(np.uint8), np.diff(np.append(edges, POINTS)))
 
 
 def _step(state: int, kind: int) -> tuple[int, bool]:
@@ -70,10 +123,10 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return move.ravel(), mark.ravel()
 
 
-def codes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def codes(points: np.ndarray, starts: np.ndarray, classes: bytes) -> np.ndarray:
     """Class codes with lookahead. starts: where non-empty texts begin."""
     n = len(points)
-    kind = base_classes()[points]
+    kind = base_classes(classes)[points]
     final = np.zeros(n + 2, bool)  # last character of a text
     final[starts[1:] - 1] = True
     final[n - 1 :] = True
@@ -138,7 +191,7 @@ def scan(code: np.ndarray, width: int = 512, lead: int = 16) -> np.ndarray:
     return np.ascontiguousarray(found.T).ravel()[:n]
 
 
-def split(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def split(buf: np.ndarray, offsets: np.ndarray, classes: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which tokens start (and the end), and for each text the index of its first token (one more entry than texts)."""
     n = len(buf)
     if not n:
@@ -147,5 +200,5 @@ def split(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     heads = np.flatnonzero((buf & 0xC0) != 0x80)  # first byte of each character
     texts = offsets[:-1][offsets[1:] > offsets[:-1]]
     starts = np.searchsorted(heads, texts)
-    bounds = heads[np.flatnonzero(scan(codes(points, starts)))]
+    bounds = heads[np.flatnonzero(scan(codes(points, starts, classes)))]
     return np.append(bounds, n), np.searchsorted(bounds, offsets)

@@ -13,15 +13,18 @@ and text columns are read, so other columns never clash.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm import pretokens
 from larkspur.llm.bpe import SliceCache, encode_column, lists, slabs
 
 #: Settings of the ORC writer: bytes of a stripe, rows between index entries, false positives of the Bloom filters.
@@ -30,17 +33,22 @@ INDEX_STRIDE = 2_000
 BLOOM_FPP = 0.01
 
 
+@lru_cache(2)
+def library(path: str):
+    """The tokenizer of a file, with the library's defaults."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(2)
 def library_cache(path: str) -> SliceCache:
     """A cache that has the tokenizers library encode every slice it has not seen.
 
     The library splits a text by the same rule before it merges, so the ids of a
-    text are those of its slices; strings of special tokens are ordinary text.
+    text that holds no added token are those of its slices.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer = library(path)
 
     def encode(slices: list[bytes]) -> list[bytes]:
         done = []
@@ -52,6 +60,23 @@ def library_cache(path: str) -> SliceCache:
     return SliceCache(encode)
 
 
+def encode_texts(column: pa.Array, path: str, classes: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of rows: ids, and where each row's begin. Rows that hold the literal of an added token are given to the library whole, which cuts them there."""
+    whole = np.zeros(len(column), bool)
+    for token in library(path).get_added_tokens_decoder().values():
+        whole |= pc.fill_null(pc.match_substring(column, token.content), False).to_numpy(zero_copy_only=False)
+    if not whole.any():
+        yield from (part[:2] for part in encode_column(column, library_cache(path), classes))
+        return
+    for at, end in itertools.pairwise(np.append(np.flatnonzero(np.append(True, whole[1:] != whole[:-1])), len(whole)).tolist()):
+        part = column.slice(at, end - at)
+        if not whole[at]:
+            yield from (part[:2] for part in encode_column(part, library_cache(path), classes))
+        for text in part.to_pylist() if whole[at] else []:
+            ids = np.array(library(path).encode(text, add_special_tokens=False).ids, "<i4")
+            yield ids, np.array([0, len(ids)])
+
+
 def with_end(ids: np.ndarray, rows: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Append the end id to each row."""
     grown = rows + np.arange(len(rows))
@@ -65,11 +90,12 @@ def with_end(ids: np.ndarray, rows: np.ndarray, end_id: int) -> tuple[np.ndarray
 def write(df: DataFrame, store: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, end each with end_id, and write the lists in ascending order of ids."""
 
+    classes = pretokens.classes_of_file(tokenizer_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = library_cache(tokenizer_path)
         for whole in batches:
             for batch in slabs(whole):
-                parts = [with_end(ids, rows, end_id) for ids, rows, _, _ in encode_column(batch.column(1), cache)]
+                parts = [with_end(ids, rows, end_id) for ids, rows in encode_texts(batch.column(1), tokenizer_path, classes)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(parts, pa.int32())], ["doc_id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()

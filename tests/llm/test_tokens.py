@@ -20,7 +20,7 @@ LETTERS = "abcsStTmMdDrevl'' ' \n\t\r  12é́ß  ٣Ⅷ漢字🙂!?.$-_\x1c\x8
 def texts(n=3000, seed=1):
     rng = random.Random(seed)
     made = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 60))) for _ in range(n)]
-    return [*made, None, "", "a" * 5000, "ab " * 3000, " " * 3000, "'" * 300, "hello'" * 50, "x're", "'ll", "  'll", "a 's", "<|endoftext|> <|x|>"]
+    return [*made, None, "", "a" * 5000, "ab " * 3000, " " * 3000, "'" * 300, "hello'" * 50, "x're", "'ll", "  'll", "a 's", "<|endoftext|> <|x|>", "a<|endoftext|>b", "x<|endoftext|", "<|endoftext|><|endoftext|>"]
 
 
 def reference():
@@ -29,7 +29,7 @@ def reference():
 
 
 def encoded(column, cache):
-    return [ids[a:b].tolist() for ids, rows, _, _ in bpe.encode_column(column, cache) for a, b in zip(rows, rows[1:])]
+    return [ids[a:b].tolist() for ids, rows, _, _ in bpe.encode_column(column, cache, pretokens.classes_of_tiktoken()) for a, b in zip(rows, rows[1:])]
 
 
 def test_ids_equal_the_library_s():
@@ -46,6 +46,35 @@ def test_a_full_cache_and_long_runs():
     assert encoded(pa.array(given, pa.string()), codec.cache) == [encoding.encode_ordinary(t or "") for t in given]
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_unlike_slices_of_equal_hash_or_structure():
+    given = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a"), thue_morse(128, "a", "b"), thue_morse(128, "b", "a")]
+    encoding = reference()
+    codec = bpe.Ranks(MULTI)
+    assert encoded(pa.array(given), codec.cache) == [encoding.encode_ordinary(t) for t in given]
+    words = ["".join(random.Random(k).choices("abcde", k=3 + k % 30)) for k in range(300)]
+    hashed, bpe.word_hashes = bpe.word_hashes, lambda buf, starts, ends: np.full(len(starts), 7, np.uint64)
+    try:  # every slice has the same hash
+        codec = bpe.Ranks(MULTI)
+        assert encoded(pa.array(words), codec.cache) == [encoding.encode_ordinary(t) for t in words]
+        assert encoded(pa.array(words[::-1]), codec.cache) == [encoding.encode_ordinary(t) for t in words[::-1]]
+    finally:
+        bpe.word_hashes = hashed
+
+
+def test_every_code_point_in_both_libraries():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    given = ["".join(f"a{c}1{c}!{c} {c}" for c in points[at : at + 2048]) for at in range(0, len(points), 2048)]
+    column, encoding, tokenizer = pa.array(given), reference(), Tokenizer.from_file(LIBRARY)
+    assert encoded(column, bpe.Ranks(MULTI).cache) == encoding.encode_ordinary_batch(given)
+    parts = token_store.encode_texts(column, LIBRARY, pretokens.classes_of_file(LIBRARY))
+    ours = [ids[a:b].tolist() for ids, rows in parts for a, b in zip(rows, rows[1:])]
+    assert ours == [e.ids for e in tokenizer.encode_batch(given, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("width", [1, 3, 512])
 def test_block_scan_is_the_automaton(width):
     rng = np.random.default_rng(0)
@@ -85,7 +114,6 @@ def test_token_store(spark, tmp_path):
     store = f"file://{tmp_path}/store"
     token_store.write(df, store, LIBRARY)
     tokenizer = Tokenizer.from_file(LIBRARY)
-    tokenizer.encode_special_tokens = True
     start = 0
     rows = {r.doc_id: r for r in token_store.starts(token_store.index(spark, store)).collect()}
     for k, t in enumerate(given):
@@ -95,6 +123,7 @@ def test_token_store(spark, tmp_path):
         start += len(ids)
     assert [r.doc_id for r in token_store.lookup(spark, store, [30, 31]).collect()] == [30]
     token_store.write(df.limit(0), store + "-empty", LIBRARY)
+    assert token_store.starts(token_store.index(spark, store + "-empty")).count() == 0
     repeated = spark.createDataFrame([(5, "a"), (5, "a"), (None, "b")], "doc_id bigint, text string")
     token_store.write(repeated, store + "-odd", LIBRARY)
     odd = token_store.starts(token_store.index(spark, store + "-odd")).orderBy(F.asc_nulls_first("doc_id"), "start").collect()
