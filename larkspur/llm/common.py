@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a kernel takes at once; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
 
-#: Largest table of plain ids, in rows, that is broadcast; beyond it joins shuffle.
-BROADCAST_IDS = 2_000_000
+#: Largest table of plain ids (a few numbers a row, so some 10 MB in memory), in rows, that is broadcast; beyond it joins shuffle.
+BROADCAST_IDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

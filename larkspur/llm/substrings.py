@@ -8,18 +8,20 @@ document of smaller id, or earlier in the same one.
 2. Of each window the least hash among its ``anchor``-word grams is its anchor.
    Equal windows have equal anchors, and only about one gram in seven is one, so
    anchors that at least two documents share are found with a small shuffle.
-3. Windows under shared anchors are confirmed as recurring by their own hashes;
-   the least document id that holds one is where it stays.
-4. From that first document the recurring passages are cut out, as text, for each
-   later document that repeats them. Each shard of documents compiles the
-   passages meant for it into an Aho-Corasick automaton and streams its texts
-   through it, which locates every occurrence word for word. Documents to which
-   nothing is sent only lose what they repeat within themselves.
-
-Null, empty and short texts have no window and lose nothing. Rows that share an
-id count as one place: none removes the other. Rows with a null id are judged
+3. Windows under shared anchors are confirmed as recurring by their own 128-bit
+   hashes; the least document id that holds one is where it stays.
+4. Each first document is cut once into passages: runs of recurring windows that
+   the same documents repeat. A passage goes to its repeaters by its first window.
+   Each shard of documents compiles the passages meant for it into an Aho-Corasick
+   automaton and streams its texts through it, which locates every occurrence word
+   for word. Documents to which nothing is sent only lose what they repeat within
+   themselves.
+
+Null, empty and short texts have no window and lose nothing; a very long text is
+one place like any other. Rows that share an id count as one place: none removes
+the other, whether their texts are equal or not. Rows with a null id are judged
 only within themselves. Ties cannot occur, as places are distinct. An empty table
-gives an empty result. Other columns are not read.
+gives an empty result. Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import slabs
-from larkspur.llm.common import gram_hashes, hinted, materialise, mix, text_runs, without_ids, within, word_hashes, word_spans
+from larkspur.llm.common import gram_hashes, hinted, materialise, text_runs, within, word_digests, word_spans
 
 WINDOW, ANCHOR = 20, 8
 #: Characters of passages compiled into one automaton (of one document, if it has more).
@@ -55,26 +57,28 @@ def least_places(grams: np.ndarray, width: int) -> np.ndarray:
     return np.where(grams[b] < grams[a], b, a)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], window: int):
-    """For each run of documents: ids, first words, word hashes, window hashes and which windows are of one document."""
+def _runs(batches: Iterator[pa.RecordBatch], window: int, text: int = 1):
+    """For each run of documents: their rows, first words, both halves of word digests, and which windows are of one document."""
     for batch in batches:
-        for begin, end, buf, offsets in text_runs(batch.column(1)):
+        for begin, end, buf, offsets in text_runs(batch.column(text)):
             starts, ends, first = word_spans(buf, offsets)
-            words = word_hashes(buf, starts, ends)
-            yield batch.column(0).slice(begin, end - begin), first, words, gram_hashes(words, window), within(first, window, len(words))
+            words = word_digests(buf, starts, ends)
+            yield batch.slice(begin, end - begin), first, words, within(first, window, len(words[0]))
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, and two digests of the word sequence of each document that has a window."""
-    for ids, first, words, _, _ in _runs(batches, window):
-        keep, digests = [], []
-        for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-            if b - a >= window:
-                place = np.arange(b - a, dtype=np.uint64)
-                keep.append(k)
-                digests.append([mix(words[a:b] + place * np.uint64(m)).sum() for m in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)])
-        sums = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy())], ["doc_id", "d1", "d2"])
+    """From (doc_id, text, version): doc_id, version and the 128-bit digest of the word sequence of each document that has a window."""
+    for whole in batches:
+        for batch in slabs(whole):
+            keep, digests = [], []
+            for k, raw in enumerate(batch.column(1).cast(pa.large_binary())):
+                words = (raw.as_py() or b"").split()
+                if len(words) >= window:
+                    keep.append(k)
+                    digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+            kept = batch.take(pa.array(keep, pa.int64()))
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(2), *[pa.array(halves[:, k].copy()) for k in (0, 1)]], ["doc_id", "version", "d1", "d2"])
 
 
 def _distinct_by_document(values: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,52 +94,59 @@ def _distinct_by_document(values: np.ndarray, owner: np.ndarray, docs: int) -> t
 
 def anchor_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """The anchors of each document, once each."""
-    for ids, first, words, _, ok in _runs(batches, window):
+    for rows, first, (words, _), ok in _runs(batches, window):
         grams = gram_hashes(words, anchor)
         places = np.unique(least_places(grams, window - anchor + 1)[ok])
         owner = np.searchsorted(first, places, "right") - 1
-        once, _ = _distinct_by_document(grams[places], owner, len(ids))
+        once, _ = _distinct_by_document(grams[places], owner, rows.num_rows)
         yield pa.RecordBatch.from_arrays([pa.array(grams[places[once]].view(np.int64))], ["anchor"])
 
 
 def window_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, anchor and hashes of the windows under it; each window once in a document."""
-    for ids, first, words, windows, ok in _runs(batches, window):
-        grams = gram_hashes(words, anchor)
+    """doc_id, anchor and both halves of the hashes of the windows under it; each window once in a document."""
+    for rows, first, words, ok in _runs(batches, window):
+        grams = gram_hashes(words[0], anchor)
+        halves = [gram_hashes(half, window) for half in words]
         at = np.flatnonzero(ok)
         owner = np.searchsorted(first, at, "right") - 1
-        once, _ = _distinct_by_document(windows[at], owner, len(ids))
+        once, _ = _distinct_by_document(halves[0][at], owner, rows.num_rows)
         at, owner = at[once], owner[once]
         place = least_places(grams, window - anchor + 1)[at]
         new = np.ones(len(at), bool)
         new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
         heads = np.flatnonzero(new)
         offsets = pa.array(np.append(heads, len(at)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(owner[heads])), pa.array(grams[place[heads]].view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(windows[at].view(np.int64)))],
-            ["doc_id", "anchor", "windows"],
-        )
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(half[at].view(np.int64))) for half in halves]
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner[heads])), pa.array(grams[place[heads]].view(np.int64)), *lists], ["doc_id", "anchor", "w1", "w2"])
 
 
 def passage_batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """From (doc_id of the repeater, text of the first document, window hashes): doc_id and the passages those windows make, words joined by one space."""
+    """From (first, text, and w1, w2, repeaters of its recurring windows): the passages they make, each with its first window.
+
+    A passage is a run of windows with the same repeaters; its words are joined by one space.
+    """
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        out = []
+        table: list[tuple] = []
         for k in range(batch.num_rows):
-            raw = texts[k].as_py() or b""
+            raw = batch.column(1)[k].cast(pa.large_binary()).as_py() or b""
             buf = np.frombuffer(raw, np.uint8)
             starts, ends, _ = word_spans(buf, np.array([0, len(buf)]))
-            windows = gram_hashes(word_hashes(buf, starts, ends), window)
-            wanted = batch.column(2)[k].values.to_numpy().view(np.uint64)
-            once = np.sort(np.unique(windows, return_index=True)[1])
-            at = once[np.isin(windows[once], wanted)]
-            words, passages = raw.split(), []
-            for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
+            w1, w2 = (gram_hashes(half, window) for half in word_digests(buf, starts, ends))
+            wanted = [batch.column(c)[k].values.to_numpy() for c in (2, 3, 4)]
+            order = np.argsort(wanted[0].view(np.uint64))
+            known, half, repeaters = (x[order] for x in wanted)
+            place = np.minimum(np.searchsorted(known.view(np.uint64), w1), len(known) - 1)
+            hit = (known.view(np.uint64)[place] == w1) & (half.view(np.uint64)[place] == w2)
+            once = np.sort(np.unique(w1, return_index=True)[1])
+            at = once[hit[once]]
+            kind = repeaters[place[at]]
+            words = raw.split()
+            for run in np.split(at, np.flatnonzero((np.diff(at) != 1) | (kind[1:] != kind[:-1])) + 1):
                 if len(run):
-                    passages.append(b" ".join(words[run[0] : run[-1] + window]).decode("utf-8", "surrogatepass"))
-            out.append(passages)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["doc_id", "passages"])
+                    text = b" ".join(words[run[0] : run[-1] + window]).decode("utf-8", "surrogatepass")
+                    table.append((batch.column(0)[k].as_py(), int(w1[run[0]].view(np.int64)), int(w2[run[0]].view(np.int64)), text))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in table], t) for c, t in enumerate(kinds)], ["first", "w1", "w2", "passage"])
 
 
 class Located:
@@ -204,7 +215,8 @@ def finish_batches(batches: Iterator[pa.RecordBatch], window: int, keep_text: bo
             docs = [Located(r, p) for r, p in zip(raws, passages)]
             locate(docs, window)
             nth = 0
-            for ids, first, words, windows, ok in _runs(iter([batch]), window):
+            for _, first, (words, _), _ in _runs(iter([batch]), window):
+                windows = gram_hashes(words, window)
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                     if b - a >= window:
                         own = windows[a : b - window + 1]
@@ -233,33 +245,40 @@ def finish_batches(batches: Iterator[pa.RecordBatch], window: int, keep_text: bo
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Return doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) of each row, and the remaining text as ``kept`` if asked for."""
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows of one id are told apart by a hash of their texts, their version.
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
     named = docs.filter("doc_id is not null")
 
-    digests = materialise(named.mapInArrow(lambda b: digest_batches(b, window), "doc_id bigint, d1 bigint, d2 bigint"), "digests")
+    digests = materialise(named.mapInArrow(lambda b: digest_batches(b, window), "doc_id bigint, version bigint, d1 bigint, d2 bigint"), "digests")
     least = digests.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d1", "d2", "first")
-    copies = materialise(digests.join(least, ["d1", "d2"]).filter("doc_id > first").select("doc_id").distinct(), "copies")
-    distinct = without_ids(named, copies)
+    # Written tables on both sides, so that adaptive execution can split a group of very many copies.
+    copies = digests.join(hinted(materialise(least, "firsts")), ["d1", "d2"]).filter("doc_id > first")
+    copies = hinted(materialise(copies.select(F.col("doc_id").alias("__copy"), F.col("version").alias("__version")).distinct(), "copies"))
+    is_copy = (F.col("doc_id") == F.col("__copy")) & (F.col("version") == F.col("__version"))
+    distinct = named.join(copies, is_copy, "left_anti").select("doc_id", "text")
 
     anchors = distinct.mapInArrow(lambda b: anchor_batches(b, window, anchor), "anchor bigint")
     shared = materialise(anchors.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
-    windows = distinct.mapInArrow(lambda b: window_batches(b, window, anchor), "doc_id bigint, anchor bigint, windows array<bigint>")
-    windows = windows.join(hinted(shared), "anchor", "left_semi").select("doc_id", F.explode("windows").alias("w"))
-    windows = materialise(windows, "windows")
-    first = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w", "first")
-    sent = windows.join(first, "w").filter("doc_id > first").groupBy("first", "doc_id").agg(F.collect_list("w").alias("windows"))
-    sent = materialise(sent, "sent")
-
-    sources = hinted(materialise(sent.select(F.col("first").alias("__first")).distinct(), "sources"))
-    texts = docs.join(sources, F.col("doc_id") == F.col("__first"), "left_semi").select(F.col("doc_id").alias("first"), "text")
-    passages = sent.join(texts, "first").select("doc_id", "text", "windows").mapInArrow(lambda b: passage_batches(b, window), "doc_id bigint, passages array<string>")
-    passages = materialise(passages.groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("passages"))).alias("passages")), "passages")
+    windows = distinct.mapInArrow(lambda b: window_batches(b, window, anchor), "doc_id bigint, anchor bigint, w1 array<bigint>, w2 array<bigint>")
+    windows = windows.join(hinted(shared), "anchor", "left_semi").select("doc_id", F.explode(F.arrays_zip("w1", "w2")).alias("w"))
+    windows = materialise(windows.select("doc_id", "w.w1", "w.w2"), "windows")
+    # Sums of two halves of hashes, which cannot overflow, stand for the set of documents that hold a window.
+    half = lambda shift: F.sum(F.shiftrightunsigned(F.xxhash64("doc_id"), shift).bitwiseAND(0x7FFFFFFF))
+    places = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), half(0).alias("s0"), half(32).alias("s1"))
+    recurring = places.filter("first < last").select("first", "w1", "w2", F.xxhash64("s0", "s1").alias("repeaters"))
+    cuts = materialise(recurring.groupBy("first").agg(*[F.collect_list(c).alias(c) for c in ("w1", "w2", "repeaters")]), "recurring")
+
+    sources = hinted(materialise(cuts.select(F.col("first").alias("__first")), "sources"))
+    texts = distinct.join(sources, F.col("doc_id") == F.col("__first"), "left_semi").select(F.col("doc_id").alias("first"), "text")
+    passages = texts.join(cuts, "first").mapInArrow(lambda b: passage_batches(b, window), "first bigint, w1 bigint, w2 bigint, passage string")
+    passages = materialise(passages, "passages")
+    sent = materialise(windows.join(passages, ["w1", "w2"]).filter("doc_id > first").select(F.col("doc_id").alias("__id"), "passage"), "sent")
+    sent = materialise(sent.groupBy("__id").agg(F.collect_set("passage").alias("passages")), "repeats")
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
     finish = lambda frame: frame.mapInArrow(lambda b: finish_batches(b, window, keep_text), schema)
-    marked = hinted(passages.select("__id"))
-    gone = hinted(copies.select(F.col("doc_id").alias("__copy")))
-    flagged = docs.join(gone, F.col("doc_id") == F.col("__copy"), "left").select("doc_id", "text", F.col("__copy").isNotNull().alias("whole"))
+    marked = hinted(sent.select("__id"))
+    flagged = docs.join(copies, is_copy, "left").select("doc_id", "text", F.col("__copy").isNotNull().alias("whole"))
     alone = flagged.join(marked, F.col("doc_id") == F.col("__id"), "left_anti")
-    told = flagged.join(marked, F.col("doc_id") == F.col("__id"), "left_semi").join(passages, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "whole", "passages")
+    told = flagged.join(marked, F.col("doc_id") == F.col("__id"), "left_semi").join(sent, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "whole", "passages")
     return finish(alone).unionByName(finish(told))

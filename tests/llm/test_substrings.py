@@ -63,6 +63,36 @@ def test_repeated_rows_and_empty_table(spark):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    t, u = (" ".join(f"{c}{k}" for k in range(40)) for c in "tu")
+    rows = [(1, t), (2, t), (2, u), (3, u), (4, f"{t} {u}"), (2, t)]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), keep_text=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in out) == [(1, 40, 0), (2, 40, 0), (2, 40, 40), (2, 40, 40), (3, 40, 40), (4, 80, 80)]
+    assert [r.kept for r in out if r.doc_id == 2 and not r.n_removed] == [u]
+
+
+def test_words_of_like_structure(spark):
+    x, y = ("".join(p[bin(k).count("1") % 2] for k in range(1024)) for p in ("ab", "ba"))
+    shared = " ".join(f"w{k}" for k in range(19))
+    df = spark.createDataFrame([(1, f"{shared} {x}"), (2, f"{shared} {y}")], "doc_id bigint, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(df).collect()] == [0, 0]
+
+
+def test_many_repeaters_of_parts(spark):
+    """Passages of one document that different sets of later ones repeat, in other orders and in part."""
+    rng = random.Random(9)
+    source = [f"s{k}" for k in range(400)]
+    rows = [(0, " ".join(source))]
+    for i in range(1, 40):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(380)
+            text += source[a : a + rng.randint(5, 120)] + [f"u{i}"] * rng.randint(0, 3)
+        rows.append((i, " ".join(text)))
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute(rows)
+
+
 def test_documents(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in df.collect()]

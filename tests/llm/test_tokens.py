@@ -67,7 +67,7 @@ def test_unlike_slices_of_equal_hash_or_structure():
 
 def test_every_code_point_in_both_libraries():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    given = ["".join(f"a{c}1{c}!{c} {c}" for c in points[at : at + 2048]) for at in range(0, len(points), 2048)]
+    given = ["".join(f"1{c}a {c}" for c in points[at : at + 2048]) for at in range(0, len(points), 2048)]
     column, encoding, tokenizer = pa.array(given), reference(), Tokenizer.from_file(LIBRARY)
     assert encoded(column, bpe.Ranks(MULTI).cache) == encoding.encode_ordinary_batch(given)
     parts = token_store.encode_texts(column, LIBRARY, pretokens.classes_of_file(LIBRARY))
