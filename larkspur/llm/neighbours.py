@@ -1,18 +1,27 @@
 """Approximate nearest neighbours by cosine on robust-pruned directed graphs.
 
-Equal vectors become one node. Nodes are dealt by hash into shards of a bounded
-size; each task builds one shard's graph: points are inserted in batches, a beam
-search over the graph so far proposes neighbours, and relaxed pruning keeps a
-candidate only if no kept one is closer to it by the factor ``ALPHA``, so that
-edges point in diverse directions. Queries then run a beam search in every shard,
-as a stream of blocks behind the shard's vectors, and the best of all shards are
-merged. Every vector is indexed; recall is measured against brute force in the
-tests.
-
-Vectors that are null, zero, or hold null or non-finite components take no part,
-nor do vectors whose length is not the most frequent one, nor null ids. Rows that
-repeat an id with equal vectors count once. Fewer candidates than asked give
-fewer rows; an empty table gives none. Other columns are not read.
+Vectors of one direction become one node. Nodes are dealt by hash into shards of a
+bounded size; each task builds one shard's graph: points are inserted in batches,
+a beam search over the graph so far proposes neighbours, and relaxed pruning keeps
+a candidate only if no kept one is closer to it by the factor ``ALPHA``, so that
+edges point in diverse directions. Searches start from nodes that lie far apart,
+and some places of every node are kept for edges of a tree that reaches all nodes,
+so that tight clusters neither hide each other nor lose members. Queries then run a
+beam search in every shard, as a stream of blocks behind the shard's vectors, and
+the best of all shards are merged. Every vector is indexed; recall is measured
+against brute force in the tests.
+
+Distances are squared differences of unit vectors in double precision, which keep
+their digits however close vectors are; scores are cosines of the original vectors,
+summed in extended precision and rounded once, so that equal cosines tie.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor
+do null ids. Vectors of different lengths are never compared: each length is a space
+of its own. Directions that agree to 2**-40 in every component count as one; of its
+rows those of least id come first. Rows that repeat an id with equal vectors count
+once; of query rows that share an id with unlike vectors the least vector asks, and
+none of that id is an answer. Fewer candidates than asked give fewer rows; an empty
+table gives none. Other columns are not read, so their names do not matter.
 """
 
 from __future__ import annotations
@@ -26,38 +35,65 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialise
 
-#: Nodes of a shard on average, edges of a node, beam widths, relaxation of pruning, points inserted at once.
-SHARD_NODES, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH = 8192, 32, 48, 128, 1.2, 256
+#: Nodes of a shard on average, edges of a node by pruning, places of a node for the tree, beam widths, relaxation of pruning, points inserted at once, nodes where searches start.
+SHARD_NODES, DEGREE, KIN, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, ENTRIES = 8192, 32, 4, 48, 128, 1.2, 256, 32
 SEED = 11
 
 
+def units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled first, so that no square overflows."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows, in extended precision where the machine has it."""
+    a, b = a.astype(np.longdouble), b.astype(np.longdouble)
+    return ((a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))).astype(np.float64)
+
+
+def far_apart(unit: np.ndarray, count: int) -> np.ndarray:
+    """Up to ``count`` nodes, each the farthest from those before it."""
+    found, distance = [0], ((unit - unit[0]) ** 2).sum(1)
+    while len(found) < min(count, len(unit)) and distance.max() > 0:
+        found.append(int(distance.argmax()))
+        np.minimum(distance, ((unit - unit[found[-1]]) ** 2).sum(1), out=distance)
+    return np.array(found)
+
+
 class Graph:
     """A directed graph over unit vectors."""
 
     def __init__(self, vectors: np.ndarray):
-        self.unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+        self.unit = units(vectors)
         n = len(vectors)
-        self.edges = np.full((n, DEGREE), -1, np.int32)
-        self.entry = int(np.argmax(self.unit @ self.unit.mean(0)))
-        order = np.random.default_rng(SEED).permutation(n)
-        order = np.concatenate([[self.entry], order[order != self.entry]])
-        at, size = 1, 1
-        while at < n:
-            self._insert(order[at : at + size])
+        self.edges = np.full((n, DEGREE + KIN), -1, np.int32)
+        self.kin = np.zeros(n, np.int64)  # places of the tree in use
+        self.entries = far_apart(self.unit, ENTRIES)
+        rest = np.random.default_rng(SEED).permutation(n)
+        rest = rest[~np.isin(rest, self.entries)]
+        self.free = list(self.entries)  # nodes with a place of the tree left, in order of insertion
+        for node in self.entries.tolist():
+            self.edges[node, :DEGREE][: len(self.entries) - 1] = self.entries[self.entries != node][:DEGREE]
+        at, size = 0, 16
+        while at < len(rest):
+            self._insert(rest[at : at + size])
             at += size
             size = min(BATCH, size * 2)
 
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The beam of each unit query, nearest first: nodes (-1 beyond those found) and distances (1 - cosine)."""
+        """The beam of each unit query, nearest first: nodes (-1 beyond those found) and squared distances."""
         b, n = len(queries), len(self.unit)
         rows = np.arange(b)
+        start = self.entries[:width]
+        first = ((queries[:, None, :] - self.unit[start]) ** 2).sum(2)
+        order = np.argsort(first, 1, kind="stable")
         beam = np.full((b, width), -1, np.int32)
-        far = np.full((b, width), np.inf, np.float32)
-        beam[:, 0], far[:, 0] = self.entry, 1 - queries @ self.unit[self.entry]
-        open_ = np.zeros((b, width), bool)
-        open_[:, 0] = True
+        far = np.full((b, width), np.inf)
+        beam[:, : len(start)], far[:, : len(start)] = start[order], np.take_along_axis(first, order, 1)
+        open_ = beam >= 0
         seen = np.zeros((b, n), bool)
-        seen[:, self.entry] = True
+        seen[:, start] = True
         while True:
             pick = np.where(open_, far, np.inf).argmin(1)
             live = np.flatnonzero(open_[rows, pick])
@@ -67,10 +103,11 @@ class Graph:
             open_[live, pick] = False
             near = self.edges[beam[live, pick]]
             fresh = (near >= 0) & ~seen[live[:, None], near]
-            seen[np.repeat(live, fresh.sum(1)), near[fresh]] = True
-            distance = np.full(near.shape, np.inf, np.float32)
             which = np.repeat(live, fresh.sum(1))
-            distance[fresh] = 1 - np.einsum("ij,ij->i", queries[which], self.unit[near[fresh]])
+            seen[which, near[fresh]] = True
+            distance = np.full(near.shape, np.inf)
+            apart = queries[which] - self.unit[near[fresh]]
+            distance[fresh] = np.einsum("ij,ij->i", apart, apart)
             ids, dists = np.hstack([beam[live], np.where(fresh, near, -1)]), np.hstack([far[live], distance])
             opens = np.hstack([open_[live], fresh])
             best = np.argsort(dists, 1, kind="stable")[:, :width]
@@ -80,13 +117,12 @@ class Graph:
     def _prune(self, point: int, candidates: np.ndarray) -> np.ndarray:
         candidates = np.unique(candidates)
         candidates = candidates[(candidates >= 0) & (candidates != point)]
-        own = self.unit[candidates]
-        to_point = np.maximum(1 - own @ self.unit[point], 0)
+        own = self.unit[candidates] - self.unit[point]  # differences, so that close points keep their digits
+        to_point = np.einsum("ij,ij->i", own, own)
         order = np.argsort(to_point, kind="stable")
         candidates, to_point, own = candidates[order], to_point[order], own[order]
-        between = np.maximum(1 - own @ own.T, 0)
-        # 1 - cosine is half the squared distance, hence the squared factor
-        covered = ALPHA**2 * between <= to_point[None, :]
+        between = np.maximum(to_point[:, None] + to_point[None, :] - 2 * (own @ own.T), 0)
+        covered = ALPHA**2 * between < to_point[None, :]
         alive, kept = np.ones(len(candidates), bool), []
         for k in range(len(candidates)):
             if alive[k]:
@@ -96,43 +132,56 @@ class Graph:
                 alive &= ~covered[k]
         return candidates[kept]
 
+    def _hang(self, point: int, found: np.ndarray) -> None:
+        """Give a new point an edge of the tree from the nearest node found that has a place left, or else from the oldest that has one."""
+        for parent in found.tolist():
+            if parent >= 0 and self.kin[parent] < KIN:
+                break
+        else:
+            while self.kin[self.free[0]] >= KIN:
+                self.free.pop(0)
+            parent = self.free[0]
+        self.edges[parent, DEGREE + self.kin[parent]] = point
+        self.kin[parent] += 1
+
     def _insert(self, points: np.ndarray) -> None:
         beam, _ = self.search(self.unit[points], BUILD_BEAM)
         reverse: dict[int, list[int]] = {}
         for p, found in zip(points.tolist(), beam):
             own = self._prune(p, np.concatenate([found, points]) if len(points) < BUILD_BEAM else found)
             self.edges[p, : len(own)] = own
+            self._hang(p, found)
+            self.free.append(p)
             for q in own.tolist():
                 reverse.setdefault(q, []).append(p)
         for q, new in reverse.items():
-            old = self.edges[q][self.edges[q] >= 0]
+            old = self.edges[q, :DEGREE][self.edges[q, :DEGREE] >= 0]
             both = np.unique(np.concatenate([old, np.array(new, np.int32)]))
             if len(both) > DEGREE:
                 both = self._prune(q, both)
-            self.edges[q] = -1
+            self.edges[q, :DEGREE] = -1
             self.edges[q, : len(both)] = both
 
 
 def _top(graph: Graph, vectors: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query places, node places and exact cosines (in double precision) of the k best of each beam."""
-    norm = np.sqrt((queries * queries).sum(1))
-    beam, _ = graph.search((queries / norm[:, None]).astype(np.float32), min(SEARCH_BEAM, len(vectors)))
-    score = np.full(beam.shape, -np.inf)
-    hit = beam >= 0
+    """Query places, node places and cosines of the k best of each beam; those next to them are scored too, as distances are rounded."""
+    beam, _ = graph.search(units(queries), max(1, min(SEARCH_BEAM, len(vectors))))
+    near = beam[:, : 4 * k]
+    hit = near >= 0
     which = np.repeat(np.arange(len(queries)), hit.sum(1))
-    found = vectors[beam[hit]]
-    score[hit] = (queries[which] * found).sum(1) / (norm[which] * np.sqrt((found * found).sum(1)))
+    score = np.full(near.shape, -np.inf)
+    score[hit] = cosines(queries[which], vectors[near[hit]])
     best = np.argsort(-score, 1, kind="stable")[:, :k]
     rows = np.repeat(np.arange(len(queries)), best.shape[1])
-    nodes, scores = np.take_along_axis(beam, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()
+    nodes, scores = np.take_along_axis(near, best, 1).ravel(), np.take_along_axis(score, best, 1).ravel()
     return rows[nodes >= 0], nodes[nodes >= 0], scores[nodes >= 0]
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
 
 
-def search_shards(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+def search_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """From rows (shard, query?, id, vector), sorted so that in each shard vectors come before queries: query_id, node and score."""
     ids: list[np.ndarray] = []
     parts: list[np.ndarray] = []
@@ -149,7 +198,7 @@ def search_shards(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterat
                 now, graph, ids, parts = shards[a], None, [], []
             if not asks[a]:
                 ids.append(part.column(2).to_numpy())
-                parts.append(_matrix(part.column(3), dim))
+                parts.append(_matrix(part.column(3)))
                 continue
             if graph is None:
                 if not parts:
@@ -158,7 +207,7 @@ def search_shards(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterat
                 graph = Graph(vectors)
             for at in range(0, b - a, BATCH):
                 block = part.slice(at, BATCH)
-                rows, nodes, scores = _top(graph, vectors, _matrix(block.column(3), dim), k)
+                rows, nodes, scores = _top(graph, vectors, _matrix(block.column(3)), k)
                 yield pa.RecordBatch.from_arrays([block.column(2).take(pa.array(rows)), pa.array(names[nodes]), pa.array(scores)], ["query_id", "node", "score"])
 
 
@@ -168,19 +217,27 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     given = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(F.col(vector_col), lambda v: v.cast("double")).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     given = given.filter(F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(sound & F.exists(x, lambda v: v != 0))
-    dim = (given.groupBy(F.size(x).alias("d")).count().orderBy(F.desc("count"), "d").first() or (1,))[0]
-    given = materialise(given.filter(F.size(x) == dim), "vectors")
-    nodes = given.groupBy("x").agg(F.min("id").alias("node"))
-    nodes = materialise(nodes, "nodes")
-    shards = max(1, -(-nodes.count() // shard_nodes))
-    base = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), F.col("node").alias("id"), "x")
-    queries = given.filter("asks").dropDuplicates(["id"])
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "x")
-    stream = base.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
-    found = stream.mapInArrow(lambda b: search_shards(b, dim, k + 1), "query_id bigint, node bigint, score double")
-
-    # Of rows with equal vectors only the k + 1 of least id can be among a query's k; hot vectors are first cut in salted parts.
-    member = given.select("id", "x").distinct().join(nodes, "x").select("node", F.col("id").alias("vec_id"))
+    largest = F.array_max(F.transform(x, lambda v: F.abs(v)))
+    scaled = F.transform(x, lambda v: v / F.col("largest"))
+    length = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, v: s + v * v))
+    direction = F.transform("scaled", lambda v: F.floor(v / F.col("length") * float(1 << 40) + 0.5))
+    given = given.withColumn("largest", largest).withColumn("scaled", scaled).withColumn("length", length).withColumn("direction", direction)
+    given = materialise(given.select("id", "x", "asks", F.size(x).alias("dim"), F.xxhash64("direction").alias("d1"), F.xxhash64(F.lit(1), "direction").alias("d2")), "vectors")
+    line = ["dim", "d1", "d2"]
+    nodes = materialise(given.groupBy(*line).agg(F.min(F.struct("id", "x")).alias("least")).select(*line, F.col("least.id").alias("node"), F.col("least.x").alias("x")), "nodes")
+
+    # Each length of vectors has shards of its own, numbered one after another.
+    spaces = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_nodes).cast("int").alias("shards"))
+    spaces = materialise(spaces.withColumn("before", (F.sum("shards").over(Window.orderBy("dim")) - F.col("shards")).cast("int")), "spaces")
+    total = spaces.agg(F.sum("shards")).first()[0] or 1
+    base = nodes.join(spaces, "dim").select((F.col("before") + F.pmod(F.xxhash64("node"), "shards")).cast("int").alias("shard"), F.lit(False).alias("asks"), F.col("node").alias("id"), "x")
+    queries = given.filter("asks").groupBy("id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
+    asked = queries.join(spaces, "dim").select(F.explode(F.sequence("before", F.col("before") + F.col("shards") - 1)).alias("shard"), F.lit(True).alias("asks"), "id", "x")
+    stream = base.unionByName(asked).repartition(total, "shard").sortWithinPartitions("shard", "asks", "id")
+    found = stream.mapInArrow(lambda b: search_shards(b, k + 1), "query_id bigint, node bigint, score double")
+
+    # Of rows of one direction only the k + 1 of least id can be among a query's k; hot directions are first cut in salted parts.
+    member = given.select("id", *line).distinct().join(nodes.drop("x"), line).select("node", F.col("id").alias("vec_id"))
     salted = Window.partitionBy("node", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
     member = member.withColumn("nth", F.row_number().over(salted)).filter(F.col("nth") <= k + 1)
     member = member.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).filter(F.col("nth") <= k + 1).drop("nth")

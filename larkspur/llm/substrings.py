@@ -36,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.bpe import slabs
-from larkspur.llm.common import gram_hashes, hinted, materialise, text_runs, within, word_digests, word_spans
+from larkspur.llm.common import gram_hashes, hinted, materialise, small, text_runs, within, word_digests, word_spans
 
 WINDOW, ANCHOR = 20, 8
 #: Characters of passages compiled into one automaton (of one document, if it has more).
 SHARD_CHARS = 500_000
+#: Largest table of shared anchors (one number each, some 50 MB in memory), in rows, that is broadcast.
+BROADCAST_ANCHORS = 2_000_000
 
 
 def least_places(grams: np.ndarray, width: int) -> np.ndarray:
@@ -93,17 +95,17 @@ def _distinct_by_document(values: np.ndarray, owner: np.ndarray, docs: int) -> t
 
 
 def anchor_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """The anchors of each document, once each."""
+    """doc_id and the anchors of each document, once each."""
     for rows, first, (words, _), ok in _runs(batches, window):
         grams = gram_hashes(words, anchor)
         places = np.unique(least_places(grams, window - anchor + 1)[ok])
         owner = np.searchsorted(first, places, "right") - 1
         once, _ = _distinct_by_document(grams[places], owner, rows.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(grams[places[once]].view(np.int64))], ["anchor"])
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner[once])), pa.array(grams[places[once]].view(np.int64))], ["doc_id", "anchor"])
 
 
 def window_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, anchor and both halves of the hashes of the windows under it; each window once in a document."""
+    """From (doc_id, text), and the anchors to look under if there is a third column: doc_id, anchor and both halves of the hashes of the windows under it; each window once in a document."""
     for rows, first, words, ok in _runs(batches, window):
         grams = gram_hashes(words[0], anchor)
         halves = [gram_hashes(half, window) for half in words]
@@ -112,6 +114,11 @@ def window_batches(batches: Iterator[pa.RecordBatch], window: int, anchor: int)
         once, _ = _distinct_by_document(halves[0][at], owner, rows.num_rows)
         at, owner = at[once], owner[once]
         place = least_places(grams, window - anchor + 1)[at]
+        if rows.num_columns > 2:
+            cuts = np.searchsorted(owner, np.arange(rows.num_rows + 1)).tolist()
+            own = [np.isin(grams[place[a:b]], rows.column(2)[k].values.to_numpy().view(np.uint64)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            keep = np.concatenate([np.empty(0, bool), *own])
+            at, owner, place = at[keep], owner[keep], place[keep]
         new = np.ones(len(at), bool)
         new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
         heads = np.flatnonzero(new)
@@ -243,7 +250,7 @@ def finish_batches(batches: Iterator[pa.RecordBatch], window: int, keep_text: bo
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """Return doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) of each row, and the remaining text as ``kept`` if asked for."""
     # Rows of one id are told apart by a hash of their texts, their version.
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
@@ -257,11 +264,15 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id
     is_copy = (F.col("doc_id") == F.col("__copy")) & (F.col("version") == F.col("__version"))
     distinct = named.join(copies, is_copy, "left_anti").select("doc_id", "text")
 
-    anchors = distinct.mapInArrow(lambda b: anchor_batches(b, window, anchor), "anchor bigint")
-    shared = materialise(anchors.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
-    windows = distinct.mapInArrow(lambda b: window_batches(b, window, anchor), "doc_id bigint, anchor bigint, w1 array<bigint>, w2 array<bigint>")
-    windows = windows.join(hinted(shared), "anchor", "left_semi").select("doc_id", F.explode(F.arrays_zip("w1", "w2")).alias("w"))
-    windows = materialise(windows.select("doc_id", "w.w1", "w.w2"), "windows")
+    anchored = distinct.mapInArrow(lambda b: anchor_batches(b, window, anchor), "doc_id bigint, anchor bigint")
+    shared = materialise(anchored.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
+    under = lambda frame: frame.mapInArrow(lambda b: window_batches(b, window, anchor), "doc_id bigint, anchor bigint, w1 array<bigint>, w2 array<bigint>")
+    if small(shared, broadcast_anchors):
+        windows = under(distinct).join(F.broadcast(shared), "anchor", "left_semi")
+    else:  # lists of windows are many times the text: let each document's shared anchors meet its text first
+        own = anchored.join(shared, "anchor", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("anchor").alias("anchors"))
+        windows = under(distinct.join(own, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "anchors"))
+    windows = materialise(windows.select("doc_id", F.explode(F.arrays_zip("w1", "w2")).alias("w")).select("doc_id", "w.w1", "w.w2"), "windows")
     # Sums of two halves of hashes, which cannot overflow, stand for the set of documents that hold a window.
     half = lambda shift: F.sum(F.shiftrightunsigned(F.xxhash64("doc_id"), shift).bitwiseAND(0x7FFFFFFF))
     places = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), half(0).alias("s0"), half(32).alias("s1"))

@@ -39,6 +39,46 @@ def test_recall_of_a_graph_on_random_vectors():
     assert np.mean([n in truth[r] for r, n in zip(rows, nodes)]) > 0.9
 
 
+def recall(spark, x, queries, shard_nodes, k=5):
+    """Share of answers as near as brute force has them, by rank."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = neighbours.nearest(df, F.col("vec_id").isin(queries), k=k, shard_nodes=shard_nodes).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in queries:
+        apart = ((unit - unit[q]) ** 2).sum(1)
+        apart[q] = np.inf
+        bound = np.sort(apart)[k - 1]
+        hits += sum(apart[r.vec_id] <= bound * (1 + 1e-9) + 1e-15 for r in out if r.query_id == q)
+    return hits / (k * len(queries))
+
+
+def test_parallel_vectors_tie_and_smaller_ids_come_first(spark):
+    x = np.outer(np.arange(1, 600), [1.0, 2.0, -3.0])
+    df = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = neighbours.nearest(df, F.col("vec_id") == 500).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(k, 1.0) for k in range(1, 6)]
+
+
+def test_tight_clusters(spark):
+    rng = np.random.default_rng(3)
+    for noise in (1e-7, 1e-4, 0.05):
+        x = np.repeat(rng.normal(size=(4, 32)), 500, 0) + noise * rng.normal(size=(2000, 32))
+        assert recall(spark, x, list(range(0, 2000, 50)), 8192) >= 0.95, noise
+
+
+def test_several_full_shards(spark):
+    x = np.random.default_rng(4).normal(size=(6000, 32))
+    assert recall(spark, x, list(range(0, 6000, 100)), 2000) >= 0.95
+
+
+def test_lengths_are_spaces_and_ids_may_repeat(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0, 1.0]), (100, [1.0, 1.0, 2.0]), (3, [1e200, 1e200, 1e200]), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in out) == [(50, 1, 4, 1.0), (50, 2, 1, 0.0), (100, 1, 2, 0.942809), (100, 2, 3, 0.942809)]
+
+
 def test_odd_vectors_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(k, [1.0, 0.0]) for k in range(0, 40)] + [(100, [0.0, 1.0]), (101, [1.0, 1.0]), (102, None), (103, [0.0, 0.0]), (104, [nan, 1.0]), (105, [inf, 1.0]), (106, [None, 1.0]), (107, [1.0]), (None, [1.0, 0.0]), (100, [0.0, 1.0])]

@@ -46,6 +46,8 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id bigint, text string, first int, w string")
     out = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(df).collect()}
     assert out == brute(rows)
+    beyond = substrings.remove_repeats(df, broadcast_anchors=0).collect()  # the way for anchors that are too many to broadcast
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in beyond} == out
 
 
 def test_periodic_text_breaks_passages(spark):
