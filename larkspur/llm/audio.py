@@ -10,8 +10,10 @@ variable-bitrate table, verifies Layer III checksums, and gives the exact
 duration as samples over rate, and the offset of each frame for seeking.
 
 Null and empty texts become one block of padding; texts of any length are kept
-whole; equal texts have equal media; repeated rows are kept; an empty table gives
-an empty one. Only the id and text columns are read.
+whole, and batches are cut by bytes, so that a worker holds about 8 MB or one text
+at a time; equal texts have equal media, so ties do not arise; repeated rows are
+kept; an empty table gives an empty one. Only the id and text columns are read, so
+the names of others do not matter.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import slabs
+
 BLOCK = 576
 # Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by bitrate index, and sampling rates.
 BITRATES = {
@@ -226,11 +230,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for at in range(0, batch.num_rows, 500):
-                media = [encode_bytes(t.as_py() or b"") for t in texts.slice(at, 500)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 500), pa.array(media, pa.binary())], ["doc_id", "media"])
+        for whole in batches:
+            for batch in slabs(whole):
+                media = [encode_bytes(t.as_py() or b"") for t in batch.column(1).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, media binary")
 
@@ -252,7 +255,7 @@ def describe(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
         names = ["doc_id", *[c.split()[0] for c in DESCRIBED.split(", ")]]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slabs(whole)):
             rows = [row(m.as_py()) for m in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names)
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from larkspur.llm import pretokens
-from larkspur.llm.common import KEEP, text_runs, wide_view, word_hashes
+from larkspur.llm.common import KEEP, slabs, text_runs, wide_view, word_hashes
 
 #: Slices longer than this are merged one at a time with a heap.
 LONG_SLICE = 64
@@ -291,18 +291,6 @@ def lists(parts: list[tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.L
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def slabs(batch: pa.RecordBatch, column: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about 8 MB of text each, so that what a worker holds at once is bounded by that or by one document."""
-    at = 0
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(size.astype(np.int64))
-    while at < batch.num_rows:
-        done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return the id, ``ids`` (token ids) and ``slice_starts`` (byte offset of each pre-token) of each row."""
     id_type, classes = df.schema[id_col].dataType.simpleString(), pretokens.classes_of_tiktoken()

@@ -14,18 +14,20 @@
    rows; only links do.
 
 Every link between different texts that shares a bucket is found or is implied by
-others of its component. With 20 bands of 5 slots a pair of similarity 0.85
-shares none with probability 8e-6.
+others of its component. Bands of 5 slots are as many as make a pair at the
+threshold share none with probability 1e-5 at most: 20 for 0.85, 29 for 0.8.
 
 Letters A-Z are lowered. Null and empty texts, and texts without words, have no
-shingles and are linked with nothing. Rows that share an id are one node for
-linking, each returned. Rows with a null id take no part: their component is null
+shingles and are linked with nothing; very long texts are read whole. Rows that
+share an id stand for one document: what is near one of them is linked to all; each
+is labelled by its own text. Of ties, as among equal texts, the least id stays. Rows with a null id take no part: their component is null
 and they are kept. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,8 @@ from larkspur.llm import minhash
 from larkspur.llm.common import hinted, materialise
 from larkspur.llm.components import components
 
-SLOTS, ROWS = 100, 5
+#: Slots of a band, and the probability with which a pair at the threshold may share none.
+ROWS, MISSED = 5, 1e-5
 #: Nodes and shingles of a block; what a comparing task holds is two blocks.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 2_000_000
 
@@ -73,19 +76,26 @@ def compare(ids: np.ndarray, sets: list[np.ndarray], asking: np.ndarray, percent
 def _compare_frame(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     links = []
     for _, part in frame.groupby("super", sort=False):
-        part = part.sort_values("asks").drop_duplicates("node", keep="last")
+        # a node may come as one that asks and as one that is asked; rows of one id with unlike sets stay apart
+        part = part.assign(mark=[zlib.crc32(s) for s in part["shingles"]]).sort_values("asks").drop_duplicates(["node", "mark"], keep="last")
         links += compare(part["node"].to_numpy(), [np.asarray(s) for s in part["shingles"]], part["asks"].to_numpy(), percent, part["comp"].to_numpy())
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
+def bands_for(percent: int) -> int:
+    """Bands that a pair of this similarity misses all of with probability MISSED at most."""
+    return 1 if percent >= 100 else math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** ROWS))
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, n_shingles, component_id and kept for each row. Linked are documents with 100 * |A and B| >= percent * |A or B|."""
+    """Return doc_id, n_shingles, component_id, kept and version (a hash of the text, which tells rows of one id apart) for each row. Linked are documents with 100 * |A and B| >= percent * |A or B|."""
     spark = df.sparkSession
+    bands = bands_for(percent)
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = materialise(
-        docs.mapInArrow(lambda b: minhash.sketch_batches(b, words, SLOTS, ROWS), "doc_id bigint, n_shingles bigint, digest1 bigint, digest2 bigint, bands array<bigint>"),
-        "sketch",
+    sketched = docs.withColumn("version", F.xxhash64("text")).mapInArrow(
+        lambda b: minhash.sketch_batches(b, words, bands * ROWS, ROWS), "doc_id bigint, version bigint, n_shingles bigint, digest1 bigint, digest2 bigint, bands array<bigint>"
     )
+    sketch = materialise(sketched, "sketch")
     digest = ["digest1", "digest2", "n_shingles"]
     nodes = materialise(
         sketch.filter("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min(F.struct("doc_id", "bands")).alias("x")).select(*digest, F.col("x.doc_id").alias("node"), "x.bands"),
@@ -93,7 +103,6 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: st
     )
     # A set below this size is within the threshold of equal sets only.
     least = math.ceil(percent / (100 - percent)) if percent < 100 else 1 << 40
-    bands = SLOTS // ROWS
     wide = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.get("bands", i), F.get("bands", (i + 1) % bands)))
     keyed = nodes.filter(F.col("n_shingles") >= least).select("node", F.explode(F.concat("bands", wide)).alias("key"))
     buckets = materialise(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).filter("pivot < most").select("key", "pivot"), "buckets")
@@ -143,6 +152,6 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: st
 
     labels = components(links)
     by_set = nodes.select(*digest, F.col("node").alias("__node")).join(labels, F.col("__node") == F.col("node"), "left").select(*digest, F.coalesce("root", "__node").alias("label"))
-    result = sketch.select("doc_id", *digest).join(by_set, digest, "left")
+    result = sketch.select("doc_id", "version", *digest).join(by_set, digest, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "version")

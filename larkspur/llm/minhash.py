@@ -101,7 +101,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text): doc_id, n_shingles, two digests of the set, and band keys."""
+    """From (doc_id, text, version): doc_id, version, n_shingles, two digests of the set, and band keys."""
     for batch in batches:
         for begin, end, buf, offsets in text_runs(batch.column(1)):
             elements, first = shingle_sets(buf, offsets, k)
@@ -112,7 +112,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int)
                 digests.append(pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)))
             n = end - begin
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * keys.shape[1] + 1, keys.shape[1]).astype(np.int32)), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(np.diff(first)), *digests, lists], ["doc_id", "n_shingles", "digest1", "digest2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), batch.column(2).slice(begin, n), pa.array(np.diff(first)), *digests, lists], ["doc_id", "version", "n_shingles", "digest1", "digest2", "bands"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

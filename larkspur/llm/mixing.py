@@ -7,12 +7,15 @@ S exp(l) - l T, whose minimiser gives each document of the source the rate
 exp(l). The sufficient statistics, S, are summed over all documents with partial
 aggregation; Newton's steps then run beside each other on the table of sources.
 Rates are rounded into whole copies so that errors cancel: in buckets of a few
-hundred documents of one source, from the largest down, each document takes the
-number of copies next to its rate that keeps the running total nearest.
+hundred kinds of documents of one source, from the largest down, each takes the
+number of copies next to its rate that keeps the running total nearest. Rows of one
+source, id and size are one kind with a count, so that no bucket grows with rows
+that repeat an id or have none.
 
 Only DataFrame operations. Null sources form one source, ordered last; null or
-empty texts have size 0 and the rate's lower copy number; repeated rows each get
-copies; an empty table gives an empty mix. Other columns are not read.
+empty texts have size 0 and the rate's lower copy number; texts of any length are
+counted whole; repeated rows each get copies; ties in size go by id, nulls last; an
+empty table gives an empty mix. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -63,35 +66,39 @@ def rates(goals: DataFrame) -> DataFrame:
     return goals.withColumn("ratio", ratio).withColumn("tilt", F.when(F.col("ratio") > 0, tilt)).withColumn("rate", F.coalesce(F.exp("tilt"), F.lit(0.0))).drop("ratio")
 
 
-def _copies(rows, rate):
-    """Copies for an array of (size, doc_id), largest first: the count beside the rate that leaves the running error smaller."""
-    low = F.floor(rate)
-    part = rate - low
+def _more(rows, rate):
+    """For an array of (size, doc_id, n), largest first: how many of the n take one copy more than the rate's whole part, so that the running error stays smallest."""
+    part = rate - F.floor(rate)
 
     def take(state, row):
-        down, up = state["error"] - row["size"] * part, state["error"] + row["size"] * (F.lit(1.0) - part)
-        more = (F.abs(up) < F.abs(down)) & (part > 0)
-        return F.struct(F.when(more, up).otherwise(down).alias("error"), F.concat(state["taken"], F.array((low + more.cast("int")).cast("int"))).alias("taken"))
+        want = row["n"] * part - state["error"] / F.greatest(row["size"], F.lit(1))
+        more = F.when(part > 0, F.least(F.greatest(F.ceil(want - 0.5), F.lit(0)), row["n"])).otherwise(F.lit(0)).cast("bigint")
+        return F.struct((state["error"] + row["size"] * (more - row["n"] * part)).alias("error"), F.concat(state["more"], F.array(more)).alias("more"))
 
-    start = F.struct(F.lit(0.0).alias("error"), F.expr("cast(array() as array<int>)").alias("taken"))
-    return F.aggregate(rows, start, take, lambda s: s["taken"])
+    start = F.struct(F.lit(0.0).alias("error"), F.expr("cast(array() as array<bigint>)").alias("more"))
+    return F.aggregate(rows, start, take, lambda s: s["more"])
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Return doc_id, size, source_size, target, taken, source, rate and copies of each row of df."""
     sized = materialise(sizes(df, id_col, source_col, text_col), "sizes")
     goals = rates(targets(sized, weights, share, most)).withColumn("rate", F.least("rate", F.lit(float(most)))).withColumnRenamed("source", "of")
-    joined = sized.join(goals, F.col("source").eqNullSafe(F.col("of")))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / BUCKET))
+    kinds = sized.groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    joined = kinds.join(goals, F.col("source").eqNullSafe(F.col("of")))
+    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / BUCKET))
     keys = ["source", "source_size", "target", "rate", "bucket"]
-    grouped = joined.withColumn("bucket", bucket).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("rows"))
-    taken = grouped.select(*keys, F.explode(F.arrays_zip("rows", _copies(F.col("rows"), F.col("rate")).alias("copies"))).alias("x"))
-    size, copies = F.col("x.rows.size"), F.col("x.copies")
-    return taken.select(F.col("x.rows.doc_id").alias("doc_id"), size.alias("size"), "source_size", "target", (size * copies).alias("taken"), "source", "rate", copies.alias("copies"))
-
-
-def apply(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of df, each as often as the mix has it. Rows of one id (null included) share the largest number of copies among them."""
-    copies = materialise(mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0"), "copies")
-    joined = df.join(hinted(copies), F.col(id_col).eqNullSafe(F.col("__id")))
+    grouped = joined.withColumn("bucket", bucket).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "n")), asc=False).alias("rows"))
+    taken = grouped.select(*keys, F.explode(F.arrays_zip("rows", _more(F.col("rows"), F.col("rate")).alias("more"))).alias("x"))
+    each = taken.select(*keys, F.col("x.rows.doc_id").alias("doc_id"), F.col("x.rows.size").alias("size"), F.col("x.more").alias("more"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("x.rows.n"))).alias("nth"))
+    copies = (F.floor("rate") + (F.col("nth") <= F.col("more")).cast("int")).cast("int")
+    return each.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
+
+
+def apply(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Rows of df, each as often as the mix has it. Rows of one id, source and size share the largest number of copies among them."""
+    copies = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
+    copies = hinted(materialise(copies.filter("__copies > 0"), "copies"))
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    joined = df.join(copies, same)
     return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in df.columns])

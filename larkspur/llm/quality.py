@@ -11,8 +11,9 @@ Labels come only from rows whose crc32 of the id as text has remainder 0, 1 (for
 the weights) or 3 (for the calibration) mod 4. At most about ``labelled`` rows,
 chosen by hashes of ids, are used; statistics and scores cover every whole text.
 
-Null and empty texts have the vector of an empty text; repeated rows score
-alike; without labels of both kinds every score is the share of label 1, or 0.5
+Null and empty texts have the vector of an empty text; very long texts are read
+whole, in batches cut by bytes; repeated rows and equal texts score alike, ties
+included; without labels of both kinds every score is the share of label 1, or 0.5
 without any; an empty table gives an empty result. Only named columns are read.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise
+from larkspur.llm.common import materialise, slabs
 from larkspur.llm.toxicity import held_out, thinned
 
 COSINES, RIDGE, LABELLED, SUMMING_TASKS = 256, 1e-3, 100_000, 16
@@ -63,17 +64,17 @@ def statistics(text: bytes) -> list[float]:
 
 
 def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the statistics of each row."""
+    """doc_id, version (a hash of the text, which tells rows of one id apart) and the statistics of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slabs(whole)):
             texts = batch.column(1).cast(pa.large_binary())
             flat = np.array([statistics(t or b"") for t in (x.as_py() for x in texts)], np.float32).ravel()
             offsets = np.arange(0, len(flat) + 1, STATISTICS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "version", "x"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<float>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version")).mapInArrow(run, f"doc_id {kind}, version bigint, x array<float>")
 
 
 def isotonic(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +156,12 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
 
 
 def score(stats: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """Return doc_id, held_out, score and predicted for every row of vectors."""
+    """Return doc_id, held_out, score, predicted and version for every row of vectors."""
     kind = stats.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(_matrix(batch.column(2))), pa.float64())], ["doc_id", "version", "score"])
 
-    scored = stats.select("doc_id", "x").mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = stats.select("doc_id", "version", "x").mapInArrow(run, f"doc_id {kind}, version bigint, score double")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "version")

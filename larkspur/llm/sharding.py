@@ -5,22 +5,29 @@ as a run of small shards in tier 0. Where a tier has ``fan_in`` runs of similar
 size, they are merged into one run of the next tier, in files near the target
 size. Which runs a reader sees is stated by a manifest alone; manifests are
 numbered, and a new one is moved into place in one step that fails if the number
-is taken, so readers see either all of a change or nothing, and a writer that
-was overtaken starts over. Merging reads and writes without a shuffle.
-
-Only DataFrame operations touch rows. Null ids fall in arrival 0 of a split;
-null and empty texts, repeated rows and any other columns are stored as they
-are; arrivals without rows add no run, and an empty store reads as an empty
-table. Columns named __run and __arrival are the store's own and are replaced.
+is taken, so readers see either all of a change or nothing. A writer that was
+overtaken reads the newest manifest and puts its change on top of that; a merge
+whose runs are gone by then is dropped and planned anew. The file system must
+rename in one step and refuse to overwrite, as HDFS and POSIX ones do; object
+stores need a conditional put instead. Merging reads and writes without a shuffle.
+
+Only DataFrame operations touch rows. Rows without an arrival, as with null ids, fall
+in arrival 0; null, empty and very long texts, ties, repeated rows and any other
+columns are stored as they are; arrivals without rows add no run, and an empty store
+reads as an empty table. __run, __arrival and __tier are the store's own columns:
+given ones of these names are kept under the name with ``_given`` behind it.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,6 +36,8 @@ from larkspur.llm.common import remove_path
 
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
+#: Columns that a store adds.
+OWN = ["__run", "__arrival", "__tier"]
 
 
 @dataclass
@@ -76,15 +85,29 @@ class Store:
         raw = json.loads(text)
         return Manifest(raw["version"], raw["schema"], raw["made"], [Run(**r) for r in raw["runs"]])
 
-    def commit(self, new: Manifest) -> None:
-        """Put a manifest in place, or raise if its version exists."""
+    def commit(self, new: Manifest) -> bool:
+        """Put a manifest in place; False if its version exists."""
         draft, final = self._path("manifests", f".{uuid.uuid4().hex}"), self._path("manifests", f"v{new.version:08d}.json")
         out = self._fs().create(draft, True)
         out.write(bytearray(json.dumps({"version": new.version, "schema": new.schema, "made": new.made, "runs": [vars(r) for r in new.runs]}), "utf-8"))
         out.close()
         options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = getattr(self.jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.conf).rename(draft, final, options)
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.conf).rename(draft, final, options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            self._fs().delete(draft, False)
+            return False
+        return True
+
+    def change(self, onto: Callable[[Manifest], Manifest | None]) -> bool:
+        """Put a change on the newest manifest, again for as long as other writers come first. False if it says that it no longer fits."""
+        while (new := onto(self.manifest())) is not None:
+            if self.commit(new):
+                return True
+        return False
 
     def _measure(self, folder: str) -> DataFrame:
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
@@ -93,16 +116,23 @@ class Store:
     def append(self, df: DataFrame, arrival=None) -> int:
         """Write rows as tier 0 runs, one for each value of the column expression ``arrival`` (all in one without it), in its order; compact after each. Returns the version."""
         incoming = f"{self.root}/data/{uuid.uuid4().hex}"
-        order = F.lit(0) if arrival is None else arrival.cast("int")
-        df.withColumn("__arrival", order).withColumn("__run", F.col("__arrival")).write.option("compression", "zstd").partitionBy("__run").parquet(incoming)
+        order = F.lit(0) if arrival is None else F.coalesce(arrival.cast("int"), F.lit(0))
+        df = df.withColumn("__order", order)
+        for own in OWN:
+            if own in df.columns:
+                df = df.withColumnRenamed(own, f"{own}_given")
+        df = df.withColumnRenamed("__order", "__arrival")
+        df.withColumn("__run", F.col("__arrival")).write.option("compression", "zstd").partitionBy("__run").parquet(incoming)
         if not self._fs().exists(self._path("data", incoming.rpartition("/")[2])) or not list(self._fs().globStatus(self.jvm.org.apache.hadoop.fs.Path(incoming + "/__run=*"))):
             return self.manifest().version
         sizes = self._measure(incoming).groupBy("folder").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files")).collect()  # one row for each arrival
         for row in sorted(sizes, key=lambda r: int(r.folder.rpartition("=")[2])):
-            old = self.manifest()
-            nth = old.made.get("0", 0)
-            run = Run(f"L0-{nth}", 0, row.folder, row.bytes, row.files)
-            self.commit(Manifest(old.version + 1, df.withColumn("__arrival", order).schema.json(), old.made | {"0": nth + 1}, [*old.runs, run]))
+
+            def added(old: Manifest, row=row) -> Manifest:
+                nth = old.made.get("0", 0)
+                return Manifest(old.version + 1, df.schema.json(), old.made | {"0": nth + 1}, [*old.runs, Run(f"L0-{nth}", 0, row.folder, row.bytes, row.files)])
+
+            self.change(added)
             self.compact()
         return self.manifest().version
 
@@ -124,20 +154,32 @@ class Store:
     def compact(self) -> None:
         """Merge until no tier has fan_in runs of similar size."""
         while group := self.due((old := self.manifest()).runs):
-            tier = group[0].tier + 1
-            nth, total = old.made.get(str(tier), 0), sum(r.bytes for r in group)
+            tier, total, gone = group[0].tier + 1, sum(r.bytes for r in group), {g.name for g in group}
             path = f"{self.root}/data/{uuid.uuid4().hex}"
             merged = self.spark.read.schema(StructType.fromJson(json.loads(old.schema))).parquet(*[r.path for r in group])
             merged.coalesce(max(1, round(total / TARGET_BYTES))).write.option("compression", "zstd").parquet(path)
             size = self._measure(path).agg(F.sum("length"), F.count(F.lit(1))).first()
-            rest = [r for r in old.runs if r.name not in {g.name for g in group}]
-            self.commit(Manifest(old.version + 1, old.schema, old.made | {str(tier): nth + 1}, [*rest, Run(f"L{tier}-{nth}", tier, path, size[0], size[1])]))
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete runs that none of the last ``keep`` manifests names."""
+            def merged_in(old: Manifest) -> Manifest | None:
+                if not gone <= {r.name for r in old.runs}:
+                    return None
+                nth = old.made.get(str(tier), 0)
+                rest = [r for r in old.runs if r.name not in gone]
+                return Manifest(old.version + 1, old.schema, old.made | {str(tier): nth + 1}, [*rest, Run(f"L{tier}-{nth}", tier, path, size[0], size[1])])
+
+            if not self.change(merged_in):
+                remove_path(self.spark, path)
+
+    def vacuum(self, keep: int = 1, lost_after_hours: float = 24) -> None:
+        """Delete runs that none of the last ``keep`` manifests names, and folders so many hours old that hold none of those, as writers that died leave behind."""
         named = [{r.path for r in self.manifest(v).runs} for v in self.versions()]
         for path in set().union(*named) - set().union(*named[-keep:]):
             remove_path(self.spark, path)
+        known = {p.rpartition("/data/")[2].split("/")[0] for p in set().union(*named[-keep:])}
+        folder = self._path("data")
+        for status in self._fs().listStatus(folder) if self._fs().exists(folder) else []:
+            if status.getPath().getName() not in known and status.getModificationTime() < (time.time() - 3600 * lost_after_hours) * 1000:
+                remove_path(self.spark, status.getPath().toString())
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version with __arrival, and __run and __tier, which name the run that holds them."""

@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.bpe import slabs
-from larkspur.llm.common import gram_hashes, hinted, materialise, small, text_runs, within, word_digests, word_spans
+from larkspur.llm.common import gram_hashes, hinted, materialise, slabs, small, text_runs, within, word_digests, word_spans
 
 WINDOW, ANCHOR = 20, 8
 #: Characters of passages compiled into one automaton (of one document, if it has more).
@@ -214,11 +213,11 @@ def locate(docs: list[Located], window: int) -> None:
 
 
 def finish_batches(batches: Iterator[pa.RecordBatch], window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text, whole, passages): doc_id, n_words, n_removed, kept_sha256, and the remaining text if asked for (unchanged where nothing goes)."""
+    """From (doc_id, text, whole, version, passages): doc_id, n_words, n_removed, kept_sha256, version, and the remaining text if asked for (unchanged where nothing goes)."""
     for whole_batch in batches:
         for batch in slabs(whole_batch, 1, 2 << 20):
             raws = [r or b"" for r in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            passages = [p or [] for p in batch.column(3).to_pylist()] if batch.num_columns > 3 else [[]] * len(raws)
+            passages = [p or [] for p in batch.column(4).to_pylist()] if batch.num_columns > 4 else [[]] * len(raws)
             docs = [Located(r, p) for r, p in zip(raws, passages)]
             locate(docs, window)
             nth = 0
@@ -243,7 +242,8 @@ def finish_batches(batches: Iterator[pa.RecordBatch], window: int, keep_text: bo
                 kept = b" ".join(w for w, g in zip(doc.words, gone.tolist()) if not g) if count else b" ".join(doc.words)
                 rows.append((len(doc.words), count, hashlib.sha256(kept).hexdigest(), kept if count else raw))
             columns = [batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))]]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            columns.append(batch.column(3))
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "version"]
             if keep_text:
                 columns.append(pa.array([r[3] for r in rows], pa.binary()).cast(pa.string()))
                 names.append("kept")
@@ -251,7 +251,7 @@ def finish_batches(batches: Iterator[pa.RecordBatch], window: int, keep_text: bo
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
-    """Return doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) of each row, and the remaining text as ``kept`` if asked for."""
+    """Return doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) and version (a hash of the text) of each row, and the remaining text as ``kept`` if asked for."""
     # Rows of one id are told apart by a hash of their texts, their version.
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
     named = docs.filter("doc_id is not null")
@@ -286,10 +286,10 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id
     sent = materialise(windows.join(passages, ["w1", "w2"]).filter("doc_id > first").select(F.col("doc_id").alias("__id"), "passage"), "sent")
     sent = materialise(sent.groupBy("__id").agg(F.collect_set("passage").alias("passages")), "repeats")
 
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, version bigint" + ", kept string" * keep_text
     finish = lambda frame: frame.mapInArrow(lambda b: finish_batches(b, window, keep_text), schema)
     marked = hinted(sent.select("__id"))
-    flagged = docs.join(copies, is_copy, "left").select("doc_id", "text", F.col("__copy").isNotNull().alias("whole"))
+    flagged = docs.join(copies, is_copy, "left").select("doc_id", "text", F.col("__copy").isNotNull().alias("whole"), "version")
     alone = flagged.join(marked, F.col("doc_id") == F.col("__id"), "left_anti")
-    told = flagged.join(marked, F.col("doc_id") == F.col("__id"), "left_semi").join(sent, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "whole", "passages")
+    told = flagged.join(marked, F.col("doc_id") == F.col("__id"), "left_semi").join(sent, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "whole", "version", "passages")
     return finish(alone).unionByName(finish(told))

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import pretokens
-from larkspur.llm.bpe import SliceCache, encode_column, lists, slabs
+from larkspur.llm.bpe import SliceCache, encode_column, lists
+from larkspur.llm.common import slabs
 
 #: Settings of the ORC writer: bytes of a stripe, rows between index entries, false positives of the Bloom filters.
 STRIPE_BYTES = 16 << 20

@@ -13,8 +13,9 @@ Labels come only from rows whose crc32 of the id as text has not remainder 2 mod
 ``positives`` labelled toxic rows and about ``unlabelled`` rows of text, chosen
 by hashes of ids; scoring takes every whole text.
 
-Null and empty texts have no features and score by the bias alone; repeated rows
-score alike; without positives every score is 0; an empty table gives an empty
+Null and empty texts have no features and score by the bias alone; very long texts
+are read whole, in batches cut by bytes; repeated rows and equal texts score alike,
+ties included; without positives every score is 0; an empty table gives an empty
 result. Repeated, null or unknown labels are harmless. Only named columns are read.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import LOWER, gram_hashes, materialise, mix, text_runs, word_hashes, word_spans
+from larkspur.llm.common import LOWER, gram_hashes, materialise, mix, slabs, text_runs, word_hashes, word_spans
 
 WORD = re.compile(r"\w+")
 HEADS, TAILS = (4, 5, 6), (4, 5)
@@ -198,7 +199,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slabs(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -21,10 +23,57 @@ def test_quality_on_held_out_rows(spark):
 
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.train(docs, labels, positives=1000, unlabelled=3000)
-    scored = toxicity.score(docs.join(labels, "doc_id", "left_semi"), model)
-    accuracy, _ = held_out_accuracy(scored, labels, "toxic")
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score(docs.join(labels, "doc_id", "left_semi").withColumn("score", F.lit("x")), model)
+    accuracy, rows = held_out_accuracy(scored, labels, "toxic")
+    found = sum(r.predicted and r.toxic for r in rows)
     assert accuracy > 0.94
+    assert found >= 0.7 * sum(r.toxic for r in rows) and found >= 0.85 * sum(r.predicted for r in rows)
+    # scores are those of the fitted weights on the features of whole texts
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows[:200]:
+        at = [model.place[f] for f in toxicity.text_features(texts[r.doc_id]) if f in model.place]
+        assert abs(r.score - 1 / (1 + np.exp(-(sum(model.weights[k] for k in at) + model.weights[-1])))) < 1e-9
+
+
+def test_fit_reaches_a_minimum_of_the_risk():
+    """Held against the non-negative risk computed directly: no small step along any weight lowers it."""
+    rng = np.random.default_rng(5)
+    p, u = (rng.random((300, 4)) < [0.5, 0.4, 0.3, 0.2]).astype(np.float32), (rng.random((3000, 4)) < [0.1, 0.2, 0.3, 0.2]).astype(np.float32)
+    prior, decay = 0.05, 1e-3
+
+    def risk(w):
+        at_p, at_u = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        rest = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
+        return prior * np.logaddexp(0, -at_p).mean() + max(0.0, rest) + decay / 2 * (w[:-1] ** 2).sum()
+
+    w = toxicity.fit(p, u, prior, steps=4000, rate=0.02, decay=decay)
+    for k in range(5):
+        for step in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] += step
+            assert risk(moved) > risk(w) - 1e-6
+
+
+def test_quality_fit_is_the_ridge_solution(spark):
+    """Moments, normal equations and calibration summed over partitions, against numpy on all rows at once."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.vectors(docs.repartition(5))
+    model = quality.train(stats, labels)
+    rows = {r.doc_id: np.array(r.x, np.float64) for r in stats.collect()}
+    x = np.array(list(rows.values()))
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.deviation, np.where(x.std(0) > 1e-9, x.std(0), 1))
+    known = [(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None and r.doc_id in rows]
+    part = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in known}
+    fitted = [(rows[i], y) for i, y in known if part[i] in (0, 1)]
+    z, y = model.map(np.array([a for a, _ in fitted])), np.array([b for _, b in fitted], float)
+    gram = z.T @ z + quality.RIDGE * len(y) / quality.COSINES * np.diag([1.0] * quality.COSINES + [1e-6])
+    assert np.allclose(model.weights, np.linalg.solve(gram, z.T @ y), atol=1e-6)
+    aside = [(float((model.map(rows[i][None]) @ model.weights)[0]), y) for i, y in known if part[i] == 3]
+    knots, values = quality.isotonic(*np.array(sorted(aside)).T)
+    assert np.allclose(model.knots, knots) and np.allclose(model.values, values)
+    for r in quality.score(stats, model).collect():
+        assert abs(r.score - np.clip(np.interp((model.map(rows[r.doc_id][None]) @ model.weights)[0], knots, values), 0, 1)) < 1e-6
 
 
 def test_non_negative_risk_finds_the_positives_in_unlabelled_rows():

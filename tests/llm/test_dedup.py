@@ -75,6 +75,18 @@ def test_repeated_rows_and_empty_table(spark):
     assert dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_words_of_like_structure(spark):
+    x, y = ("".join(p[bin(k).count("1") % 2] for k in range(1024)) for p in ("ab", "ba"))
+    df = spark.createDataFrame([(1, f"p q r {x} s t"), (2, f"p q r {y} s t")], "doc_id bigint, text string")
+    assert [r.component_id for r in dedup.near_duplicates(df).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_rows_of_one_id_with_unlike_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (5, a + " z"), (5, b), (7, b + " y")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.component_id) for r in dedup.near_duplicates(df).collect()) == [(1, 1), (5, 1), (5, 1), (7, 1)]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2050)] + [(7, 7)]

@@ -53,6 +53,15 @@ def test_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_many_rows_without_an_id_and_of_equal_size(spark):
+    rows = [(None, "w " * (k % 5), "x") for k in range(3000)] + [(7, "a b", "y")] * 2000 + [(k, "v " * (k % 50), "z") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    goal, taken, out = check(spark, df)
+    for source, t in goal.items():
+        assert abs(taken[source] - t) <= max(0.02 * t, 50)
+    assert sorted(map(str, mixing.mix(df.repartition(9)).collect())) == sorted(map(str, out))
+
+
 def test_apply_repeats_rows(spark):
     df = spark.createDataFrame([(k, "w " * (k % 7 + 1), f"s{k % 3}") for k in range(300)], "doc_id bigint, text string, source string")
     mixed = mixing.mix(df)

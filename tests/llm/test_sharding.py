@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm.sharding import Manifest, Run, Store
@@ -18,14 +17,61 @@ def test_compaction_keeps_rows_and_versions(spark, tmp_path):
     assert store.read().count() == 4000
 
 
-def test_commit_fails_if_the_version_is_taken(spark, tmp_path):
+def test_a_version_is_taken_once(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.append(spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id bigint, text string"))
-    with pytest.raises(Exception, match="(?i)exist"):
-        store.commit(Manifest(1, "", {}, []))
+    assert not store.commit(Manifest(1, "", {}, []))
     assert store.read().count() == 3
 
 
+def test_overtaken_writers_start_over(spark, tmp_path):
+    """Another writer commits between a writer's look at the manifest and its commit, both for an append and for a merge."""
+    root = f"file://{tmp_path}/store"
+    lot = lambda k: spark.range(100 * k, 100 * k + 100).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    store, other = Store(spark, root), Store(spark, root)
+    commit, turns = store.commit, iter([True, False, True])
+
+    def overtaken(new):
+        if next(turns, False):
+            other.append(lot(90 + new.version))
+        return commit(new)
+
+    store.commit = overtaken
+    for k in range(5):
+        store.append(lot(k))
+    assert sorted(r.doc_id for r in store.read().collect())[:500] == list(range(500)) and store.read().count() == 700
+    assert len({r.path for r in store.manifest().runs}) == len(store.manifest().runs)
+
+    # a merge whose runs another writer has merged already is dropped
+    store = Store(spark, f"file://{tmp_path}/second")
+    other = Store(spark, f"file://{tmp_path}/second")
+    store.compact = lambda: None
+    for k in range(4):
+        store.append(lot(k))
+    del store.compact
+    commit, turns = store.commit, iter([True])
+
+    def beaten(new):
+        if next(turns, False):
+            other.compact()
+        return commit(new)
+
+    store.commit = beaten
+    store.compact()
+    assert [r.name for r in store.manifest().runs] == ["L1-0"] and store.read().count() == 400
+    store.vacuum(lost_after_hours=-1)
+    assert len(list((tmp_path / "second" / "data").iterdir())) == 1
+
+
+def test_columns_named_like_the_store_s_own(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    df = spark.createDataFrame([(1, "t", "a", "b", "c"), (None, None, None, None, None)], "doc_id bigint, text string, __tier string, __run string, __arrival string")
+    store.append(df, F.col("doc_id"))
+    rows = {r.doc_id: r for r in store.read().collect()}
+    assert (rows[1]["__tier_given"], rows[1]["__run_given"], rows[1]["__arrival_given"], rows[1]["__tier"], rows[1]["__arrival"]) == ("a", "b", "c", 0, 1)
+    assert rows[None]["__arrival"] == 0
+
+
 def test_empty_arrival(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     store.append(spark.createDataFrame([], "doc_id bigint, text string"))
