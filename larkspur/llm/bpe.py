@@ -62,6 +62,7 @@ class SliceCache:
         for kept, room in ((self.ids, 1 << 16), (self.text, 1 << 18)):
             kept.flat = np.zeros(room, kept.flat.dtype)
             kept.start, kept.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.heads = np.zeros(self.size + 1, np.uint64)  # the first eight bytes of each slice
         self.used, self.filled = [0, 0], 0
 
     def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +93,10 @@ class SliceCache:
             kept.start[self.filled : self.filled + count] = used + np.cumsum(length) - length
             kept.length[self.filled : self.filled + count] = length
             self.used[which] = used + len(new)
+        heads = [int.from_bytes(s[:8], "little") for s in slices]
+        if self.filled + count > len(self.heads):
+            self.heads = np.concatenate([self.heads, np.zeros(self.filled + count, np.uint64)])
+        self.heads[self.filled : self.filled + count] = heads
         self.filled += count
         return np.arange(self.filled - count, self.filled, dtype=np.int32)
 
@@ -105,10 +110,11 @@ class SliceCache:
 
     def _same(self, buf: np.ndarray, starts: np.ndarray, length: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Which slices are byte for byte those of their places."""
-        same = self.text.length[places] == length
-        here, there = wide_view(buf), np.ndarray((len(self.text.flat) - 7,), "<u8", self.text.flat, strides=(1,))
-        on, at = np.flatnonzero(same), 0
-        a, b, rest = starts[on], self.text.start[places[on]], length[on]
+        here = wide_view(buf)
+        same = (self.text.length[places] == length) & (self.heads[places] == here[starts] & KEEP[np.minimum(length, 8)])
+        there = np.ndarray((len(self.text.flat) - 7,), "<u8", self.text.flat, strides=(1,))
+        on, at = np.flatnonzero(same & (length > 8)), 8
+        a, b, rest = starts[on], self.text.start[places[on]], length[on] - 8
         while len(on):
             differ = ((here[a + at] ^ there[b + at]) & KEEP[np.minimum(rest, 8)]) != 0
             same[on[differ]] = False
@@ -141,7 +147,8 @@ class SliceCache:
         places = self.places[slot]
         # Long slices, and any whose hash is another's, are encoded by themselves and not kept.
         apart = ~short
-        apart[short] = ~self._same(buf, starts[short], (ends - starts)[short], places[short])
+        which = slice(None) if short.all() else short
+        apart[which] = ~self._same(buf, starts[which], (ends - starts)[which], places[which])
         if not apart.any():
             return self.ids.gather(places)
         used, filled = list(self.used), self.filled

@@ -162,20 +162,22 @@ def wide_view(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
 
 
-def word_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, both: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """128-bit hashes of byte spans as two numbers each, the same wherever a span stands.
 
     Eight bytes at a time enter two states that feed each other; each step is a
     bijection with a non-linear mixer, so no structure of a text cancels, and spans
-    of up to eight bytes and one length never coincide.
+    of up to eight bytes and one length never coincide. The second number is left out if not asked for.
     """
     wide, length = wide_view(buf), ends - starts
     n = length.astype(np.uint64)
     chunk = wide[starts] & KEEP[np.minimum(length, 8)]
-    one, two = mix(chunk ^ (n * _GOLD)), mix(chunk + n * _ODD + _GOLD)
+    one = mix(chunk ^ (n * _GOLD))
+    second = lambda chunk, n: mix(chunk + n * _ODD + _GOLD)
+    two = second(chunk, n) if both else None
     on = np.flatnonzero((length > 8) & (length <= LONG_SPAN))
     if len(on):
-        a, b, at = one[on], two[on], 8
+        a, b, at = one[on], second(chunk[on], n[on]), 8
         start, rest = starts[on], length[on] - 8
         while len(on):
             chunk = wide[start + at] & KEEP[np.minimum(rest, 8)]
@@ -183,19 +185,23 @@ def word_digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
             more = rest > 8
             if not more.all():
                 done = on[~more]
-                one[done], two[done] = a[~more], b[~more]
+                one[done] = a[~more]
+                if both:
+                    two[done] = b[~more]
                 on, start, rest, a, b = on[more], start[more], rest[more], a[more], b[more]
             rest = rest - 8
             at += 8
     for k in np.flatnonzero(length > LONG_SPAN).tolist():
         digest = np.frombuffer(hashlib.blake2b(buf[starts[k] : ends[k]], digest_size=16).digest(), "<u8")
-        one[k], two[k] = digest
+        one[k] = digest[0]
+        if both:
+            two[k] = digest[1]
     return one, two
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans: the first half of word_digests."""
-    return word_digests(buf, starts, ends)[0]
+    return word_digests(buf, starts, ends, both=False)[0]
 
 
 _ROLL = [np.uint64(x) for x in (mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))]

@@ -133,10 +133,9 @@ def codes(points: np.ndarray, starts: np.ndarray, classes: bytes) -> np.ndarray:
     white = kind == WHITE
     follow = np.zeros(n, bool)  # a character follows in the text, and it is not white
     follow[:-1] = ~white[1:] & ~final[: n - 1]
-    out = kind.copy()
     led = white & follow
-    out[led] = LONE
-    out[led & (points == 32)] = BLANK
+    out = kind - led.view(np.uint8)  # LONE comes before WHITE, and BLANK before that
+    out -= (led & (points == 32)).view(np.uint8)
     at = np.flatnonzero(points == 39)
     if len(at):
         padded = np.concatenate([points, np.zeros(2, points.dtype)])
