@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import WORD
 
 # Symbols that stand in for letters and digits.
-SYMBOLS = "@#$%&*+=~^"
+SYMBOLS = "@#$%&*+=?"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,3 +79,39 @@ def reordered(sections: Column) -> Column:
     headings, others = F.filter(placed, lambda s: s["kind"] == "heading"), F.filter(placed, lambda s: s["kind"] != "heading")
     moved = F.zip_with(others, F.reverse(others), lambda a, b: F.struct(a["at"].alias("at"), b["kind"].alias("kind"), b["content"].alias("content")))
     return F.transform(F.array_sort(F.concat(headings, moved)), lambda s: F.struct(s["kind"].alias("kind"), s["content"].alias("content")))
+
+
+def at_random(n: int, *parts: Column) -> Column:
+    """A number from 0 to n - 1 by the md5 of some texts."""
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 4), 16, 10).cast("int") % n
+
+
+def pseudo_word(word: Column, seed: str, consonants: str, vowels: str) -> Column:
+    """Consonants and vowels in turn, as long as the word, each by the md5 of seed, word and place."""
+
+    def sign(i: Column) -> Column:
+        pick = lambda letters: F.substr(F.lit(letters), at_random(len(letters), F.lit(seed + ":"), word, F.lit(":"), i.cast("string")) + 1, F.lit(1))
+        return F.when(i % 2 == 1, pick(consonants)).otherwise(pick(vowels))
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(word)), sign), "")
+
+
+def first_shift(word: Column, shifts: list[tuple[str, str]]) -> Column:
+    """The first of the rules whose letters are in the word, applied alone."""
+    out = word
+    for a, b in reversed(shifts):
+        out = F.when(F.contains(word, F.lit(a)), F.replace(word, F.lit(a), F.lit(b))).otherwise(out)
+    return out
+
+
+def inner_scrambled(text: Column, share: float, seed: str, identity: Column) -> Column:
+    """Of floor(n * share) of the n words, those of least md5 of seed, id and place, the inner letters go in order of md5 of seed, word and place; words of up to 3 letters stay."""
+    words = F.split(text, " ")
+    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct(F.md5(F.concat(F.lit(seed + ":"), identity, F.lit(":"), i.cast("string"))).alias("h"), i.alias("i"))))
+    chosen = F.transform(F.slice(ranked, F.lit(1), F.floor(F.size(words) * F.lit(share)).cast("int")), lambda s: s["i"])
+
+    def moved(w: Column) -> Column:
+        letters = F.array_sort(F.transform(F.sequence(F.lit(2), F.length(w) - 1), lambda j: F.struct(F.md5(F.concat(F.lit(seed + ":"), w, F.lit(":"), j.cast("string"))).alias("h"), F.substr(w, j, F.lit(1)).alias("c"))))
+        return F.concat(F.substr(w, F.lit(1), F.lit(1)), F.array_join(F.transform(letters, lambda s: s["c"]), ""), F.substr(w, F.length(w), F.lit(1)))
+
+    return F.array_join(F.transform(words, lambda w, i: F.when(F.array_contains(chosen, i) & (F.length(w) > 3), moved(w)).otherwise(w)), " ")

@@ -241,8 +241,11 @@ def queue_metrics(v):
 @query("j16_level_join", """WITH a AS (SELECT model_id, scramble_level, avg(CAST(is_correct AS INTEGER)) acc FROM evals WHERE scramble_level IS NOT NULL GROUP BY ALL), b AS (SELECT model_id, scramble_level, avg(tok_kl) kl FROM evals2 GROUP BY ALL)
 SELECT model_id, scramble_level, round(acc, 6) acc, round(kl, 6) kl FROM a JOIN b USING (model_id, scramble_level)""")
 def level_join(v):
-    # both sides group the same rows by the same keys, so one grouping does for the join
-    return v.evals.filter("scramble_level is not null").groupBy("model_id", "scramble_level").agg(R(F.avg(F.col("is_correct").cast("int"))).alias("acc"), R(F.avg("tok_kl")).alias("kl"))
+    keys = ["model_id", "scramble_level"]
+    scrambled = v.evals.filter("scramble_level is not null")
+    accuracy = scrambled.groupBy(*keys).agg(R(F.avg(F.col("is_correct").cast("int"))).alias("acc"))
+    tokens = scrambled.groupBy(*keys).agg(R(F.avg("tok_kl")).alias("kl"))
+    return accuracy.join(tokens, keys)
 
 
 @query("w2_ranked_families", "SELECT model_family, domain, rank() OVER (PARTITION BY domain ORDER BY acc DESC) AS place, acc FROM (SELECT model_family, domain, round(avg(CAST(is_correct AS INTEGER)), 6) acc FROM evals JOIN items USING (item_id) GROUP BY ALL)")

@@ -10,7 +10,7 @@ from larkspur.registry import query
 
 ALPHABET = X.LOWER + X.LOWER.upper()
 #: Letter groups and what replaces them, in order.
-PHONETIC = [("ph", "f"), ("th", "z"), ("ch", "k"), ("sh", "s"), ("qu", "kw"), ("ck", "k"), ("x", "ks")]
+PHONETIC = [("ch", "kh"), ("sh", "sh"), ("th", "dh"), ("ph", "f"), ("tion", "sion"), ("ck", "k"), ("qu", "kw")]
 SYNONYMS = {"the": "this", "and": "plus", "of": "from", "to": "towards", "is": "equals"}
 PIECES = r"'([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)'"
 

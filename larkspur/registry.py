@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module of plans that registers queries."""
-    from larkspur.plans import aggregates, languages, relational, reports, scalars, statistics, storage, transforms  # noqa: F401
+    from larkspur.plans import aggregates, inference, languages, records, relational, reports, rewriting, scalars, statistics, storage, stores, transforms  # noqa: F401
 
 
 load()
