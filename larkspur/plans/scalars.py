@@ -163,8 +163,10 @@ def list_items(v):
 
 @query("f34_vocabulary", r"WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w FROM documents) SELECT w, count(*) n FROM t WHERE length(w) >= 3 AND NOT regexp_matches(w, '[0-9_]') GROUP BY w HAVING count(*) >= 5")
 def vocabulary(v):
-    w = v.raw("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({T.WORD})"), 1)).alias("w"))
-    return w.filter((F.length("w") >= 3) & ~F.rlike("w", F.lit("[0-9_]"))).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    # words are chosen within the array, so that only those that count become rows
+    long = lambda w: (F.length(w) >= 3) & ~F.rlike(w, F.lit("[0-9_]"))
+    w = v.raw("documents").select(F.explode(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(f"({T.WORD})"), 1), long)).alias("w"))
+    return w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
 
 
 @query("a63_top_words", r"WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w, lang FROM documents) SELECT lang, w, n FROM (SELECT lang, w, count(*) n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) k FROM t GROUP BY lang, w) WHERE k <= 10")
