@@ -14,7 +14,7 @@ def normal_cdf(z):
     return 0.5 * (1 + _erf(np.asarray(z, float) / math.sqrt(2)))
 
 
-def _bisect(cdf, p, low: float, high: float, steps: int = 200):
+def _bisect(cdf, p, low: float, high: float, steps: int = 80):
     p = np.asarray(p, float)
     a, b = np.full(p.shape, low), np.full(p.shape, high)
     for _ in range(steps):
@@ -46,6 +46,8 @@ def incomplete_beta(x, a, b):
             c = 1 + step / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
+        if np.abs(d * c - 1).max(initial=0) < 1e-15:
+            break
     value = np.where(z <= 0, 0.0, front * h)
     return np.where(turn, 1 - value, value)
 
