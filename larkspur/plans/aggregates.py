@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import aggregates as A
+from larkspur.operators import windows as W
 from larkspur.registry import query
 
 R = lambda c: F.round(c, 6)
@@ -419,5 +420,7 @@ def row_count(v):
 
 @query("a88_running_totals", """SELECT eval_id, model_id, count(*) OVER w calls, round(sum(cost_usd) OVER w, 6) cost, round(avg(CAST(is_correct AS INTEGER)) OVER w, 6) success FROM evals WINDOW w AS (PARTITION BY model_id ORDER BY timestamp, eval_id ROWS UNBOUNDED PRECEDING)""")
 def running_totals(v):
-    w = Window.partitionBy("model_id").orderBy("timestamp", "eval_id").rowsBetween(Window.unboundedPreceding, 0)
-    return v.evals.select("eval_id", "model_id", F.count(F.lit(1)).over(w).alias("calls"), R(F.sum("cost_usd").over(w)).alias("cost"), R(F.avg(F.col("is_correct").cast("int")).over(w)).alias("success"))
+    rows = v.evals.select("eval_id", "model_id", "timestamp", "cost_usd", "is_correct")
+    sums = {"calls": F.lit(1).cast("bigint"), "cost": F.col("cost_usd"), "correct": F.col("is_correct").cast("bigint"), "judged": F.col("is_correct").isNotNull().cast("bigint")}
+    run = W.running_totals(rows, "model_id", F.date_trunc("hour", "timestamp"), ["timestamp", "eval_id"], sums)
+    return run.select("eval_id", "model_id", "calls", R("cost").alias("cost"), R(F.try_divide("correct", "judged")).alias("success"))

@@ -179,7 +179,10 @@ def top_words(v):
 
 @query("f36_consistency", "SELECT lower(role) AS original, count(DISTINCT lower(text)) > 1 AS inconsistent FROM conversations GROUP BY lower(role)")
 def consistency(v):
-    return v.raw("conversations").groupBy(F.lower("role").alias("original")).agg((F.count_distinct(F.lower("text")) > 1).alias("inconsistent"))
+    # two hashes of each text in place of a shuffle of distinct texts; they differ somewhere just where texts do
+    text = F.lower("text")
+    differ = [F.min(h) != F.max(h) for h in (F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit("again"), text)))]
+    return v.raw("conversations").groupBy(F.lower("role").alias("original")).agg(F.coalesce(differ[0] | differ[1], F.lit(False)).alias("inconsistent"))
 
 
 @query("f38_cache_key", "SELECT item_id, md5(concat_ws('|', item_id, dataset, domain)) key FROM items")

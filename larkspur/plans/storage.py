@@ -51,9 +51,10 @@ def csv_lines(v):
     return v.items.select("item_id", export.csv_line("item_id", "dataset", "question").alias("line"))
 
 
-@query("io27_key_export", "SELECT domain, string_agg(item_id || '=' || dataset, ';' ORDER BY item_id) keys FROM items GROUP BY domain")
+@query("io27_key_export", "SELECT item_id, to_json({'dataset': dataset, 'domain': domain, 'item_id': item_id}) line FROM items")
 def key_export(v):
-    return v.items.groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "dataset"))), lambda s: F.concat(s["item_id"], F.lit("="), s["dataset"])), ";").alias("keys"))
+    """Keys as JSON lines, one an item, so that no domain becomes one cell."""
+    return v.items.select("item_id", F.to_json(F.struct("dataset", "domain", "item_id"), {"ignoreNullFields": "false"}).alias("line"))
 
 
 @query("io30_remaining_models", "SELECT model_id FROM models WHERE model_id NOT IN (SELECT model_id FROM evals WHERE run_id = 'run_b' AND k > 98)")
@@ -79,7 +80,7 @@ def running_figures(v):
 @query("x_sessions", """WITH g AS (SELECT model_id, timestamp, CASE WHEN timestamp - lag(timestamp) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END f FROM evals WINDOW w AS (PARTITION BY model_id ORDER BY timestamp)),
 s AS (SELECT model_id, timestamp, sum(f) OVER (PARTITION BY model_id ORDER BY timestamp) s FROM g) SELECT model_id, min(timestamp) AS start, max(timestamp) + INTERVAL 30 MINUTE AS "end", count(*) n FROM s GROUP BY model_id, s""")
 def sessions(v):
-    return monitor.sessions(v.evals).select("model_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+    return W.sessions(v.evals, "model_id", "timestamp", 30).select("model_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("a60_recent_rates", "SELECT model_id, round(avg(CAST(is_correct AS INTEGER)), 6) success, round(avg(latency_ms), 6) latency FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY timestamp DESC, eval_id) n FROM evals) WHERE n <= 1000 GROUP BY model_id")

@@ -7,7 +7,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.sources.load import SUFFIXES, flattened, format_of
@@ -77,6 +77,17 @@ def codebook(df: DataFrame, meaning: dict[str, str] | None = None) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """name, size_bytes and sha256 of each file of an export, by which a copy can be checked; a task reads a file whole, so files are meant to be of an export's usual size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def content_lock(*columns: str) -> Column:
+    """The digest of a row's values as JSON in the order of names, nulls included, to show later that none was changed."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """A flat CSV with a header, nested cells as JSON."""
     flattened(df).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
