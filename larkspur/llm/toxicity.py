@@ -10,8 +10,10 @@ logistic loss makes scores probabilities.
 
 Labels come only from rows whose crc32 of the id as text has not remainder 2 mod
 4; the class prior is the share of toxic rows among them. Training takes at most
-``positives`` labelled toxic rows and about ``unlabelled`` rows of text, chosen
-by hashes of ids; scoring takes every whole text.
+``positives`` labelled toxic rows, and the risk is estimated on about ``unlabelled``
+rows of text, both chosen by hashes of ids. How frequent features are in unlabelled
+text, and by that the prior, is counted over every text outside the held-out rows;
+scoring takes every whole text.
 
 Null and empty texts have no features and score by the bias alone; very long texts
 are read whole, in batches cut by bytes; repeated rows and equal texts score alike,
@@ -130,21 +132,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[at].sum() + self.weights[-1], -50, 50))))
 
 
-def _document_counts(sample: DataFrame, among: frozenset[str] | None, least: int) -> dict[str, int]:
-    """In how many texts of a bounded sample each feature (of those given) is, if in at least so many."""
+def _document_counts(sample: DataFrame, least: int) -> dict[str, int]:
+    """In how many texts of a bounded sample each feature is, if in at least so many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counter: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
-                own = text_features(text)
-                counter.update(own if among is None else own & among)
+                counter.update(text_features(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["feature", "n"])
 
     counted = sample.select("text").mapInArrow(count, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     return {r.feature: r.n for r in counted.filter(F.col("n") >= least).collect()}
 
 
+def _rates(texts: DataFrame, features: list[str]) -> tuple[dict[str, int], int]:
+    """In how many of all texts each of the given features is, and how many texts there are: one pass, one row of counts a task."""
+    model, width = Model(features, np.zeros(len(features) + 1)), len(features)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(width + 1, np.int64)
+        for batch in (part for whole in batches for part in slabs(whole, 0)):
+            counts[-1] += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                counts[list(model.places(text))] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["at", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    found = {r.at: r.n for r in counted.collect()}  # a row a feature, of which bounded positives bound the number
+    return {features[k]: n for k, n in found.items() if k < width}, found.get(width, 0)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model:
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter(~held_out("__id") & F.col("__label").isNotNull() & F.col("__id").isNotNull())
     counts = known.agg(F.count(F.lit(1)).alias("n"), F.sum("__label").alias("p")).first()
@@ -162,17 +181,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = sample.agg(F.count_if("positive").alias("p"), F.count_if("drawn").alias("u")).first()
     if not totals.p or not totals.u:
         return Model([], np.empty(0))
-    in_positives = _document_counts(sample.filter("positive"), None, LEAST_DOCUMENTS)
-    in_drawn = _document_counts(sample.filter("drawn"), frozenset(in_positives), 1)
+    in_positives = _document_counts(sample.filter("positive"), LEAST_DOCUMENTS)
+    in_text, texts = _rates(pool, sorted(in_positives))
     evidence = {}
     for feature, p in in_positives.items():
-        expected = totals.p * (in_drawn.get(feature, 0) + 0.5) / totals.u
+        expected = totals.p * (in_text.get(feature, 0) + 0.5) / texts
         if p > expected and (e := p * np.log(p / expected) - p + expected) >= LEAST_EVIDENCE:
             evidence[feature] = e
     # Features that only positives have are as frequent in unlabelled text as the prior says; where labels claim more, believe the text.
     strong = sorted(evidence, key=evidence.get)[-50:]
     if strong:
-        prior = min(prior, max(1e-4, (sum(in_drawn.get(f, 0) for f in strong) / totals.u) / (sum(in_positives[f] for f in strong) / totals.p)))
+        prior = min(prior, max(1e-4, (sum(in_text.get(f, 0) for f in strong) / texts) / (sum(in_positives[f] for f in strong) / totals.p)))
     names = sorted(evidence, key=lambda f: (-evidence[f], f))[:features]
     model = Model(names, np.zeros(len(names) + 1))
 

@@ -36,6 +36,17 @@ def test_toxicity_on_held_out_rows(spark):
         assert abs(r.score - 1 / (1 + np.exp(-(sum(model.weights[k] for k in at) + model.weights[-1])))) < 1e-9
 
 
+def test_feature_rates_are_counted_over_all_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").unionAll(spark.sql("SELECT CAST(NULL AS string) UNION ALL SELECT ''"))
+    texts = [r.text for r in docs.collect()]
+    own = [toxicity.text_features(x) for x in texts]
+    features = sorted(set().union(*own))[::3]
+    rates, n = toxicity._rates(docs.repartition(5), features)
+    assert n == len(texts)
+    assert all(rates.get(f, 0) == sum(f in o for o in own) for f in features) and len(rates) == len(features)
+    assert toxicity._rates(docs.limit(0), features) == ({}, 0)
+
+
 def test_fit_reaches_a_minimum_of_the_risk():
     """Held against the non-negative risk computed directly: no small step along any weight lowers it."""
     rng = np.random.default_rng(5)
