@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from larkspur import registry
 
 #: What a smoke test runs if no names are given: one query of each kind.
-SMOKE = ["canonical_metrics", "a4_model_performance", "j9_aligned_pairs", "w1_retention_curve", "v8_limits"]
+SMOKE = ["canonical_metrics", "a4_model_performance", "j9_aligned_pairs", "w1_retention_curve", "v8_required_fields"]
 
 
 def _parser() -> argparse.ArgumentParser:
