@@ -9,9 +9,11 @@
 3. Within a group all links are found on full sets. A group that fits a task is
    compared there by an inverted index with union-find. A larger one is first
    linked through the ties that verify (long keys, of two bands, make most of
-   them hold); then only nodes outside the group's largest component are compared,
-   block by block, with all others. Pairs are counted in arrays and never become
-   rows; only links do.
+   them hold). Where more nodes than a block then lie outside its largest
+   component, as with texts that share much boilerplate, it is cut into finer
+   groups by rare shingles, which lose no link. What is still large is compared
+   block by block: nodes outside the largest component with all others. Pairs are
+   counted in arrays and never become rows; only links do.
 
 Every link between different texts that shares a bucket is found or is implied by
 others of its component. Bands of 5 slots are as many as make a pair at the
@@ -42,6 +44,9 @@ from larkspur.llm.components import components
 ROWS, MISSED = 5, 1e-5
 #: Nodes and shingles of a block; what a comparing task holds is two blocks.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 2_000_000
+#: Columns of the sets that are compared: group, node, set, and component by the links known so far; and of the links found.
+SETS = ["super", "node", "shingles", "comp"]
+LINKS = "u bigint, v bigint"
 
 
 def _find(parent: dict, x: int) -> int:
@@ -87,6 +92,60 @@ def bands_for(percent: int) -> int:
     return 1 if percent >= 100 else math.ceil(math.log(MISSED) / math.log(1 - (percent / 100) ** ROWS))
 
 
+def _inside(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links within groups (super) of more than one component that fit a task, many groups a task; and the groups that do not fit. sets: super, node, shingles, comp."""
+    extent = sets.groupBy("super").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("total"), (F.min("comp") < F.max("comp")).alias("mixed"))
+    fits = (F.col("n") <= BLOCK_NODES) & (F.col("total") <= BLOCK_SHINGLES)
+    extent = materialise(extent.filter("mixed").select("super", "total", fits.alias("fits")), "extent")
+    load = extent.filter("fits").agg(F.sum("total")).first()[0] or 0
+    batch = F.pmod(F.xxhash64("super"), F.lit(max(1, math.ceil(load / BLOCK_SHINGLES))))
+    work = sets.join(extent.filter("fits").select("super"), "super").select(batch.alias("batch"), *SETS, F.lit(True).alias("asks"))
+    links = work.groupBy("batch").applyInPandas(lambda _, frame: _compare_frame(frame, percent), LINKS)
+    return materialise(links, "links"), extent.filter("not fits").select("super")
+
+
+def _shape(sets: DataFrame) -> DataFrame:
+    """For each group of more than one component: its largest component (main), and into how many blocks all nodes and those outside it go."""
+    sizes = sets.groupBy("super", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("shingles")).alias("t"))
+    shape = sizes.groupBy("super").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.sum("t").alias("total"), F.max("c").alias("in_main"))
+    blocks = lambda n, t: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(t / BLOCK_SHINGLES))
+    outside = F.col("n") - F.col("in_main")
+    shape = shape.withColumns({"member_blocks": blocks(F.col("n"), F.col("total")), "asking_blocks": blocks(outside, F.col("total") * outside / F.col("n"))})
+    return materialise(shape.filter("in_main < n").select("super", "main", "member_blocks", "asking_blocks"), "shape")
+
+
+def _regroup(sets: DataFrame, percent: int) -> DataFrame:
+    """The same sets in finer groups, which still hold every pair at the threshold.
+
+    Shingles of a group are ordered by how many of its sets have them. Two sets at
+    the threshold share one of the first n - ceil(n * percent / 100) + 1 of each, so
+    components tied through these hold all links, while what very many sets share
+    comes last in all of them and ties none.
+    """
+    each = sets.select("super", "node", "comp", F.xxhash64("shingles").alias("mark"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("super", "shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    counted = each.join(often, ["super", "shingle"], "left").withColumn("c", F.coalesce("c", F.lit(1).cast("bigint")))
+    ordered = counted.groupBy("super", "comp", "node", "mark").agg(F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("order"))
+    first = (F.size("order") - F.ceil(F.size("order") * percent / 100) + 1).cast("int")
+    rare = ordered.select("super", "comp", F.explode(F.slice("order", 1, first)).alias("x")).filter("x.c > 1").select("super", "comp", F.col("x.shingle").alias("shingle"))
+    rare = materialise(rare.distinct(), "rare")
+    hubs = rare.groupBy("super", "shingle").agg(F.min("comp").alias("hub"), F.max("comp").alias("most")).filter("hub < most").drop("most")
+    tied = components(rare.join(hubs, ["super", "shingle"]).filter("comp > hub").select("comp", "hub"))
+    finer = sets.drop("super").join(tied.select(F.col("node").alias("comp"), F.col("root").alias("finer")), "comp", "left")
+    return materialise(finer.withColumn("super", F.coalesce("finer", "comp")).select(*SETS), "finer")
+
+
+def _by_blocks(sets: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """Links of groups of any size: nodes outside the largest component against all nodes, block by block."""
+    placed = sets.join(shape, "super")
+    spread = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
+    asking = placed.filter("comp != main").withColumns({"asks": F.lit(True), "ask": F.pmod(F.xxhash64("node"), "asking_blocks")}).withColumn("among", spread("member_blocks"))
+    among = placed.withColumns({"asks": F.lit(False), "among": F.pmod(F.xxhash64("node"), "member_blocks")}).withColumn("ask", spread("asking_blocks"))
+    columns = ["ask", "among", *SETS, "asks"]
+    work = asking.select(*columns).unionByName(among.select(*columns))
+    return materialise(work.groupBy("super", "ask", "among").applyInPandas(lambda _, frame: _compare_frame(frame, percent), LINKS), "links")
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, n_shingles, component_id, kept and version (a hash of the text, which tells rows of one id apart) for each row. Linked are documents with 100 * |A and B| >= percent * |A or B|."""
     spark = df.sparkSession
@@ -115,40 +174,24 @@ def near_duplicates(df: DataFrame, percent: int = 85, words: int = 5, id_col: st
     sets = docs.join(wanted, F.col("doc_id") == F.col("__node"), "left_semi").mapInArrow(lambda b: minhash.set_batches(b, words), "doc_id bigint, shingles array<bigint>")
     sets = materialise(sets.withColumnRenamed("doc_id", "node").join(members, "node"), "sets")
 
-    extent = sets.groupBy("super").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("total"))
-    fits = (F.col("n") <= BLOCK_NODES) & (F.col("total") <= BLOCK_SHINGLES)
-    extent = materialise(extent.withColumn("fits", fits), "extent")
-    schema = "u bigint, v bigint"
-    check = lambda frame: _compare_frame(frame, percent)
-    load = extent.filter("fits").agg(F.sum("total")).first()[0] or 0
-    batch = F.pmod(F.xxhash64("super"), F.lit(max(1, math.ceil(load / BLOCK_SHINGLES))))
-    columns = ["super", "node", "shingles", "asks", "comp"]
-    inside = sets.join(extent.filter("fits").select("super"), "super").withColumns({"asks": F.lit(True), "comp": F.col("node"), "batch": batch})
-    links = materialise(inside.select("batch", *columns).groupBy("batch").applyInPandas(lambda _, frame: check(frame), schema), "links")
-
-    large = extent.filter("not fits")
+    links, large = _inside(sets.withColumn("comp", F.col("node")), percent)
     if not large.isEmpty():
-        big = materialise(sets.join(hinted(large.select("super")), "super"), "large-sets")
+        big = materialise(sets.join(hinted(large), "super"), "large-sets")
         left, right = big.select("node", F.col("shingles").alias("a")), big.select(F.col("node").alias("pivot"), F.col("shingles").alias("b"))
-        shared = F.size(F.array_intersect("a", "b"))
-        tied = ties.join(left, "node").join(right, "pivot").withColumn("shared", shared)
+        tied = ties.join(left, "node").join(right, "pivot").withColumn("shared", F.size(F.array_intersect("a", "b")))
         holds = tied.filter(100 * F.col("shared") >= percent * (F.size("a") + F.size("b") - F.col("shared"))).select(F.col("node").alias("u"), F.col("pivot").alias("v"))
         holds = materialise(holds, "ties-held")
-        linked = components(holds)
-        labelled = big.join(linked.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        labelled = materialise(labelled, "labelled")
-        sizes = labelled.groupBy("super", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("shingles")).alias("t"))
-        shape = sizes.groupBy("super").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.sum("t").alias("total"), F.max("c").alias("in_main"))
-        blocks = lambda n, t: F.greatest(F.lit(1), F.ceil(n / BLOCK_NODES), F.ceil(t / BLOCK_SHINGLES))
-        shape = shape.withColumns({"member_blocks": blocks(F.col("n"), F.col("total")), "asking_blocks": blocks(F.col("n") - F.col("in_main"), F.col("total") * (F.col("n") - F.col("in_main")) / F.col("n"))})
-        shape = materialise(shape.filter("in_main < n").select("super", "main", "member_blocks", "asking_blocks"), "shape")
-        placed = labelled.join(shape, "super")
-        spread = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
-        asking = placed.filter("comp != main").withColumns({"asks": F.lit(True), "ask": F.pmod(F.xxhash64("node"), "asking_blocks")}).withColumn("among", spread("member_blocks"))
-        among = placed.withColumns({"asks": F.lit(False), "among": F.pmod(F.xxhash64("node"), "member_blocks")}).withColumn("ask", spread("asking_blocks"))
-        work = asking.select("ask", "among", *columns).unionByName(among.select("ask", "among", *columns))
-        found = work.groupBy("super", "ask", "among").applyInPandas(lambda _, frame: check(frame), schema)
-        links = links.unionByName(holds).unionByName(materialise(found, "links"))
+        linked = components(holds).withColumnRenamed("root", "comp")
+        labelled = materialise(big.join(linked, "node", "left").select("super", "node", "shingles", F.coalesce("comp", "node").alias("comp")), "labelled")
+        links, shape = links.unionByName(holds), _shape(labelled)
+        crowded = materialise(shape.filter("asking_blocks > 1").select("super"), "crowded")
+        if not crowded.isEmpty():
+            finer = _regroup(labelled.join(hinted(crowded), "super"), percent)
+            found, still = _inside(finer, percent)
+            links = links.unionByName(found)
+            labelled = labelled.join(hinted(crowded), "super", "left_anti").unionByName(finer.join(hinted(still), "super"))
+            shape = _shape(labelled)
+        links = links.unionByName(_by_blocks(labelled, shape, percent))
 
     labels = components(links)
     by_set = nodes.select(*digest, F.col("node").alias("__node")).join(labels, F.col("__node") == F.col("node"), "left").select(*digest, F.coalesce("root", "__node").alias("label"))

@@ -69,6 +69,35 @@ def test_groups_larger_than_a_block(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out if r.doc_id is not None} == brute(rows)
 
 
+def boilerplate(seed=9):
+    """Texts that share three quarters of their words, so that they tie but are not near, and some near copies among them."""
+    rng = random.Random(seed)
+    shared, rows = [f"b{k}" for k in range(300)], []
+    for k in range(80):
+        own = [f"{k}x{j}" for j in range(90)]
+        rows.append((len(rows), " ".join(shared + own)))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            copy = list(own)
+            copy[rng.randrange(90)] = "changed"
+            rows.append((len(rows), " ".join(shared + copy)))
+    return rows
+
+
+def test_shared_boilerplate(spark, monkeypatch):
+    rows = boilerplate()
+    near = brute(rows)
+    monkeypatch.setattr(dedup, "BLOCK_NODES", 8)
+    out = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out} == near
+
+    number = {}
+    sets = [(0, i, sorted(number.setdefault(s, len(number)) for s in shingles(t)), i) for i, t in rows]
+    finer = dedup._regroup(spark.createDataFrame(sets, "super bigint, node bigint, shingles array<bigint>, comp bigint"), 85).collect()
+    group = {r.node: r.super for r in finer}
+    assert all(group[i] == group[near[i][1]] for i, _ in rows)
+    assert max(list(group.values()).count(g) for g in group.values()) <= 8
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f g")] * 2 + [(2, "A b c d e f g")], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.component_id, r.kept) for r in dedup.near_duplicates(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False)]
