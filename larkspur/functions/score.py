@@ -44,24 +44,32 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
-def _clip(own: Column, other: Column):
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    return lambda s, g: s + F.least(count(own, g), count(other, g))
+def _once(values: Column, use) -> Column:
+    """use(values) with the values computed once, however often it names them."""
+    return F.get(F.transform(F.array(values), use), 0)
 
 
-def bleu(reference: Column, candidate: Column) -> Column:
-    """BLEU of up to four-grams against one reference; an order without a match counts 0.1. Empty texts give 0."""
-    r, c = tokens(reference), tokens(candidate)
+def _numbered(grams: Column) -> Column:
+    """Each gram with the number of its occurrence, so that a set operation counts repeats."""
+    return _once(F.sort_array(grams), lambda s: F.transform(s, lambda g, i: F.concat_ws(" ", g, (i - F.array_position(s, g)).cast("string"))))
+
+
+def _bleu(r: Column, c: Column) -> Column:
     logs = F.lit(0.0)
     for n in range(1, 5):
         own, other = _grams(c, n), _grams(r, n)
-        clipped = F.aggregate(F.array_distinct(own), F.lit(0), _clip(own, other))
         total = F.greatest(F.size(own), F.lit(1))
+        clipped = F.size(F.array_intersect(_numbered(own), _numbered(other)))
         logs = logs + F.log(F.when(clipped > 0, clipped.cast("double")).otherwise(0.1) / total) / 4
     brevity = F.when(F.size(c) > F.size(r), 1.0).otherwise(F.exp(1 - F.size(r) / F.size(c)))
     return F.when((F.size(c) == 0) | (F.size(r) == 0), 0.0).otherwise(brevity * F.exp(logs))
 
 
+def bleu(reference: Column, candidate: Column) -> Column:
+    """BLEU of up to four-grams against one reference; an order without a match counts 0.1. Empty texts give 0, nulls null."""
+    return _once(F.struct(tokens(reference).alias("r"), tokens(candidate).alias("c")), lambda p: _bleu(p["r"], p["c"]))
+
+
 def accepted(similarity: Column, edit: Column, bleu_: Column) -> Column:
     return (similarity >= 0.85) & ((edit >= 0.25) | (bleu_ <= 0.6))
 

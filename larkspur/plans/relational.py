@@ -41,22 +41,24 @@ def by_id(v):
     return v.evals.filter("eval_id = 'e17'").select("eval_id", "item_id", "is_correct")
 
 
-CANDIDATES = """WITH p AS (SELECT a.vec_id, a.vec_id % 2 AS candidate_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+CANDIDATES = """WITH p AS (SELECT a.vec_id, a.vec_id % 2 AS candidate_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda x: (a.vec_id % 5) * x[1] + x[2])) c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 candidates AS (SELECT vec_id, candidate_id, round(c, 6) cos_sim, CAST(vec_id % 100 AS DOUBLE) / 100 edit_ratio, vec_id % 3 = 0 AS accepted FROM p)
 """
 
 
 def candidates(v):
+    """Paraphrases of items: the candidate's vector is that of the next item with 0 to 4 parts of the item's own, so that both sides of a threshold occur."""
     from larkspur.functions.score import cosine
 
     e = v.raw("embeddings").select("vec_id", "embedding")
     j = e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1)
-    return j.select(F.col("a.vec_id"), (F.col("a.vec_id") % 2).alias("candidate_id"), R(cosine(F.col("a.embedding"), F.col("b.embedding"))).alias("cos_sim"), ((F.col("a.vec_id") % 100).cast("double") / 100).alias("edit_ratio"), (F.col("a.vec_id") % 3 == 0).alias("accepted"))
+    candidate = F.zip_with("a.embedding", "b.embedding", lambda x, y: F.col("a.vec_id") % 5 * x.cast("double") + y.cast("double"))
+    return j.select(F.col("a.vec_id"), (F.col("a.vec_id") % 2).alias("candidate_id"), R(cosine(F.col("a.embedding"), candidate)).alias("cos_sim"), ((F.col("a.vec_id") % 100).cast("double") / 100).alias("edit_ratio"), (F.col("a.vec_id") % 3 == 0).alias("accepted"))
 
 
-@query("pf6_high_quality_candidates", CANDIDATES + "SELECT vec_id, cos_sim, edit_ratio FROM candidates WHERE cos_sim >= 0.5 AND edit_ratio >= 0.25 AND NOT accepted")
+@query("pf6_high_quality_candidates", CANDIDATES + "SELECT vec_id, cos_sim, edit_ratio FROM candidates WHERE cos_sim >= 0.85 AND edit_ratio >= 0.25 AND NOT accepted ORDER BY cos_sim DESC, vec_id")
 def high_quality(v):
-    return candidates(v).filter("cos_sim >= 0.5 and edit_ratio >= 0.25 and not accepted").select("vec_id", "cos_sim", "edit_ratio")
+    return candidates(v).filter("cos_sim >= 0.85 and edit_ratio >= 0.25 and not accepted").select("vec_id", "cos_sim", "edit_ratio").orderBy(F.desc("cos_sim"), "vec_id")
 
 
 @query("pf7_null_in_between", "SELECT eval_id FROM evals WHERE scramble_level IS NOT NULL AND model_id IN ('m0', 'm7') AND latency_ms BETWEEN 100 AND 500")
