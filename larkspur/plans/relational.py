@@ -298,9 +298,14 @@ def union_all(v):
     return v.items.select(F.col("item_id").alias("id")).unionAll(v.models.select("model_id"))
 
 
-@query("u2_set_operations", "SELECT item_id FROM items EXCEPT SELECT item_id FROM evals WHERE is_correct")
+@query("u2_set_operations", """WITH a AS (SELECT item_id FROM evals WHERE is_correct AND model_id IN ('m0', 'm1')), b AS (SELECT item_id FROM evals WHERE is_correct AND model_id IN ('m1', 'm2')),
+x AS (SELECT item_id FROM a UNION SELECT item_id FROM b), y AS (SELECT item_id FROM a INTERSECT SELECT item_id FROM b), z AS (SELECT item_id FROM a EXCEPT SELECT item_id FROM b)
+SELECT 'union' AS operation, item_id FROM x UNION ALL SELECT 'intersection', item_id FROM y UNION ALL SELECT 'difference', item_id FROM z""")
 def set_operations(v):
-    return v.items.select("item_id").subtract(v.evals.filter("is_correct").select("item_id"))
+    """Items that two overlapping sets of models answer correctly: by either, by both, by the first only."""
+    a, b = (v.evals.filter(F.col("is_correct") & F.col("model_id").isin(*models)).select("item_id") for models in (("m0", "m1"), ("m1", "m2")))
+    named = lambda name, df: df.select(F.lit(name).alias("operation"), "item_id")
+    return named("union", a.union(b).distinct()).union(named("intersection", a.intersect(b))).union(named("difference", a.subtract(b)))
 
 
 @query("u3_distinct", "SELECT DISTINCT dataset, domain FROM items")
