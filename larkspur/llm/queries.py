@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import audio, bpe, dedup, mixing, neighbours, quality, substrings, token_store, toxicity
+from larkspur.llm import audio, bpe, dedup, mixing, neighbours, quality, rules, substrings, token_store, toxicity
 from larkspur.llm.common import materialise, scratch_path, table
 from larkspur.llm.sharding import Store
 from larkspur.session import ship
@@ -65,6 +65,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
 
 
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger under the newest policy, and which rule alone decides."""
+    stored, policy = materialise(rules.ledger(table(spark, sf_dir, "documents")), "ledger"), rules.POLICIES[-1]
+    return stored.select("*", (~rules.kept(rules.BASE)).alias("base_failed"), rules.kept(policy).alias("kept"), rules.decisive(policy).alias("decisive_rule"))
+
+
 def _registered(*functions) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for f in functions}
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _registered(
     op8_byte_bpe,
     op9_mixing,
     op10_substrings,
+    op13_rules,
 )
 
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +96,24 @@ ORACLE_SQL: dict[str, str] = {
                CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
         FROM documents
     """,
+    "op13_rules": """
+        WITH given AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+             words AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM given),
+             starts AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words),
+             counted AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS c FROM starts),
+             covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM counted WHERE c > 1) GROUP BY r),
+             measured AS (
+                 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                        CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+                 FROM words LEFT JOIN covered USING (r)),
+             judged AS (
+                 SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 5 * word_chars)::INT
+                            + 8 * (100 * n_dup_lines > 60 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT
+                            + 64 * (n_words > 100000)::INT + 128 * (n_lines = 1 AND n_words > 1000)::INT AS BIGINT) AS failed
+                 FROM measured)
+        SELECT *, failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept,
+               CASE failed & 63 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines' WHEN 16 THEN 'short_words' WHEN 32 THEN 'long_words' END AS decisive_rule
+        FROM judged
+    """,
 }
