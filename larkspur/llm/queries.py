@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import audio, bpe, dedup, mixing, neighbours, quality, rules, substrings, token_store, toxicity
+from larkspur.llm import audio, bpe, dedup, mixing, neighbours, quality, rules, spelling, substrings, token_store, toxicity
 from larkspur.llm.common import materialise, scratch_path, table
 from larkspur.llm.sharding import Store
 from larkspur.session import ship
@@ -65,6 +65,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=20)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored ledger under the newest policy, and which rule alone decides."""
     stored, policy = materialise(rules.ledger(table(spark, sf_dir, "documents")), "ledger"), rules.POLICIES[-1]
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _registered(
     op8_byte_bpe,
     op9_mixing,
     op10_substrings,
+    op11_spelling,
     op13_rules,
 )
 
