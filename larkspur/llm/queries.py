@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import audio, bpe, dedup, mixing, neighbours, quality, rules, spelling, substrings, token_store, toxicity
+from larkspur.llm import audio, bpe, dedup, mixing, negatives, neighbours, quality, rules, spelling, substrings, token_store, toxicity
 from larkspur.llm.common import materialise, scratch_path, table
 from larkspur.llm.sharding import Store
 from larkspur.session import ship
@@ -69,6 +69,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, positives=5, negatives=5, label=label)
+
+
 def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored ledger under the newest policy, and which rule alone decides."""
     stored, policy = materialise(rules.ledger(table(spark, sf_dir, "documents")), "ledger"), rules.POLICIES[-1]
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = _registered(
     op9_mixing,
     op10_substrings,
     op11_spelling,
+    op12_hard_negatives,
     op13_rules,
 )
 
@@ -101,6 +107,23 @@ ORACLE_SQL: dict[str, str] = {
                CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256
         FROM documents
     """,
+    "op12_hard_negatives": """
+        WITH r AS (
+                 SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                        list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS x
+                 FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+             scored AS (
+                 SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+                 FROM r a JOIN r b ON a.id % 100 = 0 AND a.id <> b.id),
+             positive AS (
+                 SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+                 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+        FROM positive JOIN scored s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+        QUALIFY row_number() OVER best <= 5
+    """,
     "op13_rules": """
         WITH given AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
              words AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM given),
