@@ -11,6 +11,11 @@ whose runs are gone by then is dropped and planned anew. The file system must
 rename in one step and refuse to overwrite, as HDFS and POSIX ones do; object
 stores need a conditional put instead. Merging reads and writes without a shuffle.
 
+The schema of a store is the union of all that was appended: columns that a batch, or
+an older run, does not have are null in its rows, however often runs are merged. A
+column whose type is not the stored one's is refused before anything is written, also
+where it differs within a struct, array or map; so are names that agree but for case.
+
 Only DataFrame operations touch rows. Rows without an arrival, as with null ids, fall
 in arrival 0; null, empty and very long texts, ties, repeated rows and any other
 columns are stored as they are; arrivals without rows add no run, and an empty store
@@ -30,7 +35,7 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from larkspur.llm.common import remove_path
 
@@ -57,6 +62,25 @@ class Manifest:
     runs: list[Run] = field(default_factory=list)
 
 
+def united(old: StructType, new: StructType) -> StructType:
+    """All columns of both, those of old first, all nullable. Raises ValueError where a column has two types or names differ by case alone."""
+    out = {f.name: StructField(f.name, f.dataType, True) for f in old}
+    lower = {name.lower(): name for name in out}
+    for f in new:
+        known = lower.setdefault(f.name.lower(), f.name)
+        if known != f.name:
+            raise ValueError(f"column {f.name} is stored as {known}")
+        if f.name not in out:
+            out[f.name] = StructField(f.name, f.dataType, True)
+        elif out[f.name].dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is stored as {out[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    return StructType(list(out.values()))
+
+
+def schema_of(manifest: Manifest) -> StructType:
+    return StructType.fromJson(json.loads(manifest.schema)) if manifest.schema else StructType()
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -122,6 +146,7 @@ class Store:
             if own in df.columns:
                 df = df.withColumnRenamed(own, f"{own}_given")
         df = df.withColumnRenamed("__order", "__arrival")
+        united(schema_of(self.manifest()), df.schema)  # refuses clashes before the write
         df.withColumn("__run", F.col("__arrival")).write.option("compression", "zstd").partitionBy("__run").parquet(incoming)
         if not self._fs().exists(self._path("data", incoming.rpartition("/")[2])) or not list(self._fs().globStatus(self.jvm.org.apache.hadoop.fs.Path(incoming + "/__run=*"))):
             return self.manifest().version
@@ -130,7 +155,7 @@ class Store:
 
             def added(old: Manifest, row=row) -> Manifest:
                 nth = old.made.get("0", 0)
-                return Manifest(old.version + 1, df.schema.json(), old.made | {"0": nth + 1}, [*old.runs, Run(f"L0-{nth}", 0, row.folder, row.bytes, row.files)])
+                return Manifest(old.version + 1, united(schema_of(old), df.schema).json(), old.made | {"0": nth + 1}, [*old.runs, Run(f"L0-{nth}", 0, row.folder, row.bytes, row.files)])
 
             self.change(added)
             self.compact()
@@ -156,7 +181,7 @@ class Store:
         while group := self.due((old := self.manifest()).runs):
             tier, total, gone = group[0].tier + 1, sum(r.bytes for r in group), {g.name for g in group}
             path = f"{self.root}/data/{uuid.uuid4().hex}"
-            merged = self.spark.read.schema(StructType.fromJson(json.loads(old.schema))).parquet(*[r.path for r in group])
+            merged = self.spark.read.schema(schema_of(old)).parquet(*[r.path for r in group])
             merged.coalesce(max(1, round(total / TARGET_BYTES))).write.option("compression", "zstd").parquet(path)
             size = self._measure(path).agg(F.sum("length"), F.count(F.lit(1))).first()
 
@@ -186,6 +211,6 @@ class Store:
         now = self.manifest(version)
         if not now.runs:
             return self.spark.createDataFrame([], "__arrival int, __run string, __tier int")
-        schema = StructType.fromJson(json.loads(now.schema))
+        schema = schema_of(now)
         parts = [self.spark.read.schema(schema).parquet(r.path).withColumns({"__run": F.lit(r.name), "__tier": F.lit(r.tier)}) for r in now.runs]
         return reduce(DataFrame.unionByName, parts)

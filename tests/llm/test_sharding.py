@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm.sharding import Manifest, Run, Store
@@ -82,3 +83,62 @@ def test_due_takes_similar_sizes_of_one_tier():
     runs = [Run(f"r{k}", 0, "", size, 1) for k, size in enumerate([10, 100, 12, 15, 19, 400])]
     assert [r.bytes for r in Store.due(runs)] == [10, 12, 15, 19]
     assert Store.due(runs[:4]) == []
+
+
+def test_batches_of_unlike_columns_across_merges_and_vacuum(spark, tmp_path):
+    """Narrower, wider and reordered batches keep every value; merges that see an older schema do not drop what came later."""
+    store = Store(spark, f"file://{tmp_path}/store")
+    batches = [
+        ("doc_id bigint, text string", [(1, "a"), (2, None)]),
+        ("text string, doc_id bigint", [("c", 3)]),
+        ("doc_id bigint", [(4,)]),
+        ("doc_id bigint, text string, tags array<string>, meta struct<k:int,v:string>", [(5, "e" * 300_000, ["x"], (1, "y"))]),
+        ("lang string", [("en",)]),
+        ("doc_id bigint, lang string", [(7, "de")]),
+        ("tags array<string>, doc_id bigint", [(["z", None], 8)]),
+        ("doc_id bigint, text string", [(9, "i")]),
+    ]
+    expected = set()
+    for schema, rows in batches:
+        store.append(spark.createDataFrame(rows, schema))
+        names = [c.split()[0] for c in schema.split(", ")]
+        for row in rows:
+            now = dict(zip(names, row))
+            expected.add(tuple(str(now.get(c)) for c in ("doc_id", "text", "tags", "lang")))
+        got = store.read()
+        assert {tuple(str(r[c]) if c in got.columns else "None" for c in ("doc_id", "text", "tags", "lang")) for r in got.collect()} == expected
+        store.vacuum(lost_after_hours=-1)
+        assert store.read().count() == len(expected)
+    assert len(store.manifest().runs) < len(batches)
+    assert {tuple(str(r[c]) for c in ("doc_id", "text", "tags", "lang")) for r in store.read().collect()} == expected
+    assert store.read().filter("doc_id = 5").first().meta.v == "y"
+
+
+def test_clashes_of_type_are_refused_before_the_write(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.append(spark.createDataFrame([(1, "a", (1,))], "doc_id bigint, text string, meta struct<k:int>"))
+    before = sorted(p.name for p in (tmp_path / "store" / "data").iterdir())
+    for schema in ("doc_id int", "doc_id string", "text binary", "meta struct<k:bigint>", "meta struct<k:int,v:int>", "Text string"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], schema))
+    assert sorted(p.name for p in (tmp_path / "store" / "data").iterdir()) == before and store.manifest().version == 1
+    assert [tuple(r)[:2] for r in store.read().collect()] == [(1, "a")]
+
+
+def test_a_writer_overtaken_by_one_with_other_columns(spark, tmp_path):
+    """The schema is united with that of the manifest that the writer's change goes on top of, and a clash that came in between is refused."""
+    root = f"file://{tmp_path}/store"
+    store, other = Store(spark, root), Store(spark, root)
+    commit, turns = store.commit, iter([True])
+
+    def overtaken(new):
+        if next(turns, False):
+            other.append(spark.createDataFrame([(2, "de")], "doc_id bigint, lang string"))
+        return commit(new)
+
+    store.commit = overtaken
+    store.append(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))
+    assert {(r.doc_id, r.text, r.lang) for r in store.read().collect()} == {(1, "a", None), (2, None, "de")}
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([(3, 1)], "doc_id bigint, lang int"))
+    assert store.read().count() == 2
