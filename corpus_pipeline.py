@@ -62,7 +62,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them. Texts without words have the lower number of copies of their source; a null source is a source."""
+    """Documents as often as the mix of sources takes them. Texts without words have one copy; a null source is a source."""
     return mixing.apply(docs, mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0))
 
 

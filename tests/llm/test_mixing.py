@@ -1,3 +1,4 @@
+import math
 import re
 from collections import defaultdict
 
@@ -68,3 +69,45 @@ def test_apply_repeats_rows(spark):
     out = mixing.apply(df, mixed)
     assert out.columns == df.columns
     assert out.count() == sum(r.copies for r in mixed.collect())
+
+
+def solved(sizes, target, most=2.0):
+    """Rates of one source by bisection of the dual variable."""
+    mean = sum(sizes) / len(sizes)
+    low, high = -1000.0 * mean, mean
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(x * min(most, math.exp(min(mid * x / mean, 50))) for x in sizes) < target:
+            low = mid
+        else:
+            high = mid
+    return [min(most, math.exp(min(low * x / mean, 50))) for x in sizes]
+
+
+def test_rates_solve_the_dual(spark, sf):
+    """Each document's rate is the exponential tilt of its length that meets the target, as a direct solver has it."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    _, _, out = check(spark, df)
+    by = defaultdict(list)
+    for r in out:
+        if r.size:
+            by[r.source].append(r)
+    assert len({r.rate for r in out}) > 100
+    for rows in by.values():
+        target = rows[0].target
+        expected = solved([r.size for r in rows], target)
+        assert max(abs(r.rate - e) for r, e in zip(rows, expected)) < 2e-6
+        assert abs(sum(r.size * r.rate for r in rows) - target) < 1e-5 * target + 1e-6 * sum(r.size for r in rows)
+        # Nearer to one in entropy than one common rate that meets the same target.
+        entropy = lambda w: w * math.log(w) - w + 1 if w else 1.0
+        assert sum(entropy(r.rate) for r in rows) <= len(rows) * entropy(target / rows[0].source_size) + 1e-4
+
+
+def test_sources_at_every_level(spark):
+    """Targets far below, near and at the limit, and sources of one document or of one length."""
+    rows = [(k, "w " * (1 + k % 9), "a") for k in range(50)] + [(100, "w " * 1000, "b")] + [(200 + k, "w " * 5, "c") for k in range(40)] + [(300 + k, "w " * (1 + k * k), "d") for k in range(60)]
+    goal, taken, out = check(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    for source, target in goal.items():
+        mine = [r for r in out if r.source == source]
+        expected = solved([r.size for r in mine], target) if target < 2 * mine[0].source_size * (1 - 1e-9) else [2.0] * len(mine)
+        assert max(abs(r.rate - e) for r, e in zip(mine, expected)) < 1e-5
