@@ -54,13 +54,6 @@ def sessions(df: DataFrame, key: str, time: str, minutes: int) -> DataFrame:
     return runs.groupBy(key, "_run").agg(F.timestamp_micros(F.min("_low")).alias("start"), F.timestamp_micros(F.max("_high") + gap).alias("end"), F.sum("_rows").alias("n")).drop("_run")
 
 
-def admitted(queue: DataFrame, need: str, limit: float, *order: Column) -> DataFrame:
-    """Entries taken in order until the first that does not fit the limit."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fits = F.sum(need).over(w) <= limit
-    return queue.withColumn("_fits", fits).withColumn("_all", F.min("_fits").over(w)).filter("_all").drop("_fits", "_all")
-
-
 def ready(status: DataFrame, edges: DataFrame) -> DataFrame:
     """Entries whose dependencies are all completed, with how many they have. status: id, state; edges: id, needs."""
     done = status.filter("state = 'completed'").select(F.col("id").alias("needs"), F.lit(1).alias("_done"))

@@ -215,31 +215,6 @@ def tasks(v):
     return v.items.select("item_id").crossJoin(F.broadcast(v.models.select("model_id"))).select("model_id", transforms.alias("transform"), "item_id")
 
 
-QUEUE = "SELECT * FROM VALUES ('a', 3, 'completed', 1.0), ('b', 2, 'queued', 2.0), ('c', 1, 'queued', 1.5), ('d', 2, 'blocked', 1.0), ('e', 2, 'queued', 0.5), ('f', 1, 'queued', 3.0) AS t(id, priority, state, need)"
-EDGES = "SELECT * FROM VALUES ('b', 'a'), ('c', 'a'), ('d', 'b'), ('d', 'c'), ('f', 'e') AS t(id, needs)"
-QUEUE_SQL = f"WITH queue AS ({QUEUE.replace('VALUES', '(VALUES').replace(' AS t', ') AS t')}), edges AS ({EDGES.replace('VALUES', '(VALUES').replace(' AS t', ') AS t')}) "
-
-
-@query("j15_ready_entries", QUEUE_SQL + "SELECT id, count(needs) dependencies FROM queue q LEFT JOIN edges e USING (id) WHERE state <> 'completed' GROUP BY id HAVING count(needs) = count(needs) FILTER (needs IN (SELECT id FROM queue WHERE state = 'completed'))")
-def ready_entries(v):
-    return W.ready(v.spark.sql(QUEUE).select("id", "state"), v.spark.sql(EDGES))
-
-
-@query("w5_queue_positions", QUEUE_SQL + "SELECT id, row_number() OVER (ORDER BY priority DESC, id) AS position FROM queue WHERE state = 'queued'")
-def queue_positions(v):
-    return v.spark.sql(QUEUE).filter("state = 'queued'").select("id", F.row_number().over(Window.orderBy(F.desc("priority"), "id")).cast("bigint").alias("position"))
-
-
-@query("w6_admission", QUEUE_SQL + "SELECT id FROM (SELECT id, sum(need) OVER (ORDER BY priority DESC, id) s FROM queue WHERE state = 'queued') WHERE s <= 3.5")
-def admission(v):
-    return W.admitted(v.spark.sql(QUEUE).filter("state = 'queued'"), "need", 3.5, F.desc("priority"), F.col("id")).select("id")
-
-
-@query("a57_queue_metrics", QUEUE_SQL + "SELECT state, count(*) n, CAST(sum(need) AS DOUBLE) need FROM queue GROUP BY state")
-def queue_metrics(v):
-    return v.spark.sql(QUEUE).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("need").cast("double").alias("need"))
-
-
 @query("j16_level_join", """WITH a AS (SELECT model_id, scramble_level, avg(CAST(is_correct AS INTEGER)) acc FROM evals WHERE scramble_level IS NOT NULL GROUP BY ALL), b AS (SELECT model_id, scramble_level, avg(tok_kl) kl FROM evals2 GROUP BY ALL)
 SELECT model_id, scramble_level, round(acc, 6) acc, round(kl, 6) kl FROM a JOIN b USING (model_id, scramble_level)""")
 def level_join(v):
@@ -277,11 +252,6 @@ def head_per_dataset(v):
     return v.items.withColumn("n", F.row_number().over(Window.partitionBy("dataset").orderBy("item_id"))).filter("n <= 3").select("item_id", "dataset")
 
 
-@query("w10_state_machine", "SELECT user_id, arg_max(event_type, event_id) state, count(*) transitions FROM events GROUP BY user_id")
-def state_machine(v):
-    return v.raw("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.count(F.lit(1)).alias("transitions"))
-
-
 @query("s3_paging", "SELECT eval_id, timestamp FROM evals ORDER BY timestamp, eval_id LIMIT 20 OFFSET 40")
 def paging(v):
     return v.evals.select("eval_id", "timestamp").orderBy("timestamp", "eval_id").offset(40).limit(20)
