@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import distributions as D
-from larkspur.operators.models import _irls
+from larkspur.operators.models import _irls, row_quantiles
 
 
 def _by_rows(df: DataFrame, make: Callable[[pd.DataFrame], pd.DataFrame], added: str) -> DataFrame:
@@ -179,9 +179,9 @@ def family_models(df: DataFrame, key: str, least: int = 50, knots: int = 5, poin
         if rows < least:
             return []
         line = np.column_stack([one, x])
-        breaks = np.linspace(*np.quantile(x, [0.2, 0.8]), points)
+        breaks = np.linspace(*row_quantiles(x, n, [0.2, 0.8]), points)
         bent = max(_irls(np.column_stack([line, np.maximum(x - at, 0)]), hits, n)[2] for at in breaks)
-        inner = np.unique(np.quantile(np.repeat(x, n.astype(int)) if rows < 1e6 else x, np.linspace(0, 1, knots + 2)[1:-1]))
+        inner = np.unique(row_quantiles(x, n, np.linspace(0, 1, knots + 2)[1:-1]))
         inner = inner[(inner > x.min()) & (inner < x.max())]
         curve = spline_basis(x, inner)
         fits = [("linear", 2, _irls(line, hits, n)[2]), ("segmented", 4, bent), ("spline", curve.shape[1], _irls(curve, hits, n)[2])]

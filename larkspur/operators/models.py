@@ -10,11 +10,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def row_quantiles(x: np.ndarray, n: np.ndarray, q) -> np.ndarray:
+    """Quantiles over rows of values that stand for n rows each: the least value that the share q of all rows does not exceed. The same at every scale of n."""
+    order = np.argsort(x, kind="stable")
+    share = np.cumsum(np.asarray(n, float)[order]) / np.sum(n)
+    return np.asarray(x)[order][np.minimum(np.searchsorted(share, np.asarray(q) - 1e-12), len(x) - 1)]
+
+
+def drawn_counts(rng: np.random.Generator, total: np.ndarray, take: int) -> np.ndarray:
+    """How many rows of each kind are in a uniformly random set of ``take`` rows, for any number of rows.
+
+    Each row is first in or out by itself; then as many random members leave, or others join, as there are too many or
+    too few. Given its size the first set is uniform, and so is what remains. About the root of the number of rows are moved.
+    """
+    total = np.asarray(total, np.int64)
+    rows = int(total.sum())
+    if not 0 < take < rows:
+        return total * (take >= rows)
+    drawn = rng.binomial(total, take / rows)
+    off = int(drawn.sum()) - take
+    pool = drawn if off > 0 else total - drawn
+    size, moved = int(pool.sum()), np.empty(0, np.int64)
+    while len(moved) < abs(off):
+        # Distinct rows of the pool, kept in the order in which they were drawn.
+        moved = np.concatenate([moved, rng.integers(0, size, abs(off) - len(moved))])
+        moved = moved[np.sort(np.unique(moved, return_index=True)[1])]
+    counts = np.bincount(np.searchsorted(np.cumsum(pool), moved, "right"), minlength=len(total))
+    return drawn - np.sign(off) * counts
+
+
 def permutation_test(df: DataFrame, first: str, second: str, rounds: int) -> DataFrame:
-    """Difference of means of two groups (columns g, x) and how often a relabelling is at least as far from zero.
+    """Difference of means of two groups (columns g, x) and how often a relabelling that keeps their sizes is at least as far from zero.
 
-    What a relabelling gives each distinct x is drawn from the counts of rows, so its cost does not grow with rows.
-    Groups keep their sizes; from 1e9 rows on, beyond numpy's draws, in expectation.
+    What a relabelling gives each distinct x is drawn from the counts of rows, exactly, at any number of rows.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -26,8 +54,7 @@ def permutation_test(df: DataFrame, first: str, second: str, rounds: int) -> Dat
         distance = lambda a: (a @ x) / a.sum(-1) - ((total - a) @ x) / (total - a).sum(-1)
         observed, extreme = distance(own), 0
         for _ in range(rounds):
-            drawn = rng.multivariate_hypergeometric(total, own.sum(), method="marginals") if total.sum() < 10**9 else rng.binomial(total, own.sum() / total.sum())
-            extreme += abs(distance(drawn)) >= abs(observed) - 1e-12
+            extreme += abs(distance(drawn_counts(rng, total, int(own.sum())))) >= abs(observed) - 1e-12
         return pd.DataFrame({"observed": [observed], "p": [(extreme + 1) / (rounds + 1)]})
 
     counted = df.filter(F.col("g").isin(first, second) & F.col("x").isNotNull()).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
@@ -89,7 +116,7 @@ def segmented_by_family(df: DataFrame, key: str, points: int = 20) -> DataFrame:
         x, hits, n = frame["x"].to_numpy(), frame["hits"].to_numpy(), frame["n"].to_numpy()
         one = np.ones(len(x))
         best = (float("nan"), float("inf"))
-        for at in np.linspace(*np.quantile(x, [0.2, 0.8]), points):
+        for at in np.linspace(*row_quantiles(x, n, [0.2, 0.8]), points):
             ll = _irls(np.column_stack([one, x, np.maximum(x - at, 0)]), hits, n)[2]
             if 8 - 2 * ll < best[1]:
                 best = (float(at), 8 - 2 * ll)

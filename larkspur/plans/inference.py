@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.operators import inference as I
+from larkspur.operators import mixed
 from larkspur.operators import statistics as S
 from larkspur.operators.aggregates import rate_where
 from larkspur.plans.statistics import ROUNDS, model_moments, model_pairs
@@ -83,6 +84,18 @@ def interaction(v):
     return I.interaction_fit(tried, "model_family")
 
 
+def mixed_fit(v):
+    joined = v.evals.join(v.items.select("item_id", "domain"), "item_id")
+    tried = joined.select(F.col("is_correct").cast("double").alias("y"), F.log10("n_params").alias("size"), F.coalesce("scramble_level", F.lit(0.0)).alias("level"), "domain", "model_family")
+    return mixed.random_intercepts(tried, "y", ["size", "level"], ["domain", "model_family"])
+
+
+@query("st20_random_intercepts")
+def random_intercepts(v):
+    """Logistic fit of correctness on size and scrambling, with crossed random intercepts of domain and family."""
+    return mixed.table(v.spark, mixed_fit(v))
+
+
 @query("st21_spline")
 def spline(v):
     return I.family_models(TRIED(v), "model_family").filter("model = 'spline'").drop("chosen", "ratio", "p")
