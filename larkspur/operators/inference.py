@@ -39,6 +39,11 @@ def paired_tests(groups: DataFrame) -> DataFrame:
     return _by_rows(groups, lambda f: f.assign(p=D.t_two_sided(f["t"].fillna(0.0), f["n"] - 1)), "p double")
 
 
+def normal_p(rows: DataFrame) -> DataFrame:
+    """Adds the two-sided p of z; a missing z counts as 0."""
+    return _by_rows(rows, lambda f: f.assign(p=2 * (1 - D.normal_cdf(np.abs(f["z"].fillna(0.0).to_numpy(float))))), "p double")
+
+
 def t_intervals(moments: DataFrame, level: float = 0.95) -> DataFrame:
     """Adds the t-interval of the mean to rows with n, mean and var; a single value has 0 to 1."""
 

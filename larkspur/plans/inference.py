@@ -113,9 +113,9 @@ def family_models(v):
 
 @query("st24_fitted_weights")
 def fitted_weights(v):
-    """Information weights of the fitted models of one family."""
-    fits = I.family_models(TRIED(v).filter("model_family = 'alpha'"), "model_family").withColumnRenamed("model", "name")
-    return S.information_weights(fits, "aic").select("name", "delta", "weight", "rank", "running", "evidence")
+    """Information weights of the fitted models of each family."""
+    fits = I.family_models(TRIED(v), "model_family").withColumnRenamed("model", "name")
+    return S.information_weights(fits, "aic", ["model_family"]).select("model_family", "name", "delta", "weight", "rank", "running", "evidence")
 
 
 @query("st27_contamination_fit")

@@ -162,10 +162,24 @@ def last_errors(v):
     return last.groupBy("model_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "eval_id"))), lambda s: s["eval_id"]), ",").alias("last"))
 
 
-@query("a91_parameter_table", "SELECT parameter, max(CASE WHEN name = 'linear' THEN value END) linear, max(CASE WHEN name = 'gam' THEN value END) gam FROM (VALUES ('linear', 'slope', 0.5::DOUBLE), ('linear', 'intercept', 1.0), ('gam', 'slope', 0.4)) t(name, parameter, value) GROUP BY parameter")
+STARS_SQL = "CASE WHEN abs(t) > 3.291 THEN '***' WHEN abs(t) > 2.576 THEN '**' WHEN abs(t) > 1.96 THEN '*' ELSE '' END"
+
+
+@query("a91_parameter_table", """WITH e AS (SELECT model_family, CAST(k AS DOUBLE) x, CAST(latency_ms AS DOUBLE) y FROM evals WHERE k IS NOT NULL),
+m AS (SELECT model_family, avg(y) mean, regr_slope(y, x) slope, regr_intercept(y, x) icept, sqrt(var_pop(y) * (1 - regr_r2(y, x)) / ((count(*) - 2) * var_pop(x))) se FROM e GROUP BY model_family)
+SELECT model_family, 'intercept' AS parameter, round(mean, 5) AS constant, round(icept, 5) AS linear, CAST(NULL AS DOUBLE) se, CAST(NULL AS DOUBLE) low, CAST(NULL AS DOUBLE) high, '' AS stars FROM m
+UNION ALL SELECT model_family, 'slope', NULL, round(slope, 6), round(se, 6), round(slope - 1.96 * se, 6), round(slope + 1.96 * se, 6), """ + STARS_SQL.replace("t)", "slope / se)") + " FROM m")
 def parameter_table(v):
-    fits = v.spark.sql("SELECT * FROM VALUES ('linear', map('slope', 0.5D, 'intercept', 1.0D)), ('gam', map('slope', 0.4D)) AS t(name, effects)")
-    return fits.select("name", F.explode("effects").alias("parameter", "value")).groupBy("parameter").pivot("name", ["linear", "gam"]).agg(F.max("value"))
+    """Parameters by model of the fits of latency, for each family, with the slope's interval and stars."""
+    from larkspur.plans.statistics import fits
+
+    f = fits(v).groupBy("model_family").agg(*[F.max(F.when(F.col("name") == "constant", F.col("predicted"))).alias("mean"), *[F.max(c).alias(c) for c in ("intercept", "slope", "slope_se")]])
+    t = F.abs(F.try_divide(F.col("slope"), F.col("slope_se")))
+    stars = F.when(t > 3.291, "***").when(t > 2.576, "**").when(t > 1.96, "*").otherwise("")
+    none = F.lit(None).cast("double")
+    row = lambda p, *c: F.struct(F.lit(p).alias("parameter"), *[x.alias(n) for x, n in zip(c, ("constant", "linear", "se", "low", "high", "stars"))])
+    se, slope = F.col("slope_se"), F.col("slope")
+    return f.select("model_family", F.inline(F.array(row("intercept", F.round("mean", 5), F.round("intercept", 5), none, none, none, F.lit("")), row("slope", none, R(slope), R(se), R(slope - 1.96 * se), R(slope + 1.96 * se), stars))))
 
 
 @query("pf15_filter_results", "SELECT eval_id FROM evals WHERE model_id = 'm5' AND transform = 'paraphrase'")
@@ -201,11 +215,23 @@ def ground_truth(v):
     return v.evals.join(truth, "item_id").groupBy("model_id").agg(N().alias("n"), R(F.avg(F.when((F.col("answer") != "") & F.col("is_correct"), 1).otherwise(0))).alias("accuracy"))
 
 
-@query("w3_evidence_ranks", """WITH s AS (SELECT model_id, round(avg(k), 6) score FROM evals GROUP BY model_id) SELECT model_id, score, row_number() OVER w AS place, round(sum(score) OVER (ORDER BY score DESC, model_id ROWS UNBOUNDED PRECEDING), 5) running, round(max(score) OVER () / score, 6) ratio FROM s WINDOW w AS (ORDER BY score DESC, model_id)""")
+def evidence_sql():
+    from larkspur.plans.statistics import FITS_SQL
+
+    return FITS_SQL + """, w AS (SELECT *, aic - min(aic) OVER f da, bic - min(bic) OVER f db FROM fits WINDOW f AS (PARTITION BY model_family)), x AS (SELECT *, exp(-0.5 * da) / sum(exp(-0.5 * da)) OVER f wa, exp(-0.5 * db) / sum(exp(-0.5 * db)) OVER f wb FROM w WINDOW f AS (PARTITION BY model_family))
+SELECT model_family, name, row_number() OVER a AS aic_rank, row_number() OVER b AS bic_rank, round(wa, 6) aic_weight, round(sum(wa) OVER (a ROWS UNBOUNDED PRECEDING), 6) running, round(da / 2, 5) log_evidence, coalesce(sum(wa) OVER (a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.95 AS top FROM x
+WINDOW a AS (PARTITION BY model_family ORDER BY da, name), b AS (PARTITION BY model_family ORDER BY db, name)"""
+
+
+@query("w3_evidence_ranks", evidence_sql())
 def evidence_ranks(v):
-    w = Window.orderBy(F.desc("score"), "model_id")
-    s = v.evals.groupBy("model_id").agg(R(F.avg("k")).alias("score"))
-    return s.select("model_id", "score", F.row_number().over(w).cast("bigint").alias("place"), F.round(F.sum("score").over(w.rowsBetween(Window.unboundedPreceding, 0)), 5).alias("running"), R(F.max("score").over(Window.partitionBy()) / F.col("score")).alias("ratio"))
+    """Models of each family by both criteria, with running weight, evidence against the best, and whether they are in the 95 % set."""
+    from larkspur.plans.statistics import fits
+
+    by = ["model_family"]
+    a = S.information_weights(fits(v), "aic", by)
+    b = S.information_weights(fits(v), "bic", by).select("model_family", "name", F.col("rank").cast("bigint").alias("bic_rank"))
+    return a.join(b, ["model_family", "name"]).select("model_family", "name", F.col("rank").cast("bigint").alias("aic_rank"), "bic_rank", R("weight").alias("aic_weight"), R("running").alias("running"), F.round("log_evidence", 5).alias("log_evidence"), (F.col("running") - F.col("weight") < 0.95).alias("top"))
 
 
 @query("f29_importance")

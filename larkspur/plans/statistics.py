@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import inference as I
 from larkspur.operators import models as M
 from larkspur.operators import statistics as S
 from larkspur.operators.aggregates import rate_where, wilson
@@ -122,17 +123,28 @@ def segmented(v):
     return M.segmented_by_family(v.evals.select("model_family", F.log10("n_params").alias("x"), F.col("is_correct").cast("double").alias("y")), "model_family")
 
 
-FITS = "SELECT * FROM VALUES ('linear', 120D, 125D, -58D, 3), ('segmented', 115D, 123D, -55D, 5), ('gam', 118D, 128D, -56D, 6) AS t(name, aic, bic, log_likelihood, parameters)"
-FITS_SQL = "WITH fits AS (SELECT * FROM (VALUES ('linear', 120.0::DOUBLE, 125.0::DOUBLE, -58.0::DOUBLE, 3), ('segmented', 115, 123, -55, 5), ('gam', 118, 128, -56, 6)) t(name, aic, bic, log_likelihood, parameters)) "
+#: Three models of latency for each family: a constant, a line in k, a mean for each transform.
+FITS_SQL = """WITH e AS (SELECT model_family, transform, CAST(k AS DOUBLE) x, CAST(latency_ms AS DOUBLE) y FROM evals WHERE k IS NOT NULL AND latency_ms IS NOT NULL),
+whole AS (SELECT model_family, count(*) n, avg(y) mean, var_pop(y) v, var_pop(x) vx, regr_slope(y, x) slope, regr_intercept(y, x) icept, regr_r2(y, x) r2 FROM e GROUP BY model_family),
+parts AS (SELECT model_family, sum(c * v) AS wss, count(*) AS groups, max(m) FILTER (transform = 'scramble') AS of FROM (SELECT model_family, transform, count(*) c, var_pop(y) v, avg(y) m FROM e GROUP BY ALL) GROUP BY model_family),
+raw AS (SELECT model_family, n, 'constant' AS name, 2 AS parameters, v * n AS rss, mean AS predicted FROM whole UNION ALL SELECT model_family, n, 'linear', 3, v * n * (1 - r2), icept + slope * 50 FROM whole
+    UNION ALL SELECT model_family, n, 'grouped', groups + 1, wss, of FROM whole JOIN parts USING (model_family)),
+lik AS (SELECT *, -n / 2.0 * (ln(2 * pi()) + ln(rss / n) + 1) ll FROM raw),
+fits AS (SELECT *, 2 * parameters - 2 * ll AS aic, parameters * ln(n) - 2 * ll AS bic FROM lik) """
+
+
+def fits(v):
+    return S.gaussian_fits(v.evals, "model_family", "k", "latency_ms", "transform", 50.0, "scramble")
 
 
 def weights_sql(c):
-    return FITS_SQL + f""", w AS (SELECT name, {c} - min({c}) OVER () delta FROM fits), x AS (SELECT name, delta, exp(-0.5 * delta) / sum(exp(-0.5 * delta)) OVER () weight FROM w)
-SELECT name, delta, round(weight, 6) weight, row_number() OVER (ORDER BY weight DESC, name) AS rank, round(sum(weight) OVER (ORDER BY weight DESC, name ROWS UNBOUNDED PRECEDING), 6) running, round(max(weight) OVER () / weight, 6) evidence FROM x"""
+    return FITS_SQL + f""", w AS (SELECT *, {c} - min({c}) OVER (PARTITION BY model_family) delta FROM fits), x AS (SELECT *, exp(-0.5 * delta) / sum(exp(-0.5 * delta)) OVER (PARTITION BY model_family) weight FROM w)
+SELECT model_family, name, round(delta, 5) delta, round(weight, 6) weight, row_number() OVER o AS rank, round(sum(weight) OVER (o ROWS UNBOUNDED PRECEDING), 6) running, round(delta / 2, 5) log_evidence FROM x WINDOW o AS (PARTITION BY model_family ORDER BY delta, name)"""
 
 
 def weights(v, c):
-    return S.information_weights(v.spark.sql(FITS), c).select("name", "delta", R("weight").alias("weight"), F.col("rank").cast("bigint").alias("rank"), R("running").alias("running"), R("evidence").alias("evidence"))
+    five = lambda x: F.round(x, 5).alias(x)
+    return S.information_weights(fits(v), c, ["model_family"]).select("model_family", "name", five("delta"), R("weight").alias("weight"), F.col("rank").cast("bigint").alias("rank"), R("running").alias("running"), five("log_evidence"))
 
 
 @query("st24_aic_weights", weights_sql("aic"))
@@ -145,23 +157,28 @@ def bic_weights(v):
     return weights(v, "bic")
 
 
-@query("st23_likelihood_ratio", FITS_SQL + "SELECT a.name simple, b.name complex, 2 * (b.log_likelihood - a.log_likelihood) lr, b.parameters - a.parameters df FROM fits a JOIN fits b ON a.parameters < b.parameters")
+@query("st23_likelihood_ratio", FITS_SQL + "SELECT a.model_family, b.name AS complex, round(2 * (b.ll - a.ll), 5) lr, CAST(b.parameters - a.parameters AS BIGINT) df FROM fits a JOIN fits b ON a.model_family = b.model_family AND a.name = 'constant' AND b.name <> 'constant'")
 def likelihood_ratio(v):
-    f = v.spark.sql(FITS)
-    return f.alias("a").join(f.alias("b"), F.col("a.parameters") < F.col("b.parameters")).select(F.col("a.name").alias("simple"), F.col("b.name").alias("complex"), (2 * (F.col("b.log_likelihood") - F.col("a.log_likelihood"))).alias("lr"), (F.col("b.parameters") - F.col("a.parameters")).alias("df"))
+    """Of each model against the constant, which is nested in it."""
+    f = fits(v).select("model_family", "name", "log_likelihood", "parameters")
+    base = f.filter("name = 'constant'").select("model_family", F.col("log_likelihood").alias("ll"), F.col("parameters").alias("p"))
+    return f.filter("name != 'constant'").join(base, "model_family").select("model_family", F.col("name").alias("complex"), F.round(2 * (F.col("log_likelihood") - F.col("ll")), 5).alias("lr"), (F.col("parameters") - F.col("p")).alias("df"))
 
 
-@query("st25_best_model", FITS_SQL + "SELECT name, aic_rank + bic_rank composite, CASE WHEN aic_rank = 1 AND bic_rank = 1 THEN 'agreed' WHEN aic_rank = 1 OR bic_rank = 1 THEN 'split' ELSE 'no' END best FROM (SELECT name, rank() OVER (ORDER BY aic) aic_rank, rank() OVER (ORDER BY bic) bic_rank FROM fits)")
+@query("st25_best_model", FITS_SQL + "SELECT model_family, name, aic_rank + bic_rank composite, CASE WHEN aic_rank = 1 AND bic_rank = 1 THEN 'agreed' WHEN aic_rank = 1 OR bic_rank = 1 THEN 'split' ELSE 'no' END best FROM (SELECT model_family, name, rank() OVER (PARTITION BY model_family ORDER BY aic) aic_rank, rank() OVER (PARTITION BY model_family ORDER BY bic) bic_rank FROM fits)")
 def best_model(v):
-    f = v.spark.sql(FITS).select("name", *[F.rank().over(Window.orderBy(c)).cast("bigint").alias(c[0]) for c in ("aic", "bic")])
-    return f.select("name", (F.col("a") + F.col("b")).alias("composite"), F.when((F.col("a") == 1) & (F.col("b") == 1), "agreed").when((F.col("a") == 1) | (F.col("b") == 1), "split").otherwise("no").alias("best"))
+    f = fits(v).select("model_family", "name", *[F.rank().over(Window.partitionBy("model_family").orderBy(c)).cast("bigint").alias(c[0]) for c in ("aic", "bic")])
+    return f.select("model_family", "name", (F.col("a") + F.col("b")).alias("composite"), F.when((F.col("a") == 1) & (F.col("b") == 1), "agreed").when((F.col("a") == 1) | (F.col("b") == 1), "split").otherwise("no").alias("best"))
 
 
-@query("st26_model_averaging", FITS_SQL + ", w AS (SELECT parameters y, exp(-0.5 * (aic - min(aic) OVER ())) e FROM fits) SELECT round(sum(e * y) / sum(e), 6) mean, round(sum(e * y * y) / sum(e) - pow(sum(e * y) / sum(e), 2), 6) AS variance FROM w")
+@query("st26_model_averaging", FITS_SQL + ", w AS (SELECT model_family, predicted y, exp(-0.5 * (aic - min(aic) OVER (PARTITION BY model_family))) e FROM fits), m AS (SELECT model_family, sum(e * y) / sum(e) mean FROM w GROUP BY model_family) SELECT model_family, round(max(mean), 5) mean, round(sum(e * pow(y - mean, 2)) / sum(e), 5) AS variance FROM w JOIN m USING (model_family) GROUP BY model_family")
 def model_averaging(v):
-    w = S.information_weights(v.spark.sql(FITS), "aic")
-    mean = F.sum(F.col("weight") * F.col("parameters"))
-    return w.agg(R(mean).alias("mean"), R(F.sum(F.col("weight") * F.col("parameters") * F.col("parameters")) - mean * mean).alias("variance"))
+    """What the three models predict for k = 50 under scrambling, averaged by weight."""
+    w = S.information_weights(fits(v), "aic", ["model_family"])
+    mean = F.sum(F.col("weight") * F.col("predicted"))
+    by = Window.partitionBy("model_family")
+    w = w.withColumn("mean", F.sum(F.col("weight") * F.col("predicted")).over(by))
+    return w.groupBy("model_family").agg(F.round(mean, 5).alias("mean"), F.round(F.sum(F.col("weight") * F.pow(F.col("predicted") - F.col("mean"), 2)), 5).alias("variance"))
 
 
 @query("st27_contamination_slopes", """WITH d AS (SELECT model_id, log10(n_params) x, avg(CASE WHEN transform = 'original' THEN CAST(is_correct AS INTEGER) END) - avg(CASE WHEN transform = 'scramble' THEN CAST(is_correct AS INTEGER) END) y FROM evals GROUP BY ALL)
@@ -191,3 +208,39 @@ def robustness_curve(v):
     whole = Window.partitionBy("model_id")
     s = a.select("model_id", ((F.col("x") - F.lag("x").over(w)) * (F.col("y") + F.lag("y").over(w)) / 2).alias("part"), F.first("y").over(w).alias("y0"), (F.max("x").over(whole) - F.min("x").over(whole)).alias("span"))
     return s.groupBy("model_id").agg(R(1 - F.try_divide(F.sum("part"), F.max(F.col("y0") * F.col("span")))).alias("crs"))
+
+
+@query("st32_mann_whitney", """WITH r AS (SELECT event_type, event_id % 10 < 8 AS first, value, rank() OVER w + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rk FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY value)),
+t AS (SELECT event_type, sum(CAST(c AS DOUBLE) * c * c - c) ties FROM (SELECT event_type, value, count(*) c FROM events WHERE value IS NOT NULL GROUP BY ALL) GROUP BY event_type),
+s AS (SELECT event_type, count(*) FILTER (first) a, count(*) FILTER (NOT first) b, sum(rk) FILTER (first) ranks FROM r GROUP BY event_type)
+SELECT event_type, a AS n_a, b AS n_b, ranks - a * (a + 1) / 2 AS u, ties, round((ranks - a * (a + 1) / 2 - a * b / 2.0) / sqrt(a * b / 12.0 * (a + b + 1 - ties / ((a + b) * (a + b - 1.0)))), 6) z FROM s JOIN t USING (event_type)""")
+def mann_whitney(v):
+    """Values of events of both runs, for each kind of event."""
+    e = v.raw("events").withColumn("run", F.when(F.col("event_id") % 10 < 8, "a").otherwise("b"))
+    return S.rank_sums(e, "event_type", "run", "a", "b", "value").withColumn("z", R("z"))
+
+
+@query("st32_mann_whitney_p")
+def mann_whitney_p(v):
+    return I.normal_p(mann_whitney(v))
+
+
+CELLS_SQL = """WITH c AS (SELECT transform r, CAST(is_correct AS INTEGER) c, count(*) o FROM evals WHERE is_correct IS NOT NULL GROUP BY ALL), m AS (SELECT r, c, o, sum(o) OVER (PARTITION BY r) nr, sum(o) OVER (PARTITION BY c) nc, sum(o) OVER () n FROM c),
+x AS (SELECT max(n) n, max(n) * (sum(o / nr * o / nc) - 1) chi2, count(DISTINCT r) k, count(DISTINCT c) l FROM m) """
+
+
+@query("st32_chi_squared", CELLS_SQL + "SELECT CAST(n AS BIGINT) n, round(chi2, 5) chi2, (k - 1) * (l - 1) df, round(sqrt(chi2 / (n * (least(k, l) - 1))), 6) cramers_v FROM x")
+def chi_squared(v):
+    """Whether correctness depends on the transform; Cramer's V goes with it (ST33)."""
+    return S.contingency(v.evals.select("transform", F.col("is_correct").cast("int").alias("c")), "transform", "c").select("n", F.round("chi2", 5).alias("chi2"), "df", R("cramers_v").alias("cramers_v"))
+
+
+@query("st33_eta_squared", "SELECT model_id, round(between_ / (between_ + wss), 6) eta_squared, round(between_, 3) between_ss FROM (SELECT model_id, sum(n * pow(m - gm, 2)) between_, sum(n * v) AS wss FROM (SELECT *, sum(n * m) OVER (PARTITION BY model_id) / sum(n) OVER (PARTITION BY model_id) gm FROM (SELECT model_id, transform, count(*) n, avg(latency_ms) m, var_pop(latency_ms) v FROM evals GROUP BY ALL)) GROUP BY model_id)")
+def eta_squared(v):
+    """Share of the spread of latency that transforms explain, for each model."""
+    y = F.col("latency_ms").cast("double")
+    g = v.evals.groupBy("model_id", "transform").agg(F.count(y).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
+    by = Window.partitionBy("model_id")
+    g = g.withColumn("gm", F.sum(F.col("n") * F.col("m")).over(by) / F.sum("n").over(by))
+    between, within = F.sum(F.col("n") * F.pow(F.col("m") - F.col("gm"), 2)), F.sum(F.col("n") * F.col("v"))
+    return g.groupBy("model_id").agg(R(F.try_divide(between, between + within)).alias("eta_squared"), F.round(between, 3).alias("between_ss"))
