@@ -79,7 +79,17 @@ def rejection(similarity: Column, edit: Column, bleu_: Column) -> Column:
     return F.when(sem & sur, "both").when(sem, "semantic").when(sur, "surface").otherwise("none")
 
 
+# Forms in which an answer names an option, in order of precedence.
+CHOICES = [r"\b([A-E])\)", r"\(([A-E])\)", r"\b([A-E])\.", r"\b([1-5])\)", r"\(([1-5])\)", r"\b([1-5])\."]
+
+
 def choice(c: Column) -> Column:
-    """The option letter or number that an answer names, tried from the most to the least explicit form."""
-    forms = [r"(?i)answer\s*(?:is|:)\s*\(?([a-d])\)?(?![a-z])", r"(?i)^\s*\(?([a-d])\)(?![a-z])", r"(?i)^\s*([a-d])[.:]", r"(?i)\(([a-d])\)", r"(?i)^\s*([a-d])\s*$", r"^\s*([1-4])(?![0-9])"]
-    return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(c, f, 1), F.lit("")) for f in forms]))
+    """The option letter or number that an answer names; null if none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, form, 1), F.lit("")) for form in CHOICES])
+
+
+def verdict(predicted: Column, expected: Column) -> Column:
+    """How an answer is right: 'equal', 'contains' (the whole expected text) or 'choice' (both name the same option, looked for in
+    lowered texts, so by number); else 'none', as for nulls."""
+    p, e = F.lower(stripped(predicted)), F.lower(stripped(expected))
+    return F.when(p == e, "equal").when(F.contains(p, e), "contains").when(choice(p) == choice(e), "choice").otherwise("none")

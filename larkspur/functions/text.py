@@ -45,9 +45,10 @@ def differences(a: Column, b: Column) -> Column:
     return (F.greatest(F.length(a), F.length(b)) - same).cast("bigint")
 
 
-def answer_type(c: Column) -> Column:
+def answer_type(c: Column, stated: Column | None = None) -> Column:
+    """The kind that a record states, else the one that the form of the answer tells."""
     t = F.lower(F.trim(c))
-    return (
+    told = (
         F.when(t.isin("yes", "no", "true", "false"), "yes_no")
         .when(F.rlike(t, F.lit(r"^-?[0-9]+([.,][0-9]+)?%?$")), "numeric")
         .when(F.rlike(t, F.lit(r"^\(?[a-d]\)?[.)]?$")), "multiple_choice")
@@ -55,11 +56,24 @@ def answer_type(c: Column) -> Column:
         .when(word_count(c) <= 10, "extractive")
         .otherwise("abstractive")
     )
+    return told if stated is None else F.coalesce(stated, told)
+
+
+# What stands before a numbered item and before one with a bullet.
+NUMBERED, BULLET = r"[0-9]+\.\s*", r"(?m)^\s*[-*•]\s*"
 
 
 def list_items(c: Column) -> Column:
-    """Items of a list in prose: by commas, else semicolons, else ' and ', else the whole."""
-    parts = F.when(F.contains(c, F.lit(",")), F.split(c, ",")).when(F.contains(c, F.lit(";")), F.split(c, ";")).when(F.contains(c, F.lit(" and ")), F.split(c, " and ")).otherwise(F.array(c))
+    """Items of a list: by commas, else semicolons, else ' and ', else numbers with a point, else bullets at the start of lines, else the whole."""
+    has = lambda form: F.rlike(c, F.lit(form))
+    parts = (
+        F.when(F.contains(c, F.lit(",")), F.split(c, ","))
+        .when(F.contains(c, F.lit(";")), F.split(c, ";"))
+        .when(F.contains(c, F.lit(" and ")), F.split(c, " and "))
+        .when(has(NUMBERED), F.split(c, NUMBERED))
+        .when(has(BULLET), F.split(c, BULLET))
+        .otherwise(F.array(c))
+    )
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import joins as J
 from larkspur.operators import validate as V
 from larkspur.operators import windows as W
+from larkspur.plans.candidates import CANDIDATES, candidates
 from larkspur.registry import query
 
 R = lambda c: F.round(c, 6)
@@ -41,24 +42,9 @@ def by_id(v):
     return v.evals.filter("eval_id = 'e17'").select("eval_id", "item_id", "is_correct")
 
 
-CANDIDATES = """WITH p AS (SELECT a.vec_id, a.vec_id % 2 AS candidate_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda x: (a.vec_id % 5) * x[1] + x[2])) c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
-candidates AS (SELECT vec_id, candidate_id, round(c, 6) cos_sim, CAST(vec_id % 100 AS DOUBLE) / 100 edit_ratio, vec_id % 3 = 0 AS accepted FROM p)
-"""
-
-
-def candidates(v):
-    """Paraphrases of items: the candidate's vector is that of the next item with 0 to 4 parts of the item's own, so that both sides of a threshold occur."""
-    from larkspur.functions.score import cosine
-
-    e = v.raw("embeddings").select("vec_id", "embedding")
-    j = e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1)
-    candidate = F.zip_with("a.embedding", "b.embedding", lambda x, y: F.col("a.vec_id") % 5 * x.cast("double") + y.cast("double"))
-    return j.select(F.col("a.vec_id"), (F.col("a.vec_id") % 2).alias("candidate_id"), R(cosine(F.col("a.embedding"), candidate)).alias("cos_sim"), ((F.col("a.vec_id") % 100).cast("double") / 100).alias("edit_ratio"), (F.col("a.vec_id") % 3 == 0).alias("accepted"))
-
-
-@query("pf6_high_quality_candidates", CANDIDATES + "SELECT vec_id, cos_sim, edit_ratio FROM candidates WHERE cos_sim >= 0.85 AND edit_ratio >= 0.25 AND NOT accepted ORDER BY cos_sim DESC, vec_id")
+@query("pf6_high_quality_candidates", CANDIDATES + "SELECT item_id, candidate_id, cos_sim, edit_ratio FROM candidates WHERE cos_sim >= 0.85 AND edit_ratio >= 0.25 AND accepted ORDER BY cos_sim DESC, item_id, candidate_id")
 def high_quality(v):
-    return candidates(v).filter("cos_sim >= 0.85 and edit_ratio >= 0.25 and not accepted").select("vec_id", "cos_sim", "edit_ratio").orderBy(F.desc("cos_sim"), "vec_id")
+    return candidates(v).filter("cos_sim >= 0.85 and edit_ratio >= 0.25 and accepted").select("item_id", "candidate_id", "cos_sim", "edit_ratio").orderBy(F.desc("cos_sim"), "item_id", "candidate_id")
 
 
 @query("pf7_null_in_between", "SELECT eval_id FROM evals WHERE scramble_level IS NOT NULL AND model_id IN ('m0', 'm7') AND latency_ms BETWEEN 100 AND 500")
@@ -78,10 +64,10 @@ def scrambling_category(v):
     return v.levels.groupBy(F.when(i == 0, "baseline").when(i <= 20, "low").when(i <= 40, "medium").when(i <= 60, "high").otherwise("extreme").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pf11_quality_score", CANDIDATES + "SELECT vec_id, round(CASE WHEN cos_sim <> 0 AND edit_ratio <> 0 THEN 0.7 * cos_sim + 0.3 * (1 - edit_ratio) END, 8) quality, cos_sim >= 0.85 AND edit_ratio >= 0.25 AS meets FROM candidates")
+@query("pf11_quality_score", CANDIDATES + "SELECT item_id, candidate_id, round(CASE WHEN cos_sim <> 0 AND edit_ratio <> 0 THEN 0.7 * cos_sim + 0.3 * (1 - edit_ratio) END, 8) quality, cos_sim >= 0.85 AND edit_ratio >= 0.25 AS meets FROM candidates")
 def quality_score(v):
     score = F.when((F.col("cos_sim") != 0) & (F.col("edit_ratio") != 0), 0.7 * F.col("cos_sim") + 0.3 * (1 - F.col("edit_ratio")))
-    return candidates(v).select("vec_id", F.round(score, 8).alias("quality"), ((F.col("cos_sim") >= 0.85) & (F.col("edit_ratio") >= 0.25)).alias("meets"))
+    return candidates(v).select("item_id", "candidate_id", F.round(score, 8).alias("quality"), ((F.col("cos_sim") >= 0.85) & (F.col("edit_ratio") >= 0.25)).alias("meets"))
 
 
 @query("pf12_derived", "SELECT eval_id, round(CASE WHEN k <> 0 AND latency_ms <> 0 THEN k * 1000.0 / latency_ms END, 6) tokens_per_second, round(100.0 * k / 200, 6) progress FROM evals")
@@ -231,9 +217,9 @@ def ranked_families(v):
     return a.withColumn("place", F.rank().over(Window.partitionBy("domain").orderBy(F.desc("acc"))).cast("bigint"))
 
 
-@query("w4_best_candidate", CANDIDATES + "SELECT candidate_id, arg_max(vec_id, cos_sim) vec_id FROM candidates WHERE accepted GROUP BY candidate_id")
+@query("w4_best_candidate", CANDIDATES + "SELECT item_id, candidate_id, cos_sim FROM candidates WHERE accepted QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cos_sim DESC, candidate_id) = 1")
 def best_candidate(v):
-    return candidates(v).filter("accepted").groupBy("candidate_id").agg(F.max_by("vec_id", "cos_sim").alias("vec_id"))
+    return W.latest(candidates(v).filter("accepted").select("item_id", "candidate_id", "cos_sim"), ["item_id"], F.desc("cos_sim"), F.col("candidate_id"))
 
 
 @query("w7_bounded_history", "SELECT eval_id, model_id FROM (SELECT eval_id, model_id, row_number() OVER (PARTITION BY model_id ORDER BY timestamp DESC, eval_id) n FROM evals) WHERE n <= 10")

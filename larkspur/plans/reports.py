@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.operators import aggregates as A
 from larkspur.operators import statistics as S
-from larkspur.plans.relational import CANDIDATES, candidates
+from larkspur.plans.candidates import CANDIDATES, candidates
 from larkspur.registry import query
 
 R = lambda c: F.round(c, 6)
 N = lambda: F.count(F.lit(1))
 
 
-@query("a7_paraphrase_quality", CANDIDATES + "SELECT candidate_id, count(*) n, count(*) FILTER (accepted) accepted, round(avg(cos_sim), 5) similarity, round(avg(edit_ratio), 6) edit FROM candidates GROUP BY candidate_id")
+@query("a7_paraphrase_quality", CANDIDATES + "SELECT candidate_id - item_id AS apart, count(*) n, count(*) FILTER (accepted) accepted, round(avg(cos_sim), 5) similarity, round(avg(edit_ratio), 6) edit FROM candidates GROUP BY 1")
 def paraphrase_quality(v):
-    return candidates(v).groupBy("candidate_id").agg(N().alias("n"), F.count_if("accepted").alias("accepted"), F.round(F.avg("cos_sim"), 5).alias("similarity"), R(F.avg("edit_ratio")).alias("edit"))
+    return candidates(v).groupBy((F.col("candidate_id") - F.col("item_id")).alias("apart")).agg(N().alias("n"), F.count_if("accepted").alias("accepted"), F.round(F.avg("cos_sim"), 5).alias("similarity"), R(F.avg("edit_ratio")).alias("edit"))
 
 
 @query("a29_by_answer_type", r"SELECT CASE WHEN regexp_full_match(lower(trim(answer)), '[a-zà-ÿ]+') THEN 'word' ELSE 'other' END kind, count(*) n, round(avg(CAST(is_correct AS INTEGER)), 6) accuracy FROM evals JOIN items USING (item_id) GROUP BY ALL")
@@ -96,16 +96,16 @@ def price_lookup(v):
     return best.select("model", F.coalesce("price", F.lit(2.0)).alias("price"), F.element_at(F.array(F.lit("exact"), F.lit("part"), F.lit("default")), F.col("o") + 1).alias("kind"))
 
 
-@query("a64_rejections", CANDIDATES + "SELECT CASE WHEN cos_sim < 0.5 AND edit_ratio < 0.25 THEN 'both' WHEN cos_sim < 0.5 THEN 'semantic' WHEN edit_ratio < 0.25 THEN 'surface' ELSE 'none' END kind, count(*) n FROM candidates GROUP BY ALL")
+@query("a64_rejections", CANDIDATES + "SELECT CASE WHEN cos_sim < 0.85 AND edit_ratio < 0.25 THEN 'both' WHEN cos_sim < 0.85 THEN 'semantic' WHEN edit_ratio < 0.25 THEN 'surface' ELSE 'none' END kind, count(*) n FROM candidates GROUP BY ALL")
 def rejections(v):
-    sem, sur = F.col("cos_sim") < 0.5, F.col("edit_ratio") < 0.25
+    sem, sur = F.col("cos_sim") < 0.85, F.col("edit_ratio") < 0.25
     return candidates(v).groupBy(F.when(sem & sur, "both").when(sem, "semantic").when(sur, "surface").otherwise("none").alias("kind")).agg(N().alias("n"))
 
 
-@query("a65_quality_dimensions", CANDIDATES + "SELECT candidate_id, round(0.4 * avg(cos_sim) + 0.3 * avg(edit_ratio) + 0.2 * avg(CAST(accepted AS INTEGER)) + 0.1 * count(*) / 1000, 5) score FROM candidates GROUP BY candidate_id")
+@query("a65_quality_dimensions", CANDIDATES + "SELECT candidate_id - item_id AS apart, round(0.4 * avg(cos_sim) + 0.3 * avg(edit_ratio) + 0.2 * avg(CAST(accepted AS INTEGER)) + 0.1 * count(*) / 1000, 5) score FROM candidates GROUP BY 1")
 def quality_dimensions(v):
     score = 0.4 * F.avg("cos_sim") + 0.3 * F.avg("edit_ratio") + 0.2 * F.avg(F.col("accepted").cast("int")) + 0.1 * N() / 1000
-    return candidates(v).groupBy("candidate_id").agg(F.round(score, 5).alias("score"))
+    return candidates(v).groupBy((F.col("candidate_id") - F.col("item_id")).alias("apart")).agg(F.round(score, 5).alias("score"))
 
 
 @query("a70_model_table", """SELECT model_id, n_params, round(a, 6) original, round(p, 6) paraphrase, round(s, 6) scramble, round(s / nullif(a, 0), 6) rrs, round(1 - s / nullif(a, 0), 6) ldc FROM (SELECT model_id, n_params, avg(CASE WHEN transform = 'original' THEN CAST(is_correct AS INTEGER) END) a,

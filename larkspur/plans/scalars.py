@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import score as S
 from larkspur.functions import text as T
+from larkspur.plans.candidates import candidates, one_byte
 from larkspur.registry import query
 
 R = lambda c: F.round(c, 6)
@@ -51,22 +52,31 @@ def first_line(v):
     return v.raw("documents").select("doc_id", T.first_line(F.col("text")).alias("line"))
 
 
-@query("f9_accuracy_cascade", "SELECT conv_id, turn, CASE WHEN lower(predicted) = lower(question) THEN 'equal' WHEN contains(lower(predicted), lower(split_part(question, ' ', 1))) THEN 'contains' ELSE 'none' END verdict FROM qa_pairs")
+def choice_sql(c):
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({c}, '{form}', 1), '')" for form in S.CHOICES) + ")"
+
+
+def verdict_sql(p, e):
+    return f"CASE WHEN {p} = {e} THEN 'equal' WHEN contains({p}, {e}) THEN 'contains' WHEN {choice_sql(p)} = {choice_sql(e)} THEN 'choice' ELSE 'none' END"
+
+
+#: Questions and answers, lowered and without blanks around them.
+SAID = r"""WITH said AS (SELECT conv_id, turn, lower(regexp_replace(predicted, '^\s+|\s+$', '', 'g')) p, lower(regexp_replace(question, '^\s+|\s+$', '', 'g')) e, predicted, question FROM qa_pairs) """
+
+
+@query("f9_accuracy_cascade", SAID + f"SELECT conv_id, turn, {verdict_sql('p', 'e')} verdict FROM said")
 def accuracy_cascade(v):
-    first = F.lower(F.split_part("question", F.lit(" "), F.lit(1)))
-    return v.qa_pairs.select("conv_id", "turn", F.when(F.lower("predicted") == F.lower("question"), "equal").when(F.contains(F.lower("predicted"), first), "contains").otherwise("none").alias("verdict"))
+    return v.qa_pairs.select("conv_id", "turn", S.verdict(F.col("predicted"), F.col("question")).alias("verdict"))
 
 
-@query("f10_choice", "SELECT * FROM (VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, '2'), (6, NULL)) t(id, choice)")
+@query("f10_choice", f"SELECT conv_id, turn, {choice_sql('text')} choice FROM conversations")
 def choice(v):
-    rows = v.spark.sql("SELECT * FROM VALUES (1, 'The answer is A.'), (2, 'b) because'), (3, 'c: so'), (4, 'I take (d)'), (5, '2 of them'), (6, 'unclear') AS t(id, said)")
-    return rows.select("id", S.choice(F.col("said")).alias("choice"))
+    return v.raw("conversations").select("conv_id", "turn", S.choice(F.col("text")).alias("choice"))
 
 
-@query("f11_edit_ratio", PAIRS + r"SELECT item_id, round(levenshtein(x, y) / greatest(length(x), length(y)), 6) ratio FROM pairs WHERE regexp_full_match(x || y, '[\x01-\x7F]*')")
+@query("f11_edit_ratio", PAIRS + f"SELECT item_id, round(levenshtein({one_byte('x')}, {one_byte('y')}) / greatest(length(x), length(y)), 6) ratio FROM pairs")
 def edit_ratio(v):
-    ascii_ = F.rlike(F.concat("x", "y"), F.lit(r"^[\x01-\x7F]*$"))
-    return pairs(v).filter(ascii_).select("item_id", R(S.edit_ratio(F.col("x"), F.col("y"))).alias("ratio"))
+    return pairs(v).select("item_id", R(S.edit_ratio(F.col("x"), F.col("y"))).alias("ratio"))
 
 
 @query("f12_jaccard", PAIRS + r"SELECT item_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) jaccard FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(x), '\s+'), lambda w: w <> '') a, list_filter(regexp_split_to_array(lower(y), '\s+'), lambda w: w <> '') b FROM pairs)")
@@ -85,10 +95,10 @@ def bleu(v):
     return pairs(v).select("item_id", R(S.bleu(F.col("x"), F.col("y"))).alias("bleu"), R(S.bleu(F.col("x"), F.col("x"))).alias("own"))
 
 
-@query("f15_acceptance", "SELECT vec_id, s, e, s >= 0.85 AND (e >= 0.25 OR b <= 0.6) accepted, CASE WHEN s < 0.85 AND NOT (e >= 0.25 OR b <= 0.6) THEN 'both' WHEN s < 0.85 THEN 'semantic' WHEN NOT (e >= 0.25 OR b <= 0.6) THEN 'surface' ELSE 'none' END rejection FROM (SELECT vec_id, (vec_id % 7) / 6.0 s, (vec_id % 5) / 10.0 e, (vec_id % 3) / 2.0 b FROM embeddings)")
+@query("f15_acceptance")
 def acceptance(v):
-    s, e, b = ((F.col("vec_id") % m) / d for m, d in ((7, 6.0), (5, 10.0), (3, 2.0)))
-    return v.raw("embeddings").select("vec_id", s.alias("s"), e.alias("e"), S.accepted(s, e, b).alias("accepted"), S.rejection(s, e, b).alias("rejection"))
+    """The rule over real pairs of texts: likeness, edit ratio and BLEU decide. No SQL states BLEU."""
+    return candidates(v).select("item_id", "candidate_id", "cos_sim", "edit_ratio", R(F.col("bleu")).alias("bleu"), "accepted", S.rejection(F.col("cos_sim"), F.col("edit_ratio"), F.col("bleu")).alias("rejection"))
 
 
 @query("f17_field_priority", "SELECT page_id, coalesce(nullif(url, ''), html, 'unknown') found FROM pages")
@@ -104,16 +114,20 @@ def qa_zip(v):
     return g.filter(n > 0).select("conv_id", F.posexplode(F.arrays_zip(F.slice("q", F.lit(1), n).alias("q"), F.slice("a", F.lit(1), n).alias("a"))).alias("i", "s")).select("conv_id", (F.col("i") + 1).cast("bigint").alias("n"), F.col("s.q").alias("question"), F.col("s.a").alias("answer"))
 
 
-@query("f21_answer_type", "SELECT * FROM (VALUES (1, 'yes_no'), (2, 'numeric'), (3, 'multiple_choice'), (4, 'list'), (5, 'extractive'), (6, 'abstractive')) t(id, kind)")
+@query("f21_answer_type", r"""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'instruction' WHEN t IN ('yes', 'no', 'true', 'false') THEN 'yes_no' WHEN regexp_full_match(t, '-?[0-9]+([.,][0-9]+)?%?') THEN 'numeric' WHEN regexp_full_match(t, '\(?[a-d]\)?[.)]?') THEN 'multiple_choice'
+WHEN contains(t, ',') OR contains(t, ';') THEN 'list' WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 10 THEN 'extractive' ELSE 'abstractive' END kind FROM (SELECT *, lower(trim(text)) t FROM conversations)""")
 def answer_type(v):
-    rows = v.spark.sql("SELECT * FROM VALUES (1, 'Yes'), (2, '12.5%'), (3, 'B)'), (4, 'a, b; c'), (5, 'the blue house'), (6, 'one two three four five six seven eight nine ten eleven') AS t(id, said)")
-    return rows.select("id", T.answer_type(F.col("said")).alias("kind"))
+    """What the record says comes first: a system's message is an instruction."""
+    stated = F.when(F.col("role") == "system", "instruction")
+    return v.raw("conversations").select("conv_id", "turn", T.answer_type(F.col("text"), stated).alias("kind"))
 
 
-@query("f22_prompt", "SELECT item_id, 'Question: ' || answer || chr(10) || 'A. ' || dataset || chr(10) || 'B. ' || domain AS prompt FROM items")
+@query("f22_prompt", "SELECT item_id, md5('Question: ' || question || chr(10) || concat_ws(chr(10), 'A. ' || dataset, 'B. ' || domain)) AS prompt, length(question) AS n_question FROM items")
 def prompt(v):
+    """Whole questions with their options, by digest."""
     options = F.transform(F.array("dataset", "domain"), lambda x, i: F.concat(F.char(i + 65), F.lit(". "), x))
-    return v.items.select("item_id", F.concat(F.lit("Question: "), "answer", F.lit("\n"), F.array_join(options, "\n")).alias("prompt"))
+    whole = F.concat(F.lit("Question: "), "question", F.lit("\n"), F.array_join(options, "\n"))
+    return v.items.select("item_id", F.md5(whole).alias("prompt"), F.length("question").cast("bigint").alias("n_question"))
 
 
 @query("f23_differences", PAIRS + "SELECT item_id, greatest(length(x), length(y)) - len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, i, 1) = substr(y, i, 1))) AS differences FROM pairs")
@@ -155,10 +169,10 @@ def word_count(v):
     return v.raw("documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
-@query("f31_list_items", "SELECT * FROM (VALUES (1, 'a|b'), (2, 'c|d'), (3, 'e|f'), (4, 'g')) t(id, items)")
+@query("f31_list_items", r"""SELECT conv_id, turn, list_filter(list_transform(CASE WHEN contains(text, ',') THEN string_split(text, ',') WHEN contains(text, ';') THEN string_split(text, ';') WHEN contains(text, ' and ') THEN string_split(text, ' and ')
+WHEN regexp_matches(text, '[0-9]+\.\s*') THEN regexp_split_to_array(text, '[0-9]+\.\s*') WHEN regexp_matches(text, '(?m)^\s*[-*•]\s*') THEN regexp_split_to_array(text, '(?m)^\s*[-*•]\s*') ELSE [text] END, lambda x: trim(x)), lambda x: x <> '') items FROM conversations""")
 def list_items(v):
-    rows = v.spark.sql("SELECT * FROM VALUES (1, 'a, b,'), (2, 'c; d'), (3, 'e and f'), (4, 'g') AS t(id, said)")
-    return rows.select("id", F.array_join(T.list_items(F.col("said")), "|").alias("items"))
+    return v.raw("conversations").select("conv_id", "turn", T.list_items(F.col("text")).alias("items"))
 
 
 @query("f34_vocabulary", r"WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w FROM documents) SELECT w, count(*) n FROM t WHERE length(w) >= 3 AND NOT regexp_matches(w, '[0-9_]') GROUP BY w HAVING count(*) >= 5")
