@@ -93,3 +93,16 @@ def verdict(predicted: Column, expected: Column) -> Column:
     lowered texts, so by number); else 'none', as for nulls."""
     p, e = F.lower(stripped(predicted)), F.lower(stripped(expected))
     return F.when(p == e, "equal").when(F.contains(p, e), "contains").when(choice(p) == choice(e), "choice").otherwise("none")
+
+
+def price(name: Column, prices: dict[str, float], default: float) -> tuple[Column, Column]:
+    """Price of a name and how it was found: 'exact'; 'part', where one name holds the other, the longest name of the list first; else 'default'.
+
+    The list is a parameter, short by construction, so it becomes one expression and no join."""
+    cost, kind = None, None
+    order = [(name == F.lit(k), v, "exact") for k, v in prices.items()]
+    order += [(F.contains(name, F.lit(k)) | F.contains(F.lit(k), name), prices[k], "part") for k in sorted(prices, key=lambda k: (-len(k), k))]
+    for hit, value, said in order:
+        cost = F.when(hit, F.lit(float(value))) if cost is None else cost.when(hit, F.lit(float(value)))
+        kind = F.when(hit, said) if kind is None else kind.when(hit, said)
+    return (F.lit(float(default)), F.lit("default")) if cost is None else (cost.otherwise(F.lit(float(default))), kind.otherwise("default"))

@@ -74,7 +74,7 @@ def list_items(c: Column) -> Column:
         .when(has(BULLET), F.split(c, BULLET))
         .otherwise(F.array(c))
     )
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def sections(c: Column, separator: str = r"\n\s*\n") -> Column:

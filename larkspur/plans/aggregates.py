@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import aggregates as A
 from larkspur.operators import windows as W
+from larkspur.functions import score
 from larkspur.registry import query
 
 R = lambda c: F.round(c, 6)
@@ -363,12 +364,18 @@ def eta(v):
     return last.groupBy("user_id").agg((F.max("i") - F.min("i")).alias("steps"), F.expr("unix_seconds(cast(max(ts) as timestamp)) - unix_seconds(cast(min(ts) as timestamp))").alias("seconds"))
 
 
-@query("a61_cost_projection", """SELECT e.model_id, transform, CAST(sum(greatest(1, length(question) // 4)) AS BIGINT) tokens, round(sum(greatest(1, length(question) // 4)) * p.price / 1e6, 6) cost
- FROM evals e JOIN items USING (item_id) JOIN (VALUES ('m0', 0.5), ('m1', 1.0), ('m2', 2.0)) p(model_id, price) ON e.model_id = p.model_id GROUP BY e.model_id, transform, p.price""")
+#: Prices of a million tokens by model; models that are not listed cost DEFAULT_PRICE.
+MODEL_PRICES, DEFAULT_PRICE = {"m0": 0.5, "m1": 1.0, "m2": 2.0}, 2.0
+
+
+@query("a61_cost_projection", f"""SELECT e.model_id, transform, dataset, CAST(sum(greatest(1, length(question) // 4)) AS BIGINT) tokens, round(sum(greatest(1, length(question) // 4)) * CASE e.model_id {' '.join(f"WHEN '{m}' THEN {p}" for m, p in MODEL_PRICES.items())} ELSE {DEFAULT_PRICE} END / 1e6, 6) cost
+ FROM evals e JOIN items USING (item_id) GROUP BY e.model_id, transform, dataset""")
 def cost_projection(v):
-    price = v.spark.createDataFrame([("m0", 0.5), ("m1", 1.0), ("m2", 2.0)], "model_id string, price double")
+    """All models, transforms and datasets, at the listed price or the default one."""
+    price, _ = score.price(F.col("model_id"), MODEL_PRICES, DEFAULT_PRICE)
     tokens = F.sum(F.greatest(F.lit(1), F.floor(F.length("question") / 4)))
-    return v.evals.join(v.items.select("item_id", "question"), "item_id").join(price, "model_id").groupBy("model_id", "transform", "price").agg(tokens.alias("tokens"), R(tokens * F.col("price") / 1e6).alias("cost")).drop("price")
+    asked = v.evals.join(v.items.select("item_id", "question", "dataset"), "item_id").groupBy("model_id", "transform", "dataset").agg(tokens.alias("tokens"))
+    return asked.select("model_id", "transform", "dataset", "tokens", R(F.col("tokens") * price / 1e6).alias("cost"))
 
 
 @query("a68_contamination_frame", """SELECT model_id, domain, round(avg(CASE WHEN transform = 'original' THEN CAST(is_correct AS INTEGER) END), 6) acc_original, round(avg(CASE WHEN transform = 'paraphrase' THEN CAST(is_correct AS INTEGER) END), 6) acc_paraphrase,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import languages as L
+from larkspur.functions import text as T
 from larkspur.functions import transform as X
 from larkspur.functions.text import mapped_tokens
 from larkspur.registry import query
@@ -49,12 +50,14 @@ def proper_nouns(v):
     return v.raw("benchmark").select("item_id", F.array_join(found, ",").alias("nouns"))
 
 
-@query("f33_person_or_place", "SELECT * FROM (VALUES ('Ann', 'person'), ('Bo Li', 'person'), ('Johannesburg', 'person'), ('Northumberland', 'place'), ('x', 'other')) t(name, kind)")
+@query("f33_person_or_place", r"""WITH n AS (SELECT item_id, unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?')) AS name FROM benchmark)
+SELECT name, CASE WHEN regexp_full_match(name, '\p{Lu}\p{Ll}{2,11}') OR regexp_full_match(name, '\p{Lu}\p{Ll}{1,11} \p{Lu}\p{Ll}{1,11}') THEN 'person' WHEN regexp_matches(name, '(land|burg|ville|ton|ford)$') THEN 'place' ELSE 'other' END kind, count(*) n FROM n GROUP BY ALL""")
 def person_or_place(v):
-    names = v.spark.sql("SELECT * FROM VALUES ('Ann'), ('Bo Li'), ('Johannesburg'), ('Northumberland'), ('x') AS t(name)")
+    """Capitalised words and pairs of them in all items: persons are tested first."""
+    names = v.raw("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?)"), 1)).alias("name"))
     person = F.rlike("name", F.lit(r"^\p{Lu}\p{Ll}{2,11}$")) | F.rlike("name", F.lit(r"^\p{Lu}\p{Ll}{1,11} \p{Lu}\p{Ll}{1,11}$"))
     place = F.rlike("name", F.lit("(land|burg|ville|ton|ford)$"))
-    return names.select("name", F.when(person, "person").when(place, "place").otherwise("other").alias("kind"))
+    return names.groupBy("name", F.when(person, "person").when(place, "place").otherwise("other").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t13_noun_swap", f"""SELECT item_id, list_aggregate(list_transform(regexp_extract_all(text, '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+)'), lambda t, i: CASE WHEN i > 1 AND regexp_full_match(t, {NOUN})
@@ -73,16 +76,22 @@ def answer_by_type(v):
     return v.qa_pairs.select("conv_id", "turn", F.when(keep, F.col("predicted")).otherwise(X.caesar(F.col("predicted"), 3)).alias("result"))
 
 
-@query("f48_answer_span", f"SELECT doc_id, position(translate(split_part(text, ' ', 3), '{X.LOWER}', '{X.rotated(3)}') IN translate(text, '{X.LOWER}', '{X.rotated(3)}')) AS place FROM documents")
+@query("f48_answer_span", f"SELECT doc_id, position(translate(regexp_extract(text, '^\\s*([^\\n]*[^\\s])', 1), '{X.LOWER}', '{X.rotated(3)}') IN translate(text, '{X.LOWER}', '{X.rotated(3)}')) AS place, length(regexp_extract(text, '^\\s*([^\\n]*[^\\s])', 1)) AS n FROM documents")
 def answer_span(v):
+    """Where the whole answer, here a text's first line, stands in the text, both in the other language, and its length."""
     moved = lambda c: F.translate(c, X.LOWER, X.rotated(3))
-    return v.raw("documents").select("doc_id", F.position(moved(F.split_part("text", F.lit(" "), F.lit(3))), moved(F.col("text"))).cast("bigint").alias("place"))
+    answer = T.first_line(F.col("text"))
+    return v.raw("documents").select("doc_id", F.position(moved(answer), moved(F.col("text"))).cast("bigint").alias("place"), F.length(answer).cast("bigint").alias("n"))
 
 
-@query("f39_confidence", "SELECT conv_id, turn, CASE WHEN contains(lower(predicted), lower(split_part(question, ' ', 1))) THEN 1.0 ELSE 0.5 END * CASE WHEN length(predicted) > 200 THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM qa_pairs")
+def confidence_of(answer: str, text: str):
+    """0.9 for an abstractive answer; else 1 where the whole answer stands in the text, and half of that times 0.7 where it has no span."""
+    return F.when(T.answer_type(F.col(answer)) == "abstractive", 0.9).when(F.contains(F.lower(text), F.lower(answer)), 1.0).otherwise(0.35)
+
+
+@query("f39_confidence", r"SELECT conv_id, turn, CAST(CASE WHEN NOT contains(question, ',') AND NOT contains(question, ';') AND len(list_filter(regexp_split_to_array(question, '\s+'), lambda w: w <> '')) > 10 THEN 0.9 WHEN contains(lower(predicted), lower(question)) THEN 1.0 ELSE 0.35 END AS DOUBLE) confidence FROM qa_pairs")
 def confidence(v):
-    found = F.when(F.contains(F.lower("predicted"), F.lower(F.split_part("question", F.lit(" "), F.lit(1)))), 1.0).otherwise(0.5)
-    return v.qa_pairs.select("conv_id", "turn", (found * F.when(F.length("predicted") > 200, 0.7).otherwise(1.0)).alias("confidence"))
+    return v.qa_pairs.select("conv_id", "turn", confidence_of("question", "predicted").alias("confidence"))
 
 
 @query("f40_qa_flags", "SELECT conv_id, turn, length(trim(question)) > 0 AS has_question, length(trim(predicted)) > 0 AS has_answer, question <> predicted AS changed FROM qa_pairs")
@@ -97,9 +106,9 @@ def sql_function(v):
     return means.select("model_id", F.round(F.expr("dependency(a, s)"), 6).alias("ldc"))
 
 
-@query("x2_benchmark_run", "SELECT item_id, substr('ABCD', CAST(CAST('0x' || substr(md5('Q: ' || answer), 1, 2) AS INTEGER) % 4 AS INTEGER) + 1, 1) response FROM items")
+@query("x2_benchmark_run", "SELECT item_id, substr('ABCD', CAST(CAST('0x' || substr(md5('Q: ' || question), 1, 2) AS INTEGER) % 4 AS INTEGER) + 1, 1) response FROM items")
 def benchmark_run(v):
     from larkspur.functions.responder import answered
 
-    prompts = v.items.select("item_id", F.concat(F.lit("Q: "), "answer").alias("prompt"))
+    prompts = v.items.select("item_id", F.concat(F.lit("Q: "), "question").alias("prompt"))
     return answered(prompts).select("item_id", "response")

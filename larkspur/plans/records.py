@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from larkspur.functions import score as S
 from larkspur.functions import evaluators, extract
 from larkspur.functions.responder import answered
 from larkspur.operators.aggregates import rate_where
@@ -39,11 +40,12 @@ def semantic(v):
     return v.qa_pairs.select("conv_id", "turn", evaluators.evaluated("semantic", F.col("predicted"), F.col("question")).alias("correct"))
 
 
-@query("f5_custom_evaluator", "SELECT conv_id, turn, coalesce(lower(split_part(predicted, ' ', 1)) = lower(split_part(question, ' ', 1)), false) AS correct FROM qa_pairs")
+@query("f5_custom_evaluator", r"SELECT conv_id, turn, 4 * len(list_intersect(p, e)) >= len(e) AS correct FROM (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(predicted), '\s+'), lambda w: w <> '')) p, list_distinct(list_filter(regexp_split_to_array(lower(question), '\s+'), lambda w: w <> '')) e FROM qa_pairs)")
 def custom_evaluator(v):
-    first = lambda c: F.lower(F.split_part(c, F.lit(" "), F.lit(1)))
-    evaluators.register_evaluator("first_word", lambda p, e: first(p) == first(e))
-    return v.qa_pairs.select("conv_id", "turn", evaluators.evaluated("first_word", F.col("predicted"), F.col("question")).alias("correct"))
+    """Right where the answer has a quarter of the expected text's words or more."""
+    own = lambda c: F.array_distinct(S.tokens(c))
+    evaluators.register_evaluator("quarter_of_words", lambda p, e: 4 * F.size(F.array_intersect(own(p), own(e))) >= F.size(own(e)))
+    return v.qa_pairs.select("conv_id", "turn", evaluators.evaluated("quarter_of_words", F.col("predicted"), F.col("question")).alias("correct"))
 
 
 def filtered(df, model: str | None = None, transform: str | None = None, correct: bool | None = None):
@@ -60,15 +62,16 @@ def filters(v):
     return both.select("eval_id", "model_id", "transform", "is_correct")
 
 
-CONFIDENCE = "CASE WHEN contains(lower(predicted), lower(split_part(question, ' ', 1))) THEN 1.0 ELSE 0.5 END * CASE WHEN length(predicted) > 200 THEN 0.7 ELSE 1.0 END"
+CONFIDENCE = r"""CASE WHEN NOT contains(question, ',') AND NOT contains(question, ';') AND len(list_filter(regexp_split_to_array(question, '\s+'), lambda w: w <> '')) > 10 THEN 0.9 WHEN contains(lower(predicted), lower(question)) THEN 1.0 ELSE 0.35 END"""
 KIND = "CASE WHEN length(predicted) = 0 THEN 'empty' WHEN length(predicted) - length(replace(predicted, ' ', '')) < 10 THEN 'short' ELSE 'long' END"
 
 
 def transformed_pairs(v):
-    found = F.when(F.contains(F.lower("predicted"), F.lower(F.split_part("question", F.lit(" "), F.lit(1)))), 1.0).otherwise(0.5)
+    from larkspur.plans.languages import confidence_of
+
     blanks = F.length("predicted") - F.length(F.replace("predicted", F.lit(" "), F.lit("")))
     kind = F.when(F.length("predicted") == 0, "empty").when(blanks < 10, "short").otherwise("long")
-    return v.qa_pairs.select((found * F.when(F.length("predicted") > 200, 0.7).otherwise(1.0)).alias("confidence"), kind.alias("kind"))
+    return v.qa_pairs.select(confidence_of("question", "predicted").alias("confidence"), kind.alias("kind"))
 
 
 @query("a66_qa_stats", f"SELECT count(*) total, round(avg(c), 6) mean, min(c) least, max(c) most, CAST(count_if(c < 0.7) AS BIGINT) low, CAST(count_if(c >= 0.9) AS BIGINT) high FROM (SELECT CAST({CONFIDENCE} AS DOUBLE) c FROM qa_pairs)")
@@ -91,10 +94,14 @@ def success_and_degradation(v):
     return rates.select("model_id", *[R(F.col(t)).alias(t) for t in TRANSFORMS], *[R(F.col("original") - F.col(t)).alias(f"{t}_loss") for t in TRANSFORMS[1:]])
 
 
-@query("a90_flattened_metrics", "SELECT count(*) questions, CAST(sum(CAST(contains(lower(predicted), lower(split_part(question, ' ', 1))) AS INTEGER)) AS BIGINT) correct, round(avg(CAST(contains(lower(predicted), lower(split_part(question, ' ', 1))) AS INTEGER)), 6) score, round(avg(length(predicted)), 6) mean_length, max(length(predicted)) longest FROM qa_pairs")
+HIT = "4 * len(list_intersect(p, e)) >= len(e)"
+
+
+@query("a90_flattened_metrics", rf"SELECT count(*) questions, CAST(sum(CAST({HIT} AS INTEGER)) AS BIGINT) correct, round(avg(CAST({HIT} AS INTEGER)), 6) score, round(avg(length(predicted)), 6) mean_length, max(length(predicted)) longest FROM (SELECT predicted, list_distinct(list_filter(regexp_split_to_array(lower(predicted), '\s+'), lambda w: w <> '')) p, list_distinct(list_filter(regexp_split_to_array(lower(question), '\s+'), lambda w: w <> '')) e FROM qa_pairs)")
 def flattened_metrics(v):
     """Results nested by conversation, as a benchmark of documents returns them, flattened and summed up."""
-    hit = F.contains(F.lower("predicted"), F.lower(F.split_part("question", F.lit(" "), F.lit(1))))
+    own = lambda c: F.array_distinct(S.tokens(F.col(c)))
+    hit = 4 * F.size(F.array_intersect(own("predicted"), own("question"))) >= F.size(own("question"))
     nested = v.qa_pairs.groupBy("conv_id").agg(F.collect_list(F.struct(hit.alias("hit"), F.length("predicted").cast("bigint").alias("length"))).alias("qa_results"))
     flat = nested.select(F.inline("qa_results"))
     return flat.agg(F.count(F.lit(1)).alias("questions"), F.sum(F.col("hit").cast("bigint")).alias("correct"), R(F.avg(F.col("hit").cast("double"))).alias("score"), R(F.avg("length")).alias("mean_length"), F.max("length").alias("longest"))

@@ -274,10 +274,14 @@ def row_dedup(v):
     return v.raw("documents").select("text").dropDuplicates()
 
 
-@query("v2_response_checks", "SELECT response_id, response_time_ms NOT BETWEEN 1 AND 600000 AS bad_time, token_count > 60 AS many_tokens FROM responses WHERE response_time_ms NOT BETWEEN 1 AND 600000 OR token_count > 60")
+@query("v2_response_checks", "SELECT * FROM (SELECT response_id, response_time_ms NOT BETWEEN 1 AND 600000 AS bad_time, token_count > 2 * length(question) AS many_tokens, token_count < length(question) // 10 AS few_tokens FROM responses JOIN questions ON question_id = coalesce(original_question_id, regexp_replace(scrambled_question_id, '_[0-9]+$', ''))) WHERE bad_time OR many_tokens OR few_tokens")
 def response_checks(v):
-    bad, many = ~F.col("response_time_ms").between(1, 600000), F.col("token_count") > 60
-    return v.responses.filter(bad | many).select("response_id", bad.alias("bad_time"), many.alias("many_tokens"))
+    """Tokens are counted against the length of the question: at most twice as many, at least a tenth."""
+    asked = F.coalesce("original_question_id", F.regexp_replace("scrambled_question_id", "_[0-9]+$", ""))
+    both = v.responses.join(v.questions.select("question_id", F.length("question").alias("long")), asked == F.col("question_id"))
+    bad, tokens = ~F.col("response_time_ms").between(1, 600000), F.col("token_count")
+    told = both.select("response_id", bad.alias("bad_time"), (tokens > 2 * F.col("long")).alias("many_tokens"), (tokens < F.floor(F.col("long") / 10)).alias("few_tokens"))
+    return told.filter("bad_time or many_tokens or few_tokens")
 
 
 @query("v4_constraints", """SELECT 'unique eval_id' AS rule, (SELECT count(*) FROM (SELECT eval_id FROM evals GROUP BY eval_id HAVING count(*) > 1)) violations UNION ALL

@@ -86,14 +86,22 @@ def survey_progress(v):
     return m.agg(R(F.avg("done")).alias("completion"), R(F.avg(F.when(F.col("done") > 0, F.col("rate")))).alias("success"))
 
 
-@query("a62_price_lookup", "SELECT * FROM (VALUES ('gpt-x', 1.0::DOUBLE, 'exact'), ('vendor/gpt-x-mini', 1.0, 'part'), ('other', 2.0, 'default')) t(model, price, kind)")
+#: Prices by name; variants of a name cost the same unless they are listed.
+PRICES = {"ring": 1.0, "hot ring": 0.4, "bolt": 0.2, "plate": 3.0, "small plate": 2.5, "large widget": 7.5}
+
+
+def price_sql(name, prices, default):
+    exact = "".join(f" WHEN {name} = '{k}' THEN {{0}}" .replace("{0}", f"struct_pack(price := {v}::DOUBLE, kind := 'exact')") for k, v in prices.items())
+    part = "".join(f" WHEN contains({name}, '{k}') OR contains('{k}', {name}) THEN struct_pack(price := {prices[k]}::DOUBLE, kind := 'part')" for k in sorted(prices, key=lambda k: (-len(k), k)))
+    return f"CASE{exact}{part} ELSE struct_pack(price := {default}::DOUBLE, kind := 'default') END"
+
+
+@query("a62_price_lookup", f"SELECT p_partkey, p_name, x.price AS price, x.kind AS kind FROM (SELECT p_partkey, p_name, {price_sql('p_name', PRICES, 2.0)} x FROM part)")
 def price_lookup(v):
-    asked = v.spark.sql("SELECT * FROM VALUES ('gpt-x'), ('vendor/gpt-x-mini'), ('other') AS t(model)")
-    prices = v.spark.sql("SELECT * FROM VALUES ('gpt-x', 1.0D), ('llama', 0.2D) AS t(name, price)")
-    hit = asked.join(F.broadcast(prices), F.contains("model", F.col("name")) | F.contains("name", F.col("model")), "left")
-    order = F.when(F.col("model") == F.col("name"), 0).when(F.col("name").isNotNull(), 1).otherwise(2)
-    best = hit.withColumn("o", order).withColumn("n", F.row_number().over(Window.partitionBy("model").orderBy("o", "name"))).filter("n = 1")
-    return best.select("model", F.coalesce("price", F.lit(2.0)).alias("price"), F.element_at(F.array(F.lit("exact"), F.lit("part"), F.lit("default")), F.col("o") + 1).alias("kind"))
+    from larkspur.functions.score import price
+
+    cost, kind = price(F.col("p_name"), PRICES, 2.0)
+    return v.raw("part").select("p_partkey", "p_name", cost.alias("price"), kind.alias("kind"))
 
 
 @query("a64_rejections", CANDIDATES + "SELECT CASE WHEN cos_sim < 0.85 AND edit_ratio < 0.25 THEN 'both' WHEN cos_sim < 0.85 THEN 'semantic' WHEN edit_ratio < 0.25 THEN 'surface' ELSE 'none' END kind, count(*) n FROM candidates GROUP BY ALL")
@@ -209,10 +217,12 @@ def ordered_lookup(v):
     return v.evals.filter("run_id = 'run_b' and is_correct").select("eval_id", "timestamp").orderBy("timestamp", "eval_id").limit(50)
 
 
-@query("j10_ground_truth", "SELECT e.model_id, count(*) n, round(avg(CASE WHEN i.answer <> '' AND e.is_correct THEN 1 ELSE 0 END), 6) accuracy FROM evals e JOIN (SELECT * FROM items WHERE domain = 'en') i USING (item_id) GROUP BY e.model_id")
+@query("j10_ground_truth", "SELECT e.model_id, count(*) n, round(avg(CASE WHEN e.is_correct = (l.quality = 1) THEN 1 ELSE 0 END), 6) accuracy FROM evals e JOIN labels l ON e.item_id = 'i' || l.doc_id WHERE l.quality IS NOT NULL GROUP BY e.model_id")
 def ground_truth(v):
-    truth = v.items.filter("domain = 'en'").select("item_id", "answer")
-    return v.evals.join(truth, "item_id").groupBy("model_id").agg(N().alias("n"), R(F.avg(F.when((F.col("answer") != "") & F.col("is_correct"), 1).otherwise(0))).alias("accuracy"))
+    """Agreement of outcomes with the labels of all labelled items; items without a label are dropped."""
+    truth = v.raw("labels").filter("quality is not null").select(F.concat(F.lit("i"), "doc_id").alias("item_id"), (F.col("quality") == 1).alias("truth"))
+    agree = F.when(F.col("is_correct") == F.col("truth"), 1).otherwise(0)
+    return v.evals.join(truth, "item_id").groupBy("model_id").agg(N().alias("n"), R(F.avg(agree)).alias("accuracy"))
 
 
 def evidence_sql():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import transform as X
 from larkspur.plans.records import per_field
 from larkspur.plans.transforms import PHONETIC
+from larkspur.operators import vocabulary
 from larkspur.registry import query
 
 ALPHABET = X.LOWER + X.LOWER.upper()
@@ -86,6 +87,25 @@ def unseen_words(v):
     return words(v).join(F.broadcast(known), "word", "left_anti").select("word", X.pseudo_word(F.col("word"), "s", CONSONANTS, VOWELS).alias("form"))
 
 
+def forms(v):
+    """A form for every word of the documents, and no form for two; short ones that are taken get longer."""
+    return vocabulary.unique_forms(words(v), lambda word, nth: X.pseudo_word(F.concat(word, F.lit("+" * nth)), "s", CONSONANTS, VOWELS))
+
+
+@query("t10_unique_forms")
+def unique_forms(v):
+    return forms(v)
+
+
+@query("f37_round_trip")
+def round_trip(v):
+    """Every text in the made-up language, by digest, and whether the way back gives the lower-cased text again."""
+    table, docs = forms(v), v.raw("documents").select("doc_id", "text")
+    there = vocabulary.recoded(docs, "doc_id", "text", table)
+    back = vocabulary.recoded(there, "id", "text", table, "form", "word").toDF("doc_id", "back")
+    return docs.join(there.toDF("doc_id", "other"), "doc_id").join(back, "doc_id").select("doc_id", F.md5("other").alias("other"), F.col("back").eqNullSafe(F.lower("text")).alias("restored"))
+
+
 @query("t7_synthetic_words", f"WITH {WORDS_SQL} SELECT word, {pseudo_sql(SYNTHETIC_CONSONANTS)} form, {'regexp_replace(' * 4}word, 'ing$', 'an'), 'ed$', 'et'), 's$', 'os'), 'ly$', 'al') AS grammar FROM w")
 def synthetic_words(v):
     """Words of the synthetic language, and what its grammar makes of the endings of given ones."""
@@ -103,14 +123,14 @@ def affix_shifts(v):
 ROT5 = f"'{ALPHABET}', '{X.rotated(5) + X.rotated(5).upper()}'"
 
 
-@query("t12_nested_problem", f"SELECT doc_id, md5(translate(text, {ROT5})) question, translate(source, {ROT5}) first_option, translate(lang, {ROT5}) last_option, CAST(coalesce(len(list_filter(string_split(text, ' '), lambda x: x <> '')), 0) + 2 AS BIGINT) units FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("t12_nested_problem", f"SELECT doc_id, md5(translate(text, {ROT5})) question, translate(source, {ROT5}) first_option, translate(lang, {ROT5}) last_option, CAST(coalesce(len(list_filter(string_split(text, ' '), lambda x: x <> '')), 0) + (source IS NOT NULL)::INTEGER + (lang IS NOT NULL)::INTEGER AS BIGINT) units FROM documents")
 def nested_problem(v):
     """A nested problem translated leaf by leaf, with the number of words in all."""
     problem = F.struct(F.col("text").alias("question"), F.array("source", "lang").alias("options"))
     moved = lambda c: X.caesar(c, 5)
-    d = v.raw("documents").filter("source is not null and lang is not null").select("doc_id", problem.alias("p"))
+    d = v.raw("documents").select("doc_id", problem.alias("p"))
     d = d.withColumn("t", F.struct(moved(F.col("p.question")).alias("question"), F.transform("p.options", moved).alias("options")))
-    units = F.coalesce(F.size(F.filter(F.split("p.question", " "), lambda w: w != "")), F.lit(0)) + F.size("p.options")
+    units = F.coalesce(F.size(F.filter(F.split("p.question", " "), lambda w: w != "")), F.lit(0)) + F.size(F.filter("p.options", lambda x: x.isNotNull()))
     return d.select("doc_id", F.md5("t.question").alias("question"), F.get("t.options", 0).alias("first_option"), F.get("t.options", 1).alias("last_option"), units.cast("bigint").alias("units"))
 
 

@@ -170,7 +170,7 @@ def word_count(v):
 
 
 @query("f31_list_items", r"""SELECT conv_id, turn, list_filter(list_transform(CASE WHEN contains(text, ',') THEN string_split(text, ',') WHEN contains(text, ';') THEN string_split(text, ';') WHEN contains(text, ' and ') THEN string_split(text, ' and ')
-WHEN regexp_matches(text, '[0-9]+\.\s*') THEN regexp_split_to_array(text, '[0-9]+\.\s*') WHEN regexp_matches(text, '(?m)^\s*[-*•]\s*') THEN regexp_split_to_array(text, '(?m)^\s*[-*•]\s*') ELSE [text] END, lambda x: trim(x)), lambda x: x <> '') items FROM conversations""")
+WHEN regexp_matches(text, '[0-9]+\.\s*') THEN regexp_split_to_array(text, '[0-9]+\.\s*') WHEN regexp_matches(text, '(?m)^\s*[-*•]\s*') THEN regexp_split_to_array(text, '(?m)^\s*[-*•]\s*') ELSE [text] END, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') items FROM conversations""")
 def list_items(v):
     return v.raw("conversations").select("conv_id", "turn", T.list_items(F.col("text")).alias("items"))
 
