@@ -111,3 +111,17 @@ def mapped_tokens(c: Column, mapping: dict[str, str]) -> Column:
     table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     pieces = F.regexp_extract_all(c, F.lit(rf"({WORD}|[^\p{{L}}\p{{N}}_]+)"), 1)
     return F.array_join(F.transform(pieces, lambda t: F.coalesce(F.element_at(table, F.lower(t)), t)), "")
+
+
+# Capitalised words that are no names.
+FUNCTION_WORDS = "The A An And Or But For Nor So Yet In On At By With From To Of About This That These Those His Her Its Their My Your Our He She It They We You I".split()
+CAPITALISED, SEVERAL = r"(?U)\b[A-Z][a-zA-Z]+\b", r"(?U)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+
+
+def proper_nouns(c: Column) -> Column:
+    """Capitalised words of three letters or more that start no sentence of the text and are no function words, and runs of
+    capitalised words, each once, in order of letters."""
+    found = lambda form: F.array_distinct(F.regexp_extract_all(c, F.lit(form), F.lit(0)))
+    starters = F.transform(F.split(c, "[.!?]+"), lambda s: F.regexp_extract(s, r"(?U)^\s*([A-Z][a-zA-Z]+)\b", 1))
+    single = F.array_except(found(CAPITALISED), F.concat(starters, F.array(*[F.lit(w) for w in FUNCTION_WORDS])))
+    return F.array_sort(F.array_union(F.filter(single, lambda w: F.length(w) >= 3), found(SEVERAL)))

@@ -115,3 +115,45 @@ def inner_scrambled(text: Column, share: float, seed: str, identity: Column) ->
         return F.concat(F.substr(w, F.lit(1), F.lit(1)), F.array_join(F.transform(letters, lambda s: s["c"]), ""), F.substr(w, F.length(w), F.lit(1)))
 
     return F.array_join(F.transform(words, lambda w, i: F.when(F.array_contains(chosen, i) & (F.length(w) > 3), moved(w)).otherwise(w)), " ")
+
+
+# Names that stand for others, by what they look like; lists are parameters of noun_swap.
+STAND_INS = {
+    "person": ["Ada", "Borin", "Celeste", "Dario", "Evangeline", "Fenwick", "Gus", "Henrietta"],
+    "place": ["Ashford", "Brindleton", "Corland", "Dunmereburg", "Eastville", "Fernland"],
+    "other": ["Acorn Works", "Blue Lantern", "Cobalt", "Delta Group", "Ember", "Foundry House"],
+}
+#: How far lengths may be apart in the phonetic strategy.
+BANDS = {"person": 2, "place": 2, "other": 3}
+
+
+def looks_like(noun: Column) -> Column:
+    """'person' for one word of 3 to 12 letters or two of 2 to 12, else 'place' by its ending, else 'other'."""
+    person = F.rlike(noun, F.lit(r"^[A-Z][a-z]{2,11}$")) | F.rlike(noun, F.lit(r"^[A-Z][a-z]{1,11} [A-Z][a-z]{1,11}$"))
+    return F.when(person, "person").when(F.rlike(noun, F.lit("(land|burg|ville|ton|ford)$")), "place").otherwise("other")
+
+
+def stand_in(noun: Column, strategy: str, seed: str = "n", names: dict[str, list[str]] | None = None) -> Column:
+    """The one name that stands for a noun throughout: 'random' draws from the names of its kind, 'thematic' from all names of a
+    theme that the noun's first letter sets, 'phonetic' from names of its kind whose length is near, and of these from those
+    that sound alike from their first letter on, where there are any. Draws are by md5, so that equal nouns always agree."""
+    names = names or STAND_INS
+    lists = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(n) for n in x]) for pair in names.items() for x in pair])
+    place = lambda n: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), noun)), 1, 4), 16, 10).cast("int") % n
+    draw = lambda options: F.get(options, place(F.size(options)))
+    own = F.element_at(lists, looks_like(noun))
+    if strategy == "random":
+        return draw(own)
+    if strategy == "thematic":
+        theme = F.element_at(F.array(*[F.lit(k) for k in names]), F.ascii(F.substring(noun, 1, 1)) % len(names) + 1)
+        return draw(F.element_at(lists, theme))
+    band = F.element_at(F.create_map(*[F.lit(x) for pair in BANDS.items() for x in pair]), looks_like(noun))
+    near = F.filter(own, lambda n: F.abs(F.length(n) - F.length(noun)) <= band)
+    alike = F.filter(near, lambda n: F.substring(F.soundex(n), 1, 2) == F.substring(F.soundex(noun), 1, 2))
+    return draw(F.when(F.size(alike) > 0, alike).when(F.size(near) > 0, near).otherwise(own))
+
+
+def noun_swap(c: Column, nouns: Column, strategy: str) -> Column:
+    """A text with each of the given nouns exchanged, runs of capitalised words as wholes."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?U)(\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b|\w+|\W+)"), 1)
+    return F.array_join(F.transform(pieces, lambda p: F.when(F.array_contains(nouns, p), stand_in(p, strategy)).otherwise(p)), "")

@@ -43,6 +43,7 @@ SYNONYMS = {
     "want": ["desire", "wish", "crave", "need", "require"],
     "help": ["assist", "aid", "support", "serve", "back"],
 }
+PHONETIC_LANGUAGE = [*PHONETIC[::-1], *VOWEL_SHIFTS]
 WORDS_SQL = "w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) word FROM documents)"
 
 
