@@ -6,10 +6,11 @@ a beam search over the graph so far proposes neighbours, and relaxed pruning kee
 a candidate only if no kept one is closer to it by the factor ``ALPHA``, so that
 edges point in diverse directions. Searches start from nodes that lie far apart,
 and some places of every node are kept for edges of a tree that reaches all nodes,
-so that tight clusters neither hide each other nor lose members. Queries then run a
-beam search in every shard, as a stream of blocks behind the shard's vectors, and
-the best of all shards are merged. Every vector is indexed; recall is measured
-against brute force in the tests.
+so that tight clusters neither hide each other nor lose members. The graphs are
+written as a table. Queries then run a beam search in every shard: they are broadcast
+in blocks of at most ``BLOCK_BYTES``, so that no row is made for a pair of query and
+shard, each task reads its shards' graphs, and the best of all shards are merged.
+Every vector is indexed; recall is measured against brute force in the tests.
 
 Distances are squared differences of unit vectors in double precision, which keep
 their digits however close vectors are; scores are cosines of the original vectors,
@@ -27,6 +28,7 @@ table gives none. Other columns are not read, so their names do not matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ from larkspur.llm.common import materialise
 #: Nodes of a shard on average, edges of a node by pruning, places of a node for the tree, beam widths, relaxation of pruning, points inserted at once, nodes where searches start.
 SHARD_NODES, DEGREE, KIN, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, ENTRIES = 8192, 32, 4, 48, 128, 1.2, 256, 32
 SEED = 11
+#: Bytes of query vectors that are broadcast at once.
+BLOCK_BYTES = 64 << 20
+INDEX = "shard int, place int, node bigint, x array<double>, edges array<int>"
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -81,6 +86,14 @@ class Graph:
             at += size
             size = min(BATCH, size * 2)
 
+    @classmethod
+    def stored(cls, vectors: np.ndarray, edges: np.ndarray) -> Graph:
+        """A graph as it was built from these vectors."""
+        graph = cls.__new__(cls)
+        graph.unit, graph.edges = units(vectors), edges
+        graph.entries = far_apart(graph.unit, ENTRIES)
+        return graph
+
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam of each unit query, nearest first: nodes (-1 beyond those found) and squared distances."""
         b, n = len(queries), len(self.unit)
@@ -101,8 +114,9 @@ class Graph:
                 return beam, far
             pick = pick[live]
             open_[live, pick] = False
-            near = self.edges[beam[live, pick]]
+            near = np.sort(self.edges[beam[live, pick]], 1)
             fresh = (near >= 0) & ~seen[live[:, None], near]
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]  # an edge of the tree may repeat another
             which = np.repeat(live, fresh.sum(1))
             seen[which, near[fresh]] = True
             distance = np.full(near.shape, np.inf)
@@ -181,37 +195,65 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
 
 
-def search_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """From rows (shard, query?, id, vector), sorted so that in each shard vectors come before queries: query_id, node and score."""
-    ids: list[np.ndarray] = []
-    parts: list[np.ndarray] = []
-    now, graph, vectors, names = None, None, None, None
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one shard after another; a task's rows are sorted by their first column, the shard."""
+    kept: list[pa.RecordBatch] = []
     for batch in batches:
         shards = batch.column(0).to_numpy()
-        asks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        change = np.flatnonzero((shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])) + 1
-        for a, b in zip([0, *change.tolist()], [*change.tolist(), len(shards)]):
-            part = batch.slice(a, b - a)
-            if not b - a:
-                continue
-            if shards[a] != now:
-                now, graph, ids, parts = shards[a], None, [], []
-            if not asks[a]:
-                ids.append(part.column(2).to_numpy())
-                parts.append(_matrix(part.column(3)))
-                continue
-            if graph is None:
-                if not parts:
+        edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                if kept and kept[-1].column(0)[0].as_py() != shards[a]:
+                    yield pa.Table.from_batches(kept).combine_chunks()
+                    kept = []
+                kept.append(batch.slice(a, b - a))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return table.column(name).combine_chunks() if table.column(name).num_chunks != 1 else table.column(name).chunk(0)
+
+
+def build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (shard, node, x) sorted by shard and node: rows of INDEX, in order of place."""
+    for shard in _shards(batches):
+        graph = Graph(_matrix(_column(shard, "x")))
+        for at in range(0, shard.num_rows, 1024):
+            part, edges = shard.slice(at, 1024), graph.edges[at : at + 1024]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(edges) + 1, dtype=np.int32) * edges.shape[1]), pa.array(edges.ravel()))
+            yield pa.RecordBatch.from_arrays([_column(part, "shard"), pa.array(np.arange(at, at + len(edges), dtype=np.int32)), _column(part, "node"), _column(part, "x"), lists], ["shard", "place", "node", "x", "edges"])
+
+
+def search_shards(shared, k: int):
+    """Rows of INDEX, sorted by shard and place, as (query_id, node, score): the k best of each shard for each query of the block, a list of (ids, vectors)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches):
+            vectors, names = _matrix(_column(shard, "x")), _column(shard, "node").to_numpy()
+            edges = _column(shard, "edges")
+            graph = Graph.stored(vectors, edges.flatten().to_numpy().reshape(len(edges), -1))
+            for ids, queries in shared.value:
+                if queries.shape[1] != vectors.shape[1]:
                     continue
-                names, vectors = np.concatenate(ids), np.concatenate(parts)
-                graph = Graph(vectors)
-            for at in range(0, b - a, BATCH):
-                block = part.slice(at, BATCH)
-                rows, nodes, scores = _top(graph, vectors, _matrix(block.column(3)), k)
-                yield pa.RecordBatch.from_arrays([block.column(2).take(pa.array(rows)), pa.array(names[nodes]), pa.array(scores)], ["query_id", "node", "score"])
+                for at in range(0, len(ids), BATCH):
+                    rows, nodes, scores = _top(graph, vectors, queries[at : at + BATCH], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + BATCH][rows]), pa.array(names[nodes]), pa.array(scores)], ["query_id", "node", "score"])
+
+    return run
+
+
+def _asked(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Queries (id, x) by length of their vectors."""
+    if not rows.num_rows:
+        return []
+    rows = rows.combine_chunks()
+    x, ids = _column(rows, "x"), rows.column("id").to_numpy()
+    sizes = np.diff(x.offsets.to_numpy())
+    return [(ids[sizes == n], _matrix(x.take(pa.array(np.flatnonzero(sizes == n))))) for n in np.unique(sizes).tolist()]
 
 
-def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_nodes: int = SHARD_NODES) -> DataFrame:
+def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_nodes: int = SHARD_NODES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row for which the column expression ``is_query`` holds: query_id, rank, vec_id and score of its k nearest other rows."""
     x = F.col("x")
     given = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(F.col(vector_col), lambda v: v.cast("double")).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -230,11 +272,18 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     spaces = nodes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_nodes).cast("int").alias("shards"))
     spaces = materialise(spaces.withColumn("before", (F.sum("shards").over(Window.orderBy("dim")) - F.col("shards")).cast("int")), "spaces")
     total = spaces.agg(F.sum("shards")).first()[0] or 1
-    base = nodes.join(spaces, "dim").select((F.col("before") + F.pmod(F.xxhash64("node"), "shards")).cast("int").alias("shard"), F.lit(False).alias("asks"), F.col("node").alias("id"), "x")
-    queries = given.filter("asks").groupBy("id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
-    asked = queries.join(spaces, "dim").select(F.explode(F.sequence("before", F.col("before") + F.col("shards") - 1)).alias("shard"), F.lit(True).alias("asks"), "id", "x")
-    stream = base.unionByName(asked).repartition(total, "shard").sortWithinPartitions("shard", "asks", "id")
-    found = stream.mapInArrow(lambda b: search_shards(b, k + 1), "query_id bigint, node bigint, score double")
+    base = nodes.join(spaces, "dim").select((F.col("before") + F.pmod(F.xxhash64("node"), "shards")).cast("int").alias("shard"), "node", "x")
+    placed = lambda df, *order: df.repartitionById(total, F.col("shard")).sortWithinPartitions("shard", *order)
+    index = materialise(placed(base, "node").mapInArrow(build_shards, INDEX), "index")
+    queries = materialise(given.filter("asks").groupBy("id").agg(F.min("x").alias("x")), "queries")
+    numbers = queries.agg(F.sum(F.size("x"))).first()[0] or 0
+    blocks = max(1, -(-8 * numbers // block_bytes))
+    parts = []
+    for block in range(blocks):
+        shared = df.sparkSession.sparkContext.broadcast(_asked(queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()))
+        parts.append(materialise(placed(index, "place").mapInArrow(search_shards(shared, k + 1), "query_id bigint, node bigint, score double"), "found"))
+        shared.destroy()
+    found = reduce(DataFrame.unionByName, parts)
 
     # Of rows of one direction only the k + 1 of least id can be among a query's k; hot directions are first cut in salted parts.
     member = given.select("id", *line).distinct().join(nodes.drop("x"), line).select("node", F.col("id").alias("vec_id"))

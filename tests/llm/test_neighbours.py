@@ -90,3 +90,33 @@ def test_odd_vectors_and_ties(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     two = df.filter("vec_id in (0, 101)")
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(two, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 101)]
+
+
+def test_no_answer_comes_twice(spark, sf):
+    """Edges of the tree may repeat others; a beam holds each node once."""
+    x = np.random.default_rng(6).normal(size=(1500, 24))
+    graph = neighbours.Graph(x)
+    assert any(len(set(e[e >= 0])) < (e >= 0).sum() for e in graph.edges.astype(int))
+    beam, far = graph.search(graph.unit[:100], 64)
+    assert all(len(set(b.tolist())) == 64 for b in beam) and (np.diff(far, axis=1) >= 0).all()
+    out = neighbours.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0).collect()
+    assert len({(r.query_id, r.vec_id) for r in out}) == len(out)
+
+
+def test_small_blocks_find_the_same(spark):
+    x = np.random.default_rng(7).normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000, [1.0, 2.0]), (2050, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    rows = lambda **more: sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 50 == 0, shard_nodes=300, **more).collect()))
+    assert rows() == rows(block_bytes=500) and len(rows()) == 18 * 5 + 2
+
+
+def test_recall_of_a_full_shard_of_embeddings():
+    """The measured share of the five nearest, on vectors without clusters, in one graph of full size."""
+    x = np.random.default_rng(8).normal(size=(4096, 64))
+    graph = neighbours.Graph(x)
+    rows, nodes, _ = neighbours._top(graph, x, x[:150], 6)
+    near = graph.unit[:150] @ graph.unit.T
+    near[np.arange(150), np.arange(150)] = -9
+    truth = np.argsort(-near, 1)[:, :5]
+    got = [[n for r, n in zip(rows, nodes) if r == q and n != q][:5] for q in range(150)]
+    assert np.mean([t in g for g, own in zip(got, truth) for t in own]) > 0.95
