@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module of plans that registers queries."""
-    from larkspur.plans import aggregates, checks, inference, languages, queue, records, relational, reports, rewriting, scalars, statistics, storage, stores, threads, transforms  # noqa: F401
+    from larkspur.plans import aggregates, checks, continuous, inference, languages, queue, records, relational, reports, rewriting, scalars, statistics, storage, stores, threads, transforms  # noqa: F401
 
 
 load()
