@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspur.functions import score
-from larkspur.functions.python import sequence_ratio
+from larkspur.functions.python import sequence_reaches
 
 Evaluator = Callable[[Column, Column], Column]
 
@@ -18,8 +18,8 @@ ALIKE = 0.8
 _evaluators: dict[str, Evaluator] = {
     "exact": score.exact_match,
     "substring": score.substring_match,
-    "fuzzy": lambda p, e: sequence_ratio(p, e) >= ALIKE,
-    "semantic": lambda p, e: sequence_ratio(p, e) >= ALIKE,
+    "fuzzy": lambda p, e: sequence_reaches(p, e, ALIKE),
+    "semantic": lambda p, e: sequence_reaches(p, e, ALIKE),
 }
 
 

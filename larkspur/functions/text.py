@@ -38,10 +38,9 @@ def token_estimate(c: Column) -> Column:
 
 
 def differences(a: Column, b: Column) -> Column:
-    """Places at which two texts differ, those beyond the shorter included."""
-    shared = F.least(F.length(a), F.length(b))
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(shared, F.lit(1))), lambda i: F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))))
-    same = F.when(shared > 0, same).otherwise(0)
+    """Places at which two texts differ, those beyond the shorter included; a missing text counts as empty, two missing ones give null."""
+    signs = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
+    same = F.size(F.filter(F.zip_with(signs(a), signs(b), lambda x, y: x == y), lambda equal: equal))
     return (F.greatest(F.length(a), F.length(b)) - same).cast("bigint")
 
 

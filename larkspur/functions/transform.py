@@ -12,16 +12,25 @@ SYMBOLS = "@#$%&*+=?"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row: what a higher-order function takes from outside, it computes for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scramble(text: Column, level: float, seed: str, identity: Column, symbols: str = SYMBOLS) -> Column:
     """floor(n * level) of the n letters and digits become symbols: those of least md5 of seed, id and position."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.rlike(F.substr(text, i, F.lit(1)), F.lit("^[A-Za-z0-9]$")))
-    key = lambda i: F.md5(F.concat(F.lit(seed + ":"), identity, F.lit(":"), i.cast("string")))
-    ranked = F.array_sort(F.transform(places, lambda i: F.struct(key(i).alias("h"), i.alias("i"))))
-    count = F.floor(F.size(places) * F.lit(level)).cast("int")
-    chosen = F.transform(F.slice(ranked, F.lit(1), count), lambda s: s["i"])
-    signs = F.lit(symbols)
-    changed = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.when(F.array_contains(chosen, i), F.substr(signs, (i % len(symbols)) + 1, F.lit(1))).otherwise(F.substr(text, i, F.lit(1))))
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(changed, ""))
+    key = lambda c, i: F.when(F.rlike(c, F.lit("^[A-Za-z0-9]$")), F.md5(F.concat(F.lit(seed + ":"), identity, F.lit(":"), (i + 1).cast("string"))))
+    signs = F.transform(F.split(text, ""), lambda c, i: F.struct(key(c, i).alias("h"), (i + 1).alias("i"), c.alias("c")))
+
+    def changed(s: Column) -> Column:
+        drawn = F.array_sort(F.transform(F.filter(s, lambda x: x["h"].isNotNull()), lambda x: F.struct(x["h"].alias("h"), x["i"].alias("i"))))
+        # Those up to the last chosen one are the chosen ones, so no sign is looked up in a list.
+        last = bound(drawn, lambda d: F.struct(F.get(d, F.floor(F.size(d) * F.lit(level)).cast("int") - 1).alias("last")))
+        symbol = lambda i: F.substr(F.lit(symbols), (i % len(symbols)) + 1, F.lit(1))
+        chosen = lambda x, z: F.coalesce(x["h"].isNotNull() & (F.struct(x["h"].alias("h"), x["i"].alias("i")) <= z["last"]), F.lit(False))
+        return bound(last, lambda z: F.array_join(F.transform(s, lambda x: F.when(chosen(x, z), symbol(x["i"])).otherwise(x["c"])), ""))
+
+    return F.when(F.length(text) == 0, text).otherwise(bound(signs, changed))
 
 
 def rotated(k: int) -> str:
@@ -86,14 +95,14 @@ def at_random(n: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 4), 16, 10).cast("int") % n
 
 
-def pseudo_word(word: Column, seed: str, consonants: str, vowels: str) -> Column:
-    """Consonants and vowels in turn, as long as the word, each by the md5 of seed, word and place."""
+def pseudo_word(word: Column, seed: str, consonants: str, vowels: str, length: Column | None = None) -> Column:
+    """Consonants and vowels in turn, as long as the word unless told otherwise, each by the md5 of seed, word and place."""
 
     def sign(i: Column) -> Column:
         pick = lambda letters: F.substr(F.lit(letters), at_random(len(letters), F.lit(seed + ":"), word, F.lit(":"), i.cast("string")) + 1, F.lit(1))
         return F.when(i % 2 == 1, pick(consonants)).otherwise(pick(vowels))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(word)), sign), "")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(word) if length is None else length), sign), "")
 
 
 def first_shift(word: Column, shifts: list[tuple[str, str]]) -> Column:

@@ -21,7 +21,7 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 
 
 def unique_forms(words: DataFrame, propose: Callable[[Column, int], Column], known: DataFrame | None = None) -> DataFrame:
-    """(word, form) for distinct words (word); words and forms of ``known`` (word, form) stay as they are.
+    """(word, form) for distinct words (word, and what ``propose`` reads of them, the same in all rows of a word); words and forms of ``known`` (word, form) stay as they are.
 
     In each round every word that has no form yet proposes one; of words with the same proposal the first in order of
     letters keeps it, forms that are taken go to nobody, and the others propose anew. ``propose(word, round)`` must give
@@ -29,7 +29,7 @@ def unique_forms(words: DataFrame, propose: Callable[[Column, int], Column], kno
     """
     spark = words.sparkSession
     out = known.select("word", "form") if known is not None else spark.createDataFrame([], "word string, form string")
-    left, done, nth = _written(words.select("word").filter("word is not null").distinct().join(out, "word", "left_anti"), "words"), [], 0
+    left, done, nth = _written(words.filter("word is not null").distinct().join(out, "word", "left_anti"), "words"), [], 0
     while not left.isEmpty():
         proposed = left.select("word", propose(F.col("word"), nth).alias("form")).join(out.select("form"), "form", "left_anti")
         won = _written(proposed.groupBy("form").agg(F.min("word").alias("word")).select("word", "form"), "forms")

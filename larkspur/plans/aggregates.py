@@ -354,14 +354,18 @@ def families_across_runs(v):
     return v.evals.groupBy("model_family").pivot("run_id", ["run_a", "run_b"]).agg(R(A.rate()))
 
 
-@query("a59_eta", """WITH n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events),
-l AS (SELECT user_id, ts, i, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) back FROM n)
-SELECT user_id, max(i) - min(i) steps, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM l WHERE back <= 10 GROUP BY user_id""")
+@query("a59_eta", """WITH n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) back, count(*) OVER (PARTITION BY user_id) done FROM events),
+l AS (SELECT user_id, count(*) - 1 steps, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds, max(done) done FROM n WHERE back <= 10 GROUP BY user_id)
+SELECT user_id, steps, seconds, (SELECT max(done) FROM l) - done AS remaining, round(((SELECT max(done) FROM l) - done) * seconds / CAST(nullif(steps, 0) AS DOUBLE), 3) eta_seconds FROM l""")
 def eta(v):
-    e = v.raw("events")
-    forward = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    last = e.withColumn("i", forward.cast("bigint")).withColumn("back", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("i")))).filter("back <= 10")
-    return last.groupBy("user_id").agg((F.max("i") - F.min("i")).alias("steps"), F.expr("unix_seconds(cast(max(ts) as timestamp)) - unix_seconds(cast(min(ts) as timestamp))").alias("seconds"))
+    """Pace of each user's last ten events, and how long at this pace until the user has as many as the busiest one. Ranks past ten go before the shuffle."""
+    e = v.raw("events").select("user_id", "ts", "event_id")
+    last = e.withColumn("back", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).filter("back <= 10")
+    pace = last.groupBy("user_id").agg((F.count(F.lit(1)) - 1).alias("steps"), F.expr("unix_seconds(cast(max(ts) as timestamp)) - unix_seconds(cast(min(ts) as timestamp))").alias("seconds"))
+    done = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("_done"))
+    remaining = done.agg(F.max("_done").alias("_most")).scalar() - F.col("_done")
+    all_ = pace.join(done.withColumnRenamed("user_id", "_user"), F.col("user_id").eqNullSafe(F.col("_user"))).select("user_id", "steps", "seconds", remaining.alias("remaining"))
+    return all_.withColumn("eta_seconds", F.round(F.try_divide(F.col("remaining") * F.col("seconds"), F.col("steps").cast("double")), 3))
 
 
 #: Prices of a million tokens by model; models that are not listed cost DEFAULT_PRICE.

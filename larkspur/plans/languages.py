@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from larkspur.functions import languages as L
 from larkspur.functions import text as T
 from larkspur.functions import transform as X
+from larkspur.functions.answers import transformed_answer
 from larkspur.functions.text import mapped_tokens
+from larkspur.operators import vocabulary
 from larkspur.registry import query
 
 #: Frequent words of the languages in the test data.
@@ -33,12 +35,43 @@ for _name, _kind in (("t7_synthetic", "synthetic"), ("t8_english_like", "english
     _language(_name, _kind)
 
 
-@query("t21_pseudo_words", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{w}', '{L.vocabulary(k, FREQUENT, 's')[w]}')" for k in L.KINDS for w in FREQUENT) + ") t(kind, word, form)")
+LETTER = "substr('{0}', CAST(CAST('0x' || substr(md5('s:' || word || ':' || i), 1, 4) AS INTEGER) % {1} AS INTEGER) + 1, 1)"
+
+
+def counted(v):
+    """Words of all documents with their occurrences and a class: how often their number doubles until that of the most frequent word."""
+    w = v.raw("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    times = F.floor(w.agg(F.max("n")).scalar() / F.col("n")).cast("bigint")
+    return w.withColumn("class", (F.length(F.bin(times)) - 1).cast("bigint"))
+
+
+def by_frequency(word, class_, nth: int = 0):
+    """A made-up word of two letters and one for each class, so that frequent words are short, and one more in each round."""
+    return X.pseudo_word(F.concat(word, F.lit("+" * nth)), "s", L.CONSONANTS, L.VOWELS, (class_ + 2 + nth).cast("int"))
+
+
+@query("t21_pseudo_words", f"""WITH w AS (SELECT word, count(*) n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) word FROM documents) GROUP BY word),
+c AS (SELECT word, n, CAST(floor(log2((SELECT max(n) FROM w) // n + 0.5)) AS BIGINT) AS class FROM w)
+SELECT word, n, class, array_to_string(list_transform(range(1, class + 3), lambda i: CASE WHEN i % 2 = 1 THEN {LETTER.format(L.CONSONANTS, len(L.CONSONANTS))} ELSE {LETTER.format(L.VOWELS, len(L.VOWELS))} END), '') form FROM c""")
 def pseudo_words(v):
-    rows = [(k, w, f) for k in L.KINDS for w, f in L.vocabulary(k, FREQUENT, "s").items()]
-    return v.spark.createDataFrame(rows, "kind string, word string, form string")
+    return counted(v).withColumn("form", by_frequency(F.col("word"), F.col("class")))
 
 
+@query("t9_frequency_forms")
+def frequency_forms(v):
+    """A form for every word of the documents, as long as its frequency tells, longer where shorter ones are taken; no form for two words."""
+    w = counted(v).select("word", "class")
+    return vocabulary.unique_forms(w, lambda word, nth: by_frequency(word, F.col("class"), nth))
+
+
+COMMON = FREQUENT[:9]
+
+
+@query("t4_common_words", f"""SELECT doc_id, md5(list_aggregate(list_transform(p, lambda t, i: CASE WHEN regexp_full_match(t, '[0-9]+') OR (i > 1 AND regexp_full_match(t, '\\p{{Lu}}\\p{{Ll}}+')) THEN t
+ ELSE coalesce({_literal(L.vocabulary("english_like", COMMON, "s"))}[lower(t)], translate(t, '{X.LOWER + X.LOWER.upper()}', '{X.rotated(13) + X.rotated(13).upper()}')) END), 'string_agg', '')) result FROM (SELECT doc_id, regexp_extract_all(text, '([\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+)') p FROM documents)""")
+def common_words(v):
+    """The substitution language: common words have made-up forms, all others are enciphered; numbers and names stay."""
+    return v.raw("documents").select("doc_id", F.md5(X.translated(F.col("text"), L.vocabulary("english_like", COMMON, "s"), 13)).alias("result"))
 
 
 @query("f32_proper_nouns")
@@ -71,6 +104,15 @@ def answer_by_type(v):
     return v.qa_pairs.select("conv_id", "turn", F.when(keep, F.col("predicted")).otherwise(X.caesar(F.col("predicted"), 3)).alias("result"))
 
 
+@query("t17_answer_kinds")
+def answer_kinds(v):
+    """Answers of all turns by kind, in a question whose words were exchanged, and in the language of the cipher."""
+    mapping = L.vocabulary("english_like", FREQUENT, "s")
+    asked = v.qa_pairs.withColumns({"kind": T.answer_type(F.col("predicted")), "changed": mapped_tokens(F.col("question"), mapping)})
+    made = transformed_answer(F.col("predicted"), F.col("kind"), F.col("question"), F.col("changed"), mapping, lambda c: X.translated(c, mapping, 3))
+    return asked.select("conv_id", "turn", "kind", made.alias("made")).select("conv_id", "turn", "kind", F.md5("made.answer").alias("answer"), "made.confidence")
+
+
 @query("f48_answer_span", f"SELECT doc_id, position(translate(regexp_extract(text, '^\\s*([^\\n]*[^\\s])', 1), '{X.LOWER}', '{X.rotated(3)}') IN translate(text, '{X.LOWER}', '{X.rotated(3)}')) AS place, length(regexp_extract(text, '^\\s*([^\\n]*[^\\s])', 1)) AS n FROM documents")
 def answer_span(v):
     """Where the whole answer, here a text's first line, stands in the text, both in the other language, and its length."""
