@@ -215,3 +215,29 @@ def test_overtaken_writers_start_over(spark, tmp_path):
     store._commit = beaten
     store.change(frame([("k", 100.0)]))
     assert store.version() == 3 and {r.a: float(r.total_x) for r in store.read(frame([])).collect()} == {"k": 111.0, "l": 3.0}
+
+
+def test_replicates_of_a_logistic_fit_take_two_passes(spark, monkeypatch):
+    """Newton steps work on sums, not on rows."""
+    frame, df = lines(spark, 1200)
+    passes = []
+    monkeypatch.setattr(B, "keyed_sums", lambda *a: passes.append(1) or T.keyed_sums(*a))
+    fits = B.logistic_replicates(df, "k", "x", "y", ["i"], 6)
+    assert len(passes) == 2 and all(done for _, done in fits.values())
+
+
+def test_separated_and_steep_rows_are_fitted_row_by_row(spark):
+    rng = np.random.default_rng(1)
+    rows = [("apart", k, float(k), float(k >= 20)) for k in range(40)] + [("ones", k, float(k % 5), 1.0) for k in range(40, 60)] + [("flat", k, 3.0, float(k % 3 == 0)) for k in range(60, 100)]
+    steep = rng.normal(size=600) * np.where(rng.random(600) < 0.02, 60, 1)
+    rows += [("steep", 100 + k, float(x), float(rng.random() < 1 / (1 + math.exp(-3 * x)))) for k, x in enumerate(steep)]
+    df = spark.createDataFrame(rows, "k string, i bigint, x double, y double")
+    fits = B.logistic_replicates(df, "k", "x", "y", ["i"], 5)
+    ids = {r.i: r.h for r in df.select("i", F.xxhash64("i").alias("h")).collect()}
+    assert {k: done for k, (_, done) in fits.items()} == {"apart": False, "ones": False, "flat": True, "steep": True}
+    own = [r for r in rows if r[0] == "steep"]
+    w = np.column_stack([np.ones(len(own)), B.poisson_weights(np.array([ids[r[1]] for r in own]), 5)])
+    for r in range(6):
+        assert np.allclose(fits["steep"][0][:, r], maximised(np.array([r[2] for r in own]), np.array([r[3] for r in own]), w[:, r]), rtol=1e-6)
+    share = np.mean([r[3] for r in rows if r[0] == "flat"])
+    assert np.allclose(fits["flat"][0][:, 0], [math.log(share / (1 - share)), 0])
