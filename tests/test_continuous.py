@@ -241,3 +241,28 @@ def test_separated_and_steep_rows_are_fitted_row_by_row(spark):
         assert np.allclose(fits["steep"][0][:, r], maximised(np.array([r[2] for r in own]), np.array([r[3] for r in own]), w[:, r]), rtol=1e-6)
     share = np.mean([r[3] for r in rows if r[0] == "flat"])
     assert np.allclose(fits["flat"][0][:, 0], [math.log(share / (1 - share)), 0])
+
+
+def drawn_at_once(ids, rounds):
+    """The definition of the weights, in one piece."""
+    z = ids.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    upto = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    return np.searchsorted(upto, (z >> np.uint64(11)) * 2.0**-53, "right").astype(float)
+
+
+def test_weights_are_drawn_in_small_blocks(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    ids, x = rng.integers(-(2**63), 2**63, 3000), rng.random(3000)
+    expected = drawn_at_once(ids, 1000)
+    assert (B.poisson_weights(ids, 1000) == expected).all() and B.poisson_weights(ids[:0], 7).shape == (0, 7)
+    tracemalloc.start()
+    sums = B.weighted_sums(np.stack([np.ones(3000), x]), ids, np.arange(1001))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # all weights at once hold 24 MB
+    assert np.allclose(sums[:, 1:], [expected.sum(0), x @ expected], rtol=1e-12) and np.allclose(sums[:, 0], [3000, x.sum()])
