@@ -266,3 +266,16 @@ def test_weights_are_drawn_in_small_blocks(spark):
     tracemalloc.stop()
     assert peak < 8 << 20  # all weights at once hold 24 MB
     assert np.allclose(sums[:, 1:], [expected.sum(0), x @ expected], rtol=1e-12) and np.allclose(sums[:, 0], [3000, x.sum()])
+
+
+def test_rows_of_one_file_are_dealt_over_all_cores(spark):
+    """Strata or not, a table that is one task is resampled by many."""
+    from pyspark import TaskContext
+
+    frame, df = lines(spark, 800)
+    rows = B._rows(df.coalesce(1), ["k", "s"], ["i"], x="x")
+    for dealt, least in ((rows, 1), (B._spread(rows), 8)):
+        tasks = dealt.mapInPandas(lambda fs: (pd.DataFrame({"t": [TaskContext.get().partitionId()]}) for f in fs if len(f)), "t int").distinct().count()
+        assert tasks >= least and (least > 1 or tasks == 1)
+    plan = B.mean_interval(df.coalesce(1), "k", "x", ["i"], 20, ["s"])._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
