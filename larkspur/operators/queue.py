@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -189,40 +189,75 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 FRONTIER = 200_000
 
 
+class _Pieces:
+    """A table that grows piece by piece. Eight pieces of a class are written together as one of the next class, so there are never many, and a row is written once a class."""
+
+    def __init__(self, spark: SparkSession, schema: str, label: str):
+        self.spark, self.schema, self.label = spark, schema, label
+        self.classes: list[list[str]] = [[]]
+
+    def read(self, paths: list[str] | None = None) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(paths or [p for c in self.classes for p in c]))
+
+    def _write(self, df: DataFrame, k: int) -> DataFrame:
+        path = scratch(self.spark, self.label)
+        df.write.parquet(path)
+        self.classes[k].append(path)
+        return self.read([path])
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a piece and read it back."""
+        piece, k = self._write(df, 0), 0
+        while len(self.classes[k]) == 8:
+            if k + 1 == len(self.classes):
+                self.classes.append([])
+            self._write(self.read(self.classes[k]), k + 1)
+            self.classes[k] = []
+            k += 1
+        return piece
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    """Broadcast a written table of a round if it is small; what it meets is then only read, not shuffled."""
+    return F.broadcast(df) if df.limit(FRONTIER + 1).count() <= FRONTIER else df
+
+
 def release_waves(status: DataFrame, edges: DataFrame) -> DataFrame:
     """When each entry that is not completed can run: id, wave (0: all it needs is completed; k: what it needs runs in waves before k),
     or no wave and a reason: 'failed' if it failed or needs what did, directly or not, else 'cycle' for entries on a cycle or behind one.
 
-    status: id, state; edges: id, needs. Needs that are not in status count as failed; edges of unknown ids are left out. Each round
-    counts down the needs of the frontier's dependents, summed before the shuffle, and writes what is left, so that a lost
-    executor costs one round at most.
+    status: id, state; edges: id, needs. Needs that are not in status count as failed; edges of unknown ids are left out. Losses spread
+    first, then waves pass over the rest. Each round writes only what it changes, so that all rounds together write each entry and
+    each need once or a few times, however many there are; what a small round meets is read, not shuffled.
     """
     known = status.dropna(subset=["id"]).groupBy("id").agg(F.max("state").alias("state"))
     needs = edges.dropna().distinct().join(known.select("id"), "id", "left_semi")
     of = known.select(F.col("id").alias("needs"), F.coalesce("state", F.lit("")).alias("need_state"))
-    waiting = known.filter("state is null or state != 'completed'")
+    waiting = _written(known.filter("state is null or state != 'completed'"), "waiting")
     # What is not completed yet, with the state of what it needs.
     unmet = needs.join(of, "needs", "left").filter("need_state is null or need_state != 'completed'").join(waiting.select("id"), "id", "left_semi")
     unmet = _written(unmet.select("id", "needs", (F.col("need_state").isNull() | (F.col("need_state") == "failed")).alias("lost")), "unmet")
-    left = unmet.groupBy("id").agg(F.count(F.lit(1)).alias("left"), F.max("lost").alias("lost"))
-    state = waiting.join(left, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left"), (F.coalesce("lost", F.lit(False)) | F.coalesce(F.col("state") == "failed", F.lit(False))).alias("lost"))
-    state = _written(state.withColumn("wave", F.when((F.col("left") == 0) & ~F.col("lost"), F.lit(0))), "waves")
-    wave = 0
-    while True:
-        frontier = state.filter(F.col("wave") == wave).select(F.col("id").alias("needs"))
-        if frontier.isEmpty():
-            break
-        if frontier.limit(FRONTIER + 1).count() <= FRONTIER:
-            frontier = F.broadcast(frontier)
-        met = unmet.join(frontier, "needs", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
-        now = state.join(met, "id", "left").withColumn("left", F.col("left") - F.coalesce("met", F.lit(0))).drop("met")
-        wave += 1
-        state = _written(now.withColumn("wave", F.when(F.col("wave").isNull() & (F.col("left") == 0) & ~F.col("lost"), F.lit(wave)).otherwise(F.col("wave"))), "waves")
-    # Failure spreads along edges to what has no wave; the rest of that waits on a cycle.
-    stuck = _written(state.filter("wave is null").select("id", "lost"), "stuck")
-    frontier = stuck.filter("lost").select(F.col("id").alias("needs"))
+    spark, kind = status.sparkSession, waiting.schema["id"].dataType.simpleString()
+    lost = _Pieces(spark, f"id {kind}", "lost")
+    frontier = lost.add(waiting.filter("state = 'failed'").select("id").union(unmet.filter("lost").select("id")).distinct())
     while not frontier.isEmpty():
-        behind = unmet.join(frontier, "needs", "left_semi").select("id").distinct().withColumn("_behind", F.lit(True))
-        now = _written(stuck.join(behind, "id", "left").withColumn("new", F.coalesce("_behind", F.lit(False)) & ~F.col("lost")).select("id", (F.col("lost") | F.col("new")).alias("lost"), "new"), "stuck")
-        stuck, frontier = now.drop("new"), now.filter("new").select(F.col("id").alias("needs"))
-    return state.filter("wave is not null").select("id", "wave", F.lit(None).cast("string").alias("reason")).unionByName(stuck.select("id", F.lit(None).cast("int").alias("wave"), F.when(F.col("lost"), "failed").otherwise("cycle").alias("reason")))
+        behind = _hinted(_written(unmet.join(_hinted(frontier.select(F.col("id").alias("needs"))), "needs", "left_semi").select("id").distinct(), "behind"))
+        again = lost.read().join(behind, "id", "left_semi")  # no more rows than behind
+        frontier = lost.add(behind.join(again, "id", "left_anti"))
+    left = waiting.select("id").join(lost.read(), "id", "left_anti")
+    open_ = _written(unmet.select("id", "needs").join(lost.read(), "id", "left_anti"), "open")
+    # How many needs each entry has, less those that were met in each round.
+    balance = _Pieces(spark, f"id {kind}, n bigint", "balance")
+    counted = balance.add(open_.groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+    waves = _Pieces(spark, f"id {kind}, wave int", "waves")
+    frontier, wave = waves.add(left.join(counted, "id", "left_anti").select("id", F.lit(0).alias("wave"))), 0
+    while not frontier.isEmpty():
+        wave += 1
+        met = open_.join(_hinted(frontier.select(F.col("id").alias("needs"))), "needs", "left_semi").groupBy("id").agg((-F.count(F.lit(1))).alias("n"))
+        touched = _hinted(balance.add(met).select("id"))
+        free = balance.read().join(touched, "id", "left_semi").groupBy("id").agg(F.sum("n").alias("n")).filter("n = 0")
+        frontier = waves.add(free.select("id", F.lit(wave).alias("wave")))
+    none = F.lit(None).cast("int").alias("wave")
+    ran, stuck = waves.read(), left.join(waves.read(), "id", "left_anti")
+    out = ran.select("id", "wave", F.lit(None).cast("string").alias("reason")).unionByName(lost.read().select("id", none, F.lit("failed").alias("reason")))
+    return out.unionByName(stuck.select("id", none, F.lit("cycle").alias("reason")))

@@ -169,3 +169,21 @@ def test_waves_of_the_tables(spark, sf):
     status, edges = (f.collect() for f in plans.dependencies(v))
     expected = kahn({r.id: r.state for r in status}, [(r.id, r.needs) for r in edges])
     assert {r.id: (r.wave, r.reason) for r in Q.release_waves(*plans.dependencies(v)).collect()} == expected
+
+
+def test_rounds_write_only_what_they_change(spark, monkeypatch):
+    """A chain makes many rounds; what waits on cycles meanwhile is not written in each of them."""
+    paths, place = [], Q.scratch
+    monkeypatch.setattr(Q, "scratch", lambda s, label: paths.append(place(s, label)) or paths[-1])
+    status = dict.fromkeys(range(2020), "waiting")
+    edges = [(k + 1, k) for k in range(19)] + [(k, k ^ 1) for k in range(20, 2020)]
+    assert released(spark, status, edges) == kahn(status, edges)
+    assert sum(spark.read.parquet(p).count() for p in paths) < 3 * (len(status) + len(edges))
+
+
+def test_waves_with_shuffled_frontiers(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FRONTIER", 3)
+    rng = random.Random(8)
+    status = {i: rng.choice(["completed", "waiting", "waiting", "waiting"]) for i in range(120)} | {50: "failed"}
+    edges = [(i, rng.randrange(max(0, i - 30), i)) for i in range(1, 120) for _ in range(2) if i % 4]
+    assert released(spark, status, edges) == kahn(status, edges)
