@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.sources.scratch import scratch
 
-PIECES = r"([a-z]+|[^a-z]+)"
-#: Rows of a vocabulary up to which it is broadcast to texts.
-SMALL = 200_000
+RUNS = re.compile("[a-z]+")
+#: Bytes of text, about, that meet their words' forms in one group.
+SHARD_BYTES = 8 << 20
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -39,12 +41,35 @@ def unique_forms(words: DataFrame, propose: Callable[[Column, int], Column], kno
     return out
 
 
+def exchanged(df: DataFrame, id_col: str, text_col: str, forms: DataFrame, source: str = "word", target: str = "form", restore: bool = False) -> DataFrame:
+    """(id, text): lower-cased texts with each run of a-z exchanged by the table, others kept; null texts stay null.
+
+    With ``restore`` also whether exchanging the runs of the result by the table read the other way, which must have no form
+    twice, gives the lower-cased text again. Texts are dealt into shards of a bounded size; a shard meets the part of the
+    table that its distinct words ask for, so what is joined are a shard's distinct words, not the words of its texts.
+    """
+    spark = df.sparkSession
+    texts = df.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    dealt = texts.withColumn("_shard", F.pmod(F.xxhash64("id"), F.lit(shards))).repartition(shards, "_shard")
+    asked = dealt.select(F.col("_shard").alias("_at"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]+)"), 1))).alias("_from")).distinct()
+    table = forms.select(F.col(source).alias("_from"), F.col(target).alias("_to")).filter("_to is not null")
+    parts = asked.join(table, "_from")
+
+    def swap(docs: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        there = dict(zip(part["_from"], part["_to"]))
+        back = {b: a for a, b in there.items()}
+        put = lambda table, text: RUNS.sub(lambda run: table.get(run[0], run[0]), text)
+        out = docs[["id"]].assign(text=[None if t is None else put(there, t) for t in docs["text"]])
+        if restore:
+            out["restored"] = [new is None or put(back, new) == old for old, new in zip(docs["text"], out["text"])]
+        return out
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return dealt.groupBy("_shard").cogroup(parts.groupBy("_at")).applyInPandas(swap, f"id {kind}, text string" + ", restored boolean" * restore)
+
+
 def recoded(df: DataFrame, id_col: str, text_col: str, forms: DataFrame, source: str = "word", target: str = "form") -> DataFrame:
-    """(id, text): lower-cased texts with each run of a-z exchanged by the table, others kept. Ids must be distinct; null texts stay null."""
-    table = forms.select(F.col(source).alias("_from"), F.col(target).alias("_to"))
-    if table.limit(SMALL + 1).count() <= SMALL:
-        table = F.broadcast(table)
-    pieces = df.select(F.col(id_col).alias("id"), F.posexplode_outer(F.regexp_extract_all(F.lower(text_col), F.lit(PIECES), 1)).alias("at", "piece"), F.col(text_col).isNull().alias("none"))
-    swapped = pieces.join(table, F.col("piece") == F.col("_from"), "left").select("id", "none", F.struct("at", F.coalesce("_to", "piece", F.lit("")).alias("piece")).alias("p"))
-    whole = swapped.groupBy("id", "none").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["piece"]), "").alias("text"))
-    return whole.select("id", F.when(~F.col("none"), F.col("text")).alias("text"))
+    """(id, text): lower-cased texts with each run of a-z exchanged by the table, others kept. Null texts stay null."""
+    return exchanged(df, id_col, text_col, forms, source, target)

@@ -101,10 +101,8 @@ def unique_forms(v):
 @query("f37_round_trip")
 def round_trip(v):
     """Every text in the made-up language, by digest, and whether the way back gives the lower-cased text again."""
-    table, docs = forms(v), v.raw("documents").select("doc_id", "text")
-    there = vocabulary.recoded(docs, "doc_id", "text", table)
-    back = vocabulary.recoded(there, "id", "text", table, "form", "word").toDF("doc_id", "back")
-    return docs.join(there.toDF("doc_id", "other"), "doc_id").join(back, "doc_id").select("doc_id", F.md5("other").alias("other"), F.col("back").eqNullSafe(F.lower("text")).alias("restored"))
+    out = vocabulary.exchanged(v.raw("documents"), "doc_id", "text", forms(v), restore=True)
+    return out.select(F.col("id").alias("doc_id"), F.md5("text").alias("other"), "restored")
 
 
 @query("t7_synthetic_words", f"WITH {WORDS_SQL} SELECT word, {pseudo_sql(SYNTHETIC_CONSONANTS)} form, {'regexp_replace(' * 4}word, 'ing$', 'an'), 'ed$', 'et'), 's$', 'os'), 'ly$', 'al') AS grammar FROM w")

@@ -70,3 +70,19 @@ def test_list_items(spark):
     said = ["a, b;c", "a; b", "a and b", "1. one 2. two", "- x\n- y", "• x\n  * y", "whole", " , ", ""]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "s string").coalesce(1).select(T.list_items(F.col("s"))).collect()]
     assert got == [["a", "b;c"], ["a", "b"], ["a", "b"], ["one", "two"], ["x", "y"], ["x", "y"], ["whole"], [], []]
+
+
+def test_exchange_joins_distinct_words_of_shards(spark, monkeypatch):
+    """Texts that repeat few words, in many shards or one: as plain Python has them, and what the join takes is a row a distinct word of a shard."""
+    rng = random.Random(5)
+    words = ["the", "cat", "dog", "É", "x1y", "no-form", "THE"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(400))) for k in range(60)] + [(60, None), (61, ""), (62, "\n the\r\n")]
+    forms = {"the": "gop", "cat": "the", "dog": "nuv", "x": "y", "y": "x"}
+    df, table = spark.createDataFrame(rows, "i bigint, t string"), spark.createDataFrame(list(forms.items()), "word string, form string")
+    expected = {k: t and re.sub("[a-z]+", lambda m: forms.get(m[0], m[0]), t.lower()) for k, t in rows}
+    for size in (vocabulary.SHARD_BYTES, 2000):
+        monkeypatch.setattr(vocabulary, "SHARD_BYTES", size)
+        out = vocabulary.exchanged(df, "i", "t", table, restore=True).collect()
+        assert {r.id: r.text for r in out} == expected and all(r.restored for r in out) and len(out) == len(rows)
+    wrong = spark.createDataFrame([("the", "q"), ("cat", "q")], "word string, form string")
+    assert not all(r.restored for r in vocabulary.exchanged(df, "i", "t", wrong, restore=True).collect())
