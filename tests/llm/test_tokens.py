@@ -128,3 +128,23 @@ def test_token_store(spark, tmp_path):
     token_store.write(repeated, store + "-odd", LIBRARY)
     odd = token_store.starts(token_store.index(spark, store + "-odd")).orderBy(F.asc_nulls_first("doc_id"), "start").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in odd] == [(None, 0, 2), (5, 2, 2), (5, 4, 2)]
+
+
+def test_new_slices_are_encoded_by_one_call(monkeypatch):
+    """Odd slices, more than a call takes, as the library has each by itself."""
+    import public_tokenizers
+    from larkspur.llm import token_store
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, calls = token_store.library(path), []
+
+    class Counted:
+        def encode(self, texts, **kw):
+            calls.append(len(texts))
+            return library.encode(texts, **kw)
+
+    monkeypatch.setattr(token_store, "library", lambda path: Counted())
+    slices = [" ", "  ", "\n\n", " the", "é", " été", "\U0001f600\U0001f600", "'ll", "　", "a" * 300, "\x00", "...?!"] + [f" w{k}x" for k in range(2500)]
+    encoded = token_store.library_cache.__wrapped__(path).encode([s.encode() for s in slices])
+    assert [list(memoryview(e).cast("i")) for e in encoded] == [library.encode(s, add_special_tokens=False).ids for s in slices]
+    assert calls == [2000, 512]
