@@ -279,3 +279,26 @@ def test_rows_of_one_file_are_dealt_over_all_cores(spark):
         assert tasks >= least and (least > 1 or tasks == 1)
     plan = B.mean_interval(df.coalesce(1), "k", "x", ["i"], 20, ["s"])._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_weights_are_drawn_in_17_bytes_each():
+    """Two numbers of 64 bits and a byte a weight; the first kernel in blocks held three numbers and marks."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    ids, x = rng.integers(-(2**63), 2**63, 2000), rng.random(2000)
+    numbers = np.array([0, 5, 1, 900, *range(1000, 2500)])
+    drawn = drawn_at_once(ids, 2500)
+    expected = np.column_stack([np.ones(2000), drawn[:, numbers[1:] - 1]])
+    for values in (np.stack([np.ones(2000), x]), np.stack([x**d for d in range(6)])):
+        B.weighted_sums(values, ids[:10], numbers)
+        tracemalloc.start()
+        sums = B.weighted_sums(values, ids, numbers)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.allclose(sums, values @ expected, rtol=1e-12)
+        assert peak < 17 * B._BLOCK + (512 << 10)
+    # Draws of ranges with more than one weight, in every place of a block and of the last, shorter one.
+    mixed = np.isin(drawn[:, :40], [7, 8, 9]).any(1) | (rng.random(2000) < 0.01)
+    for some in (ids[mixed], ids[mixed][:1], ids[:0]):
+        assert (B.poisson_weights(some, 2500) == drawn_at_once(some, 2500)).all()
