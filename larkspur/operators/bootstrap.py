@@ -26,6 +26,8 @@ _LEAST, _MOST = (np.searchsorted(_UPTO, ends, "right") for ends in (np.arange(1
 _WEIGHTS = np.where(_LEAST == _MOST, _LEAST, _MIXED).astype(np.uint8)
 #: Numbers that a kernel holds at once, so that they stay in a core's cache.
 _BLOCK = 1 << 17
+#: Rows that a task draws weights for at once.
+_ROWS = 8000
 #: Highest degree of the polynomials that stand for logistic curves.
 _DEGREES = 160
 
@@ -110,7 +112,7 @@ def _totals(df: DataFrame, key: str, x: str, ids: list[str], rounds: int, strata
             out += np.concatenate([[n, total], n * np.where(w > 0, wx / np.maximum(w, 1), total / n)])
         return out
 
-    return keyed_sums(keyed_sums(_spread(_rows(df, [key, *strata], ids, x=x)), [key, *strata], drawn), [key], scaled)
+    return keyed_sums(keyed_sums(_spread(_rows(df, [key, *strata], ids, x=x)), [key, *strata], drawn, _ROWS), [key], scaled)
 
 
 def mean_interval(df: DataFrame, key: str, x: str, ids: list[str], rounds: int, strata: list[str] | None = None, level: float = 0.95) -> DataFrame:

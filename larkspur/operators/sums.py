@@ -15,8 +15,20 @@ HELD = 4_000_000
 MOST_KEYS = 2000
 
 
-def keyed_sums(df: DataFrame, keys: list[str], make: Callable[[tuple, pd.DataFrame], np.ndarray]) -> DataFrame:
-    """Per key the sum (column ``sums``, an array) of the vectors that ``make`` gives for batches of the key's rows.
+def _gathered(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches joined until they hold so many rows. Those whose columns differ in type, as integers with nulls do, stay apart."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if held and (sum(map(len, held)) >= rows or (frame.dtypes != held[0].dtypes).any()):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        held.append(frame)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def keyed_sums(df: DataFrame, keys: list[str], make: Callable[[tuple, pd.DataFrame], np.ndarray], rows: int = 0) -> DataFrame:
+    """Per key the sum (column ``sums``, an array) of the vectors that ``make`` gives for batches of the key's rows; batches are joined to so many rows first, over all keys.
 
     A task adds up its batches and passes on a vector for each key it met, so a hot key is spread over all tasks; with
     more keys than it may hold it passes them on early. Entries are then summed with map-side combining.
@@ -31,7 +43,7 @@ def keyed_sums(df: DataFrame, keys: list[str], make: Callable[[tuple, pd.DataFra
             held.clear()
             return out
 
-        for frame in frames:
+        for frame in _gathered(frames, rows):
             for name, part in frame.groupby(keys, sort=False, dropna=False):
                 name = tuple(None if pd.isna(k) else k for k in name)
                 found = make(name, part)

@@ -302,3 +302,22 @@ def test_weights_are_drawn_in_17_bytes_each():
     mixed = np.isin(drawn[:, :40], [7, 8, 9]).any(1) | (rng.random(2000) < 0.01)
     for some in (ids[mixed], ids[mixed][:1], ids[:0]):
         assert (B.poisson_weights(some, 2500) == drawn_at_once(some, 2500)).all()
+
+
+def test_batches_are_joined_over_keys(spark):
+    """A task draws weights for many rows at once, however few rows of a stratum a batch holds."""
+    frame, df = lines(spark, 2000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        one = df.filter(F.col("i") >= 0).select("k", "s", "x", F.when(F.col("i") % 150 < 120, F.col("i")).alias("m")).coalesce(1).cache()
+        counted = lambda _, part: np.array([1.0, len(part)])
+        found = {rows: {(r.k, r.s): r.sums for r in T.keyed_sums(one.select("k", "s", "x"), ["k", "s"], counted, rows).collect()} for rows in (0, 1000, B._ROWS)}
+        # Integers come as another type from a batch with nulls; such batches are not joined with others.
+        apart = {r.m: r.sums[1] for r in T.keyed_sums(one.select("m", "x"), ["m"], counted, 1000).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found[0]) == 6 and all({k: s[1] for k, s in f.items()} == {k: s[1] for k, s in found[0].items()} for f in found.values())
+    assert min(s[0] for s in found[0].values()) > 10 and {s[0] for s in found[B._ROWS].values()} == {1.0} and max(s[0] for s in found[1000].values()) <= 3
+    values = [r.m for r in one.collect()]
+    assert apart == {m: values.count(m) for m in set(values)}
