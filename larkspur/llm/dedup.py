@@ -130,7 +130,7 @@ def _regroup(sets: DataFrame, percent: int) -> DataFrame:
     rare = ordered.select("super", "comp", F.explode(F.slice("order", 1, first)).alias("x")).filter("x.c > 1").select("super", "comp", F.col("x.shingle").alias("shingle"))
     rare = materialise(rare.distinct(), "rare")
     hubs = rare.groupBy("super", "shingle").agg(F.min("comp").alias("hub"), F.max("comp").alias("most")).filter("hub < most").drop("most")
-    tied = components(rare.join(hubs, ["super", "shingle"]).filter("comp > hub").select("comp", "hub"))
+    tied = components(rare.join(hubs, ["super", "shingle"]).filter("comp > hub").select("comp", "hub").distinct())
     finer = sets.drop("super").join(tied.select(F.col("node").alias("comp"), F.col("root").alias("finer")), "comp", "left")
     return materialise(finer.withColumn("super", F.coalesce("finer", "comp")).select(*SETS), "finer")
 

@@ -133,6 +133,37 @@ def test_components(spark):
     assert out == {n: find(n) for n in list(root) if find(n) != n}
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_by_either_join(spark, monkeypatch, few):
+    monkeypatch.setattr("larkspur.llm.components.FEW", few)
+    hub = [(900 + k, 950) for k in range(50)] + [(k, 5) for k in range(6, 60)]
+    edges = [(k, k + 1) for k in range(100, 140)] * 3 + hub + [(b, a) for a, b in hub] + [(5, 5), (None, 3), (140, 60), (60, 61)]
+    out = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert out == [(n, 5) for n in range(6, 60)] + [(n, 60) for n in (61, *range(100, 141))] + [(900 + k, 900) for k in range(1, 51)]
+
+
+@pytest.fixture
+def many_partitions(spark):
+    wanted = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield 40
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_round_of_contraction_is_short(spark, many_partitions):
+    context = spark.sparkContext
+    context.setJobGroup("contraction", "components of a chain")
+    assert components(spark.createDataFrame([(k, k + 1) for k in range(64)], "a bigint, b bigint")).count() == 64
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("contraction") for s in tracker.getJobInfo(job).stageIds}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # 1,022 tasks; 2,075 while a round shuffled its edges four times and wrote them in all partitions
+    assert sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info) < 1500
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.85])
 def test_signatures_estimate_similarity(similarity):
     rng = np.random.default_rng(0)
